@@ -1,4 +1,689 @@
-"""All queries over the reference's operators, by name, with the SQL that each must equal."""
+"""All queries over the annotation operators, by name, with the SQL that each must equal.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The driver's tables stand for the relations: documents with labels for sentences of two classes, line items of a part for
+repeated annotations of a sentence, embeddings for vectors, events for an append-only log, orders for targets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions import text as T
+from spanloom.operators import assemble, checks, consensus, gate, interaction, metrics, results, retrieval, spans, termstats
+from spanloom.streaming import log
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+WORD = "[A-Za-zÀ-ÿ]+"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- scans, keys, coverage
+
+
+@query("SELECT l.doc_id, CASE WHEN quality = 1 THEN 'accepted' ELSE 'negative' END AS status, lang, n_chars FROM labels l JOIN documents d USING (doc_id) WHERE toxic = 0")
+def scan_filter_project(spark, d):
+    rows = t(spark, d, "labels").where("toxic = 0").join(t(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return rows.select("doc_id", F.when(F.col("quality") == 1, "accepted").otherwise("negative").alias("status"), "lang", "n_chars")
+
+
+@query("SELECT user_id, event_type, count(*) AS n_rows FROM events GROUP BY ALL HAVING count(*) > 1 OR user_id IS NULL OR event_type IS NULL")
+def pk_violations(spark, d):
+    return checks.key_violations(t(spark, d, "events").select("user_id", "event_type"), ["user_id", "event_type"])
+
+
+@query("""SELECT doc_id, 'left' AS only_in FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, 'right' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)""")
+def coverage_violations(spark, d):
+    return checks.coverage(t(spark, d, "documents"), t(spark, d, "labels"), ["doc_id"])
+
+
+@query("""SELECT vec_id, CAST(len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0 AS INTEGER) AS vector_ok,
+CAST(regexp_matches(sha256(CAST(vec_id AS VARCHAR)), '^[0-9a-f]{64}$') AS INTEGER) AS sha_ok, CAST(1 AS INTEGER) AS identity_ok FROM embeddings""")
+def row_predicates(spark, d):
+    rows = t(spark, d, "embeddings").withColumn("sha", F.sha2(F.col("vec_id").cast("string"), 256))
+    ok = (checks.finite_vector_ok("embedding", 64), checks.sha256_ok("sha"), checks.identity_ok("vec_id", "label"))
+    return rows.select("vec_id", *(c.cast("int").alias(n) for c, n in zip(ok, ("vector_ok", "sha_ok", "identity_ok"), strict=True)))
+
+
+@query("""SELECT lang, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS accepted, count(*) FILTER (WHERE quality = 0) AS negative,
+count(*) FILTER (WHERE quality IS NULL) AS excluded FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")
+def corpus_split_counts(spark, d):
+    rows = t(spark, d, "documents").select("doc_id", "lang").join(t(spark, d, "labels"), "doc_id", "left")
+    q = F.col("quality")
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(q == 1).alias("accepted"), F.count_if(q == 0).alias("negative"), F.count_if(q.isNull()).alias("excluded"))
+
+
+@query("""SELECT event_id, CAST(json_keys(props) = ['k'] AS INTEGER) AS exact, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_exact_keys(spark, d):
+    return t(spark, d, "events").select("event_id", checks.exact_keys("props", ["k"]).cast("int").alias("exact"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT doc_id, sha256(text) AS sentence_sha256, CAST(length(text) AS INTEGER) AS chars FROM documents")
+def sentence_hashes(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sentence_sha256"), F.length("text").alias("chars"))
+
+
+# --- text and spans
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """Words of twelve letters or more become tagged spans."""
+    return docs.select("doc_id", "text", F.regexp_replace("text", "([A-Za-zÀ-ÿ]{12,})", "<skill>$1</skill>").alias("tagged"))
+
+
+_TAGGED_SQL = """
+tagged AS (SELECT doc_id, regexp_replace(text, '([A-Za-zÀ-ÿ]{12,})', '<skill>\\1</skill>', 'g') AS tagged FROM documents),
+parts AS (SELECT doc_id, unnest(str_split(tagged, '<skill>')) AS part, generate_subscripts(str_split(tagged, '<skill>'), 1) AS k FROM tagged),
+placed AS (SELECT doc_id, k, CASE WHEN k > 1 THEN str_split(part, '</skill>')[1] END AS word, length(replace(part, '</skill>', '')) AS size,
+  sum(length(replace(part, '</skill>', ''))) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM parts)
+"""
+
+
+@query(f"""WITH {_TAGGED_SQL} SELECT doc_id, CAST(upto - size AS INTEGER) AS start, CAST(upto - size + length(word) AS INTEGER) AS "end", word AS text FROM placed WHERE k > 1""")
+def tag_scan(spark, d):
+    scanned = tagged(t(spark, d, "documents")).select("doc_id", spans.scan_tags(F.col("tagged"), "skill").alias("s"))
+    return scanned.select("doc_id", F.explode("s.spans").alias("span")).select("doc_id", "span.start", "span.end", "span.text")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'nested' ELSE 'unclosed' END AS error FROM documents")
+def tag_errors(spark, d):
+    docs = t(spark, d, "documents")
+    broken = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<skill>a<skill>"), "text")).otherwise(F.concat("text", F.lit("<skill>b")))
+    return docs.select("doc_id", spans.scan_tags(broken, "skill")["error"].alias("error"))
+
+
+@query(f"""WITH {_TAGGED_SQL}, words AS (SELECT doc_id, list(struct_pack(s := upto - size, w := word) ORDER BY k) AS ws FROM placed WHERE k > 1 GROUP BY doc_id)
+SELECT doc_id, sha256(list_reduce(list_prepend(text, list_transform(ws, lambda w: CAST(w.s AS VARCHAR) || ':' || length(w.w))),
+  lambda acc, x: left(acc, CAST(str_split(x, ':')[1] AS BIGINT)) || repeat(' ', CAST(str_split(x, ':')[2] AS BIGINT)) || substr(acc, CAST(str_split(x, ':')[1] AS BIGINT) + CAST(str_split(x, ':')[2] AS BIGINT) + 1))) AS masked_sha256
+FROM documents JOIN words USING (doc_id)""")
+def masked_text(spark, d):
+    scanned = tagged(t(spark, d, "documents")).select("doc_id", "text", spans.scan_tags(F.col("tagged"), "skill")["spans"].alias("s")).where(F.size("s") > 0)
+    return scanned.select("doc_id", F.sha2(spans.mask(F.col("text"), F.col("s")), 256).alias("masked_sha256"))
+
+
+@query(f"WITH {_TAGGED_SQL} SELECT d.doc_id, CAST(1 AS INTEGER) AS exact, CAST(count(word) = 0 AS INTEGER) AS shifted_ok FROM documents d LEFT JOIN placed USING (doc_id) GROUP BY d.doc_id")
+def span_predicates(spark, d):
+    s = tagged(t(spark, d, "documents")).select("doc_id", "text", spans.scan_tags(F.col("tagged"), "skill")["spans"].alias("s"))
+    moved = F.transform("s", lambda x: F.struct(x["text"].alias("text"), (x["start"] + 1).alias("start"), (x["end"] + 1).alias("end")))
+    return s.select("doc_id", spans.span_set_ok(F.col("text"), F.col("s")).cast("int").alias("exact"), spans.span_set_ok(F.col("text"), moved).cast("int").alias("shifted_ok"))
+
+
+@query("""SELECT doc_id, sha256(text) AS recovered_sha256, CAST(length(text) - length(replace(text, 'e', '')) AS INTEGER) AS substituted
+FROM (SELECT doc_id, replace(text, '–', 'e') AS text FROM documents)""")
+def recover_char_projection(spark, d):
+    damaged = F.regexp_replace(F.replace(F.col("text"), F.lit("–"), F.lit("e")), "e", "\u0096")
+    fixed = F.replace(T.recovered(F.col("damaged")), F.lit("–"), F.lit("e"))
+    return t(spark, d, "documents").select("doc_id", damaged.alias("damaged")).select("doc_id", F.sha2(fixed, 256).alias("recovered_sha256"), T.substitutions(F.col("damaged")).alias("substituted"))
+
+
+@query(r"SELECT doc_id, CAST(regexp_matches(text, '(?i)(^|[^\w])the\s+and($|[^\w])') AS INTEGER) AS has_phrase FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')")
+def phrase_contains(spark, d):
+    docs = t(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return docs.select("doc_id", interaction.contains_phrase(F.col("text"), F.lit("the and")).cast("int").alias("has_phrase"))
+
+
+@query("SELECT doc_id, sha256(replace('Annotate: <sentence_json>', '<sentence_json>', CAST(to_json(text) AS VARCHAR))) AS prompt_sha256 FROM documents")
+def prompts(spark, d):
+    filled = F.replace(F.lit("Annotate: <sentence_json>"), F.lit("<sentence_json>"), T.json_quoted(F.col("text")))
+    return t(spark, d, "documents").select("doc_id", F.sha2(filled, 256).alias("prompt_sha256"))
+
+
+@query()
+def nfkc_terms(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.sha2(T.nfkc_text(F.col("text")), 256).alias("normalized_sha256"), T.units(F.col("text")).alias("units"))
+
+
+@query()
+def technical_tokens(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", T.unigram_tokens(F.col("text")).alias("tokens"), T.offset_tokens(F.col("text")).alias("placed"))
+    return docs.select("doc_id", F.size("tokens").alias("n_tokens"), F.size("placed").alias("n_placed"), F.size(F.array_distinct("tokens")).alias("n_distinct"))
+
+
+@query()
+def edit_summary(spark, d):
+    rows = t(spark, d, "benchmark").select("item_id", T.edits(F.col("text"), F.regexp_replace("text", "th", "d")).alias("e"))
+    return rows.select("item_id", "e.*")
+
+
+@query()
+def lenient_parse(spark, d):
+    content = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("so: "), "props", F.lit("."))).otherwise(F.col("props"))
+    return t(spark, d, "events").select("event_id", T.lenient_json(content).alias("p")).select("event_id", "p.method", "p.object")
+
+
+@query()
+def payload_recovery(spark, d):
+    s = tagged(t(spark, d, "documents")).select("doc_id", "text", F.transform(spans.scan_tags(F.col("tagged"), "skill")["spans"], lambda x: x["text"]).alias("payloads"))
+    return s.select("doc_id", F.size("payloads").alias("n_payloads"), F.coalesce(F.size(T.placed_payloads(F.col("text"), F.col("payloads"))), F.lit(-1)).alias("n_placed"))
+
+
+# --- term statistics
+
+
+def classed_tokens(spark, d, masked: bool = False) -> DataFrame:
+    rows = t(spark, d, "documents").select("doc_id", "text").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    text = F.when(F.col("quality") == 1, F.regexp_replace("text", "[A-Za-zÀ-ÿ]{12,}", " ")).otherwise(F.col("text")) if masked else F.col("text")
+    return rows.select(F.col("doc_id").alias("doc"), (F.col("quality") == 1).alias("pos"), F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("token"))
+
+
+def class_sizes(spark, d) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels"), "doc_id").agg(F.count_if(F.expr("quality = 1")).alias("n_pos"), F.count_if(F.expr("quality = 0")).alias("n_neg"))
+
+
+def _terms_sql(masked: bool) -> str:
+    text = "CASE WHEN quality = 1 THEN regexp_replace(text, '[A-Za-zÀ-ÿ]{12,}', ' ', 'g') ELSE text END" if masked else "text"
+    return f"""
+toks AS (SELECT doc_id, quality = 1 AS pos, unnest(regexp_extract_all({text}, '{WORD}')) AS token FROM documents JOIN labels USING (doc_id)),
+counts AS (SELECT token, CAST(count(*) FILTER (WHERE pos) AS BIGINT) AS raw_pos, CAST(count(*) FILTER (WHERE NOT pos) AS BIGINT) AS raw_neg,
+  count(DISTINCT doc_id) FILTER (WHERE pos) AS df_pos, count(DISTINCT doc_id) FILTER (WHERE NOT pos) AS df_neg FROM toks GROUP BY token),
+sizes AS (SELECT count(*) FILTER (WHERE quality = 1) AS n_pos, count(*) FILTER (WHERE quality = 0) AS n_neg FROM documents JOIN labels USING (doc_id)),
+cells AS (SELECT counts.*, n_pos, n_neg, CAST(n_pos + n_neg AS DOUBLE) AS n, df_pos + df_neg AS p, n_pos + n_neg - df_pos - df_neg AS a FROM counts, sizes),
+measured AS (SELECT token, raw_pos, raw_neg, df_pos, df_neg, round(
+  (CASE WHEN df_pos > 0 THEN df_pos / n * ln(df_pos * n / (p * n_pos)) ELSE 0 END) + (CASE WHEN df_neg > 0 THEN df_neg / n * ln(df_neg * n / (p * n_neg)) ELSE 0 END)
+  + (CASE WHEN n_pos > df_pos THEN (n_pos - df_pos) / n * ln((n_pos - df_pos) * n / (a * n_pos)) ELSE 0 END)
+  + (CASE WHEN n_neg > df_neg THEN (n_neg - df_neg) / n * ln((n_neg - df_neg) * n / (a * n_neg)) ELSE 0 END), 9) AS mi,
+  CASE WHEN raw_pos > 0 THEN round(raw_neg / raw_pos, 9) END AS ratio, raw_pos > 0 AND raw_neg / raw_pos <= 3.0 AS eligible,
+  raw_pos > 0 AND raw_neg / raw_pos <= 3.0 AND df_pos / n_pos > df_neg / n_neg AS directional FROM cells)
+"""
+
+
+_METRICS = ("token", "raw_pos", "raw_neg", "df_pos", "df_neg")
+
+
+@query(f"WITH {_terms_sql(False)} SELECT {', '.join(_METRICS)} FROM counts")
+def token_doc_freq(spark, d):
+    return termstats.exploded_counts(classed_tokens(spark, d)).select(*_METRICS)
+
+
+@query(f"WITH {_terms_sql(False)} SELECT token, mi, ratio, CAST(eligible AS INTEGER) AS eligible, CAST(directional AS INTEGER) AS directional FROM measured")
+def term_mi(spark, d):
+    m = termstats.candidate_metrics(termstats.exploded_counts(classed_tokens(spark, d)), class_sizes(spark, d))
+    return m.select("token", "mi", "ratio", F.col("eligible").cast("int").alias("eligible"), F.col("directional").cast("int").alias("directional"))
+
+
+def _bank_sql(masked: bool) -> str:
+    return f"""WITH {_terms_sql(masked)} SELECT token, mi, df_pos, CAST(row_number() OVER (ORDER BY mi DESC, df_pos DESC, token) AS INTEGER) AS rank
+FROM measured WHERE directional QUALIFY rank <= 20"""
+
+
+@query(_bank_sql(False))
+def term_bank_topn(spark, d):
+    return termstats.bank(termstats.candidate_metrics(termstats.exploded_counts(classed_tokens(spark, d)), class_sizes(spark, d))).select("token", "mi", "df_pos", "rank")
+
+
+@query(_bank_sql(True))
+def term_bank_masked(spark, d):
+    return termstats.bank(termstats.candidate_metrics(termstats.exploded_counts(classed_tokens(spark, d, masked=True)), class_sizes(spark, d))).select("token", "mi", "df_pos", "rank")
+
+
+# --- consensus
+
+
+def annotations(spark, d) -> tuple[DataFrame, DataFrame]:
+    """samples (idx, sample, valid, has) and marks (idx, sample, start, end): a part's lines are its samples, with a span each at most."""
+    lines = t(spark, d, "lineitem").select(F.col("l_partkey").alias("idx"), F.col("l_linenumber").alias("sample"), "l_quantity", (F.col("l_returnflag") == "R").alias("r"), F.round(F.col("l_discount") * 100).cast("int").alias("a"), F.round(F.col("l_tax") * 100).cast("int").alias("b"))
+    first = F.min(F.when(F.col("r"), F.struct(F.col("a").alias("start"), (F.col("a") + F.col("b") + 2).alias("end")))).alias("span")
+    grouped = lines.groupBy("idx", "sample").agg((F.sum("l_quantity") > 40).alias("valid"), F.max("r").alias("has"), first)
+    return grouped.select("idx", "sample", "valid", "has"), grouped.where("has").select("idx", "sample", "span.start", "span.end")
+
+
+def units() -> Column:
+    """Stands for the number of words of a span."""
+    return F.floor((F.col("end") - F.col("start")) / 4).cast("int") + 1
+
+
+_VOTES_SQL = """
+lines AS (SELECT l_partkey AS idx, l_linenumber AS sample, l_quantity, l_returnflag = 'R' AS r, CAST(round(l_discount * 100) AS INTEGER) AS a, CAST(round(l_tax * 100) AS INTEGER) AS b FROM lineitem),
+grouped AS (SELECT idx, sample, sum(l_quantity) > 40 AS valid, bool_or(r) AS has, min(CASE WHEN r THEN a * 1000 + a + b + 2 END) AS code FROM lines GROUP BY ALL),
+marks AS (SELECT idx, sample, valid, CAST(code // 1000 AS INTEGER) AS s, CAST(code % 1000 AS INTEGER) AS e FROM grouped WHERE has),
+votes AS (SELECT idx, count(*) FILTER (WHERE valid) AS valid, count(*) FILTER (WHERE valid AND has) AS has, count(*) FILTER (WHERE valid AND NOT has) AS no FROM grouped GROUP BY idx),
+labels_ AS (SELECT idx, s, e, count(DISTINCT sample) AS votes, list_sort(list(DISTINCT sample)) AS samples FROM marks WHERE valid GROUP BY idx, s, e),
+kinds AS (SELECT l.*, CASE WHEN votes >= 3 THEN 'exact' WHEN EXISTS (SELECT 1 FROM labels_ x WHERE x.idx = l.idx AND x.votes >= 3 AND greatest(x.s, l.s) < least(x.e, l.e)) THEN 'explained' ELSE 'open' END AS kind FROM labels_ l),
+begins AS (SELECT *, CASE WHEN s < coalesce(max(e) OVER (PARTITION BY idx ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 0 ELSE 1 END AS b FROM kinds WHERE kind = 'open'),
+fam AS (SELECT idx, s, e, votes, samples, CAST(sum(b) OVER (PARTITION BY idx ORDER BY s, e) - 1 AS INTEGER) AS family FROM begins),
+support AS (SELECT idx, family, count(DISTINCT x) AS support FROM (SELECT idx, family, unnest(samples) AS x FROM fam) GROUP BY ALL),
+sizes_ AS (SELECT idx, family, count(*) AS size FROM fam GROUP BY ALL),
+pairs AS (SELECT m.idx, m.family, m.s, m.e, m.votes, greatest(0, least(m.e, o.e) - greatest(m.s, o.s)) / (m.e - m.s) AS c FROM fam m JOIN fam o ON m.idx = o.idx AND m.family = o.family AND (m.s <> o.s OR m.e <> o.e)),
+members AS (SELECT idx, family, s, e, votes, round(min(c), 9) AS min_coverage, round(avg(c), 9) AS avg_coverage, count(*) + 1 AS members, (e - s) // 4 + 1 AS units FROM pairs GROUP BY ALL),
+st1 AS (SELECT * FROM members QUALIFY votes = max(votes) OVER (PARTITION BY idx, family)),
+st2 AS (SELECT * FROM st1 QUALIFY min_coverage + 1e-12 >= max(min_coverage) OVER (PARTITION BY idx, family)),
+st3 AS (SELECT * FROM st2 QUALIFY avg_coverage + 1e-12 >= max(avg_coverage) OVER (PARTITION BY idx, family)),
+won AS (SELECT *, min_coverage + 1e-12 >= least(0.85, 0.45 + 0.05 * (units - 1)) AS accepted FROM st3 QUALIFY row_number() OVER (PARTITION BY idx, family ORDER BY units, e - s, s, e) = 1),
+outcomes AS (SELECT z.idx, z.family, CASE WHEN support < 3 THEN 'audit_noise' WHEN size < 2 THEN 'hard_match_validation_failed' WHEN accepted THEN 'accepted' ELSE 'family_anchor_overlap_failed' END AS reason, w.s, w.e
+  FROM sizes_ z JOIN support p ON z.idx = p.idx AND z.family = p.family LEFT JOIN won w ON z.idx = w.idx AND z.family = w.family),
+ladder AS (SELECT v.*, coalesce(x.n, 0) AS exact, coalesce(m.n, 0) AS matched, m.trouble FROM votes v LEFT JOIN (SELECT idx, count(*) AS n FROM kinds WHERE kind = 'exact' GROUP BY idx) x USING (idx)
+  LEFT JOIN (SELECT idx, count(*) FILTER (WHERE reason = 'accepted') AS n, min(reason) FILTER (WHERE reason NOT IN ('accepted', 'audit_noise')) AS trouble FROM outcomes GROUP BY idx) m USING (idx)),
+reasoned AS (SELECT *, CASE WHEN valid < 3 THEN 'insufficient_valid_samples' WHEN no >= 4 THEN 'high_confidence_no_skill' WHEN has < 3 THEN 'has_skill_no_consensus' WHEN trouble IS NOT NULL THEN trouble
+  WHEN exact + matched = 0 THEN 'positive_without_stable_span' ELSE 'all_span_families_resolved' END AS reason FROM ladder),
+status_ AS (SELECT idx, valid, has, no, CASE reason WHEN 'insufficient_valid_samples' THEN 'abstained' WHEN 'high_confidence_no_skill' THEN 'negative' WHEN 'all_span_families_resolved' THEN 'accepted' ELSE 'unsolved' END AS status, reason,
+  CASE WHEN reason = 'all_span_families_resolved' THEN exact + matched ELSE 0 END AS n_spans FROM reasoned)
+"""
+
+
+def valid_marks(spark, d) -> DataFrame:
+    samples, marks = annotations(spark, d)
+    return marks.join(samples.where("valid").select("idx", "sample"), ["idx", "sample"], "left_semi")
+
+
+@query(f"WITH {_VOTES_SQL} SELECT idx, valid, has, no FROM votes")
+def sample_votes(spark, d):
+    return consensus.votes(annotations(spark, d)[0])
+
+
+@query(f"""WITH {_VOTES_SQL} SELECT idx, s AS start, e AS "end", votes, array_to_string(samples, ',') AS samples FROM labels_""")
+def span_votes(spark, d):
+    out = consensus.label_votes(valid_marks(spark, d))
+    return out.withColumn("samples", F.array_join(F.col("samples").cast("array<string>"), ","))
+
+
+@query(f"""WITH {_VOTES_SQL} SELECT idx, s AS start, e AS "end", votes, kind FROM kinds""")
+def explained_variants(spark, d):
+    return consensus.explained(consensus.label_votes(valid_marks(spark, d))).select("idx", "start", "end", "votes", "kind")
+
+
+@query(f"""WITH {_VOTES_SQL} SELECT idx, s AS start, e AS "end", family, support FROM fam JOIN support USING (idx, family)""")
+def span_families(spark, d):
+    return consensus.open_families(consensus.explained(consensus.label_votes(valid_marks(spark, d)))).select("idx", "start", "end", "family", "support")
+
+
+@query(f"""WITH {_VOTES_SQL} SELECT idx, family, s AS start, e AS "end", min_coverage, avg_coverage, CAST(units AS INTEGER) AS units, CAST(accepted AS INTEGER) AS accepted FROM won""")
+def family_anchor(spark, d):
+    members = consensus.open_families(consensus.explained(consensus.label_votes(valid_marks(spark, d))))
+    won = spans.anchors(spans.family_members(members, "idx"), "idx", units())
+    return won.select("idx", "family", "start", "end", "min_coverage", "avg_coverage", "units", F.col("accepted").cast("int").alias("accepted"))
+
+
+@query(f"WITH {_VOTES_SQL} SELECT idx, valid, has, no, status, reason, CAST(n_spans AS BIGINT) AS n_spans FROM status_")
+def consensus_status(spark, d):
+    return consensus.statuses(*annotations(spark, d), units()).withColumn("n_spans", F.col("n_spans").cast("long"))
+
+
+@query(f"WITH {_VOTES_SQL} SELECT status, reason, count(*) AS n, CAST(sum(n_spans) AS BIGINT) AS n_spans FROM status_ GROUP BY ALL")
+def consensus_summary(spark, d):
+    return consensus.statuses(*annotations(spark, d), units()).groupBy("status", "reason").agg(F.count("*").alias("n"), F.sum("n_spans").cast("long").alias("n_spans"))
+
+
+@query(f"WITH {_VOTES_SQL} SELECT idx, round(CASE status WHEN 'accepted' THEN has / valid WHEN 'negative' THEN no / valid END, 9) AS existence_score FROM status_")
+def existence_score(spark, d):
+    return consensus.statuses(*annotations(spark, d), units()).select("idx", F.round(consensus.existence_score("status", "valid", "has", "no"), 9).alias("existence_score"))
+
+
+@query(f"""WITH {_VOTES_SQL}, sets AS (SELECT g.idx, g.sample, CASE WHEN m.s IS NULL THEN [] ELSE [m.s * 1000 + m.e] END AS spans FROM grouped g LEFT JOIN marks m ON g.idx = m.idx AND g.sample = m.sample WHERE g.valid),
+jac AS (SELECT a.idx, round(avg(CASE WHEN len(list_distinct(a.spans || b.spans)) = 0 THEN 1.0 ELSE len(list_intersect(a.spans, b.spans)) / len(list_distinct(a.spans || b.spans)) END), 6) AS j FROM sets a JOIN sets b ON a.idx = b.idx AND a.sample < b.sample GROUP BY a.idx),
+ent AS (SELECT l.idx, round(avg(CASE WHEN l.votes >= v.valid THEN 0.0 ELSE -(l.votes / v.valid * log2(l.votes / v.valid) + (1 - l.votes / v.valid) * log2(1 - l.votes / v.valid)) END), 6) AS h FROM labels_ l JOIN votes v USING (idx) GROUP BY l.idx)
+SELECT s.idx, any_value(j) AS mean_jaccard, coalesce(any_value(h), 0.0) AS mean_entropy, round(avg(len(spans)), 6) AS mean_count FROM sets s LEFT JOIN jac USING (idx) LEFT JOIN ent USING (idx) GROUP BY s.idx""")
+def uncertainty(spark, d):
+    return consensus.uncertainty(*annotations(spark, d))
+
+
+# --- retrieval and gates
+
+
+def vectors(spark, d) -> DataFrame:
+    return t(spark, d, "embeddings").where(checks.finite_vector_ok("embedding", 64)).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+def reliability(spark, d) -> DataFrame:
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("demo"), ((F.col("label") % 5 + 1) / 5.0).cast("double").alias("reliability"), F.col("label").cast("int").alias("label"))
+
+
+_RETRIEVAL_SQL = """
+pairs AS (SELECT a.vec_id AS target, b.vec_id AS demo, b.label AS label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 10) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+near AS (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY similarity DESC, demo) AS INTEGER) AS neighbor_rank FROM pairs QUALIFY neighbor_rank <= 50),
+ranked AS (SELECT *, (label % 5 + 1) / 5.0 AS reliability, row_number() OVER (PARTITION BY target ORDER BY (label % 5 + 1) / 5.0 DESC, similarity DESC, demo) AS r FROM near),
+judged AS (SELECT target, demo, label, similarity, CAST(r AS INTEGER) AS retrieval_rank, CAST((target + demo) % 5 + 1 AS INTEGER) AS score, CASE WHEN (target + demo) % 7 = 0 THEN 'irrelevant' WHEN label % 2 = 0 THEN 'supporting' ELSE 'contrastive' END AS role FROM ranked WHERE r <= 16),
+gated AS (SELECT *, CASE WHEN score > 3 AND role <> 'irrelevant' THEN CAST(count(*) FILTER (WHERE score > 3 AND role <> 'irrelevant') OVER (PARTITION BY target ORDER BY retrieval_rank) AS BIGINT) END AS gate_rank FROM judged)
+"""
+
+
+def found(spark, d) -> DataFrame:
+    v = vectors(spark, d)
+    return retrieval.neighbours(v, v)
+
+
+def judged(spark, d) -> DataFrame:
+    rows = retrieval.reranked(found(spark, d), reliability(spark, d)).where("selected_rank is not null")
+    role = F.when((F.col("target") + F.col("demo")) % 7 == 0, "irrelevant").when(F.col("label") % 2 == 0, "supporting").otherwise("contrastive")
+    return rows.select("target", "demo", "label", "similarity", F.col("selected_rank").alias("retrieval_rank"), ((F.col("target") + F.col("demo")) % 5 + 1).cast("int").alias("score"), role.alias("role"))
+
+
+@query(f"WITH {_RETRIEVAL_SQL} SELECT target, demo, similarity, neighbor_rank FROM near")
+def cosine_topk(spark, d):
+    return found(spark, d)
+
+
+@query(f"WITH {_RETRIEVAL_SQL} SELECT target, demo, similarity, neighbor_rank, CAST(reliability AS DOUBLE) AS reliability, CASE WHEN r <= 16 THEN CAST(r AS INTEGER) END AS selected_rank FROM ranked")
+def cosine_topk_rerank(spark, d):
+    return retrieval.reranked(found(spark, d), reliability(spark, d)).drop("label")
+
+
+@query("""WITH pairs AS (SELECT c.label AS "group", c.vec_id AS candidate, o.vec_id AS token, round(list_distance(CAST(c.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])), 8) AS distance FROM embeddings c JOIN embeddings o ON c.label = o.label AND o.vec_id % 2 = 1 WHERE c.vec_id % 2 = 0),
+best AS (SELECT "group", candidate, token, distance FROM pairs QUALIFY row_number() OVER (PARTITION BY "group", candidate ORDER BY distance, token) = 1)
+SELECT "group", candidate, distance, token, CAST(row_number() OVER (PARTITION BY "group" ORDER BY distance, candidate) AS INTEGER) AS rank FROM best QUALIFY rank <= 5""")
+def nearest_token_min(spark, d):
+    e = t(spark, d, "embeddings").select(F.col("label").alias("group"), "vec_id", F.col("embedding").alias("v"))
+    even = F.col("vec_id") % 2 == 0
+    return retrieval.nearest_in_group(e.where(even).withColumnRenamed("vec_id", "candidate"), e.where(~even).withColumnRenamed("vec_id", "token"))
+
+
+@query(f"WITH {_RETRIEVAL_SQL} SELECT target, demo, score, role, retrieval_rank, gate_rank FROM gated")
+def gate_select(spark, d):
+    return gate.select(judged(spark, d), "target").select("target", "demo", "score", "role", "retrieval_rank", "gate_rank")
+
+
+@query(f"""WITH {_RETRIEVAL_SQL}, n AS (SELECT target, count(gate_rank) AS n_selected FROM gated GROUP BY target)
+SELECT target, n_selected, CASE WHEN n_selected = 0 THEN 'no_helpful_examples' WHEN n_selected < 2 THEN 'insufficient_helpful_examples' ELSE '' END AS reasons, CASE WHEN n_selected < 2 THEN 'needs_review' ELSE 'complete' END AS status FROM n""")
+def gate_reasons(spark, d):
+    return gate.selection_records(gate.select(judged(spark, d), "target"), "target").select("target", "n_selected", F.array_join("reasons", ",").alias("reasons"), "status")
+
+
+@query(f"WITH {_RETRIEVAL_SQL} SELECT role, count(*) AS n, count(gate_rank) AS kept, round(count(gate_rank) / count(*), 6) AS kept_rate, round(avg(score), 6) AS mean_score FROM gated GROUP BY role")
+def gate_rates(spark, d):
+    return gate.retention(gate.select(judged(spark, d), "target"), "role")
+
+
+@query(f"WITH {_RETRIEVAL_SQL} SELECT CAST(s AS INTEGER) AS score, count(target) AS n FROM range(1, 6) r(s) LEFT JOIN judged ON score = s GROUP BY s")
+def score_distribution_dense(spark, d):
+    return gate.distribution(judged(spark, d), "score", range(1, 6))
+
+
+@query(f"""WITH {_RETRIEVAL_SQL}, n AS (SELECT target, count(*) AS n, count(*) FILTER (WHERE label >= 5) AS pos, count(*) FILTER (WHERE label < 5) AS neg, count(gate_rank) AS sel FROM gated GROUP BY target)
+SELECT target, array_to_string(list_sort(list_filter([CASE WHEN pos = n THEN 'all_candidates_accepted' END, CASE WHEN neg >= 8 THEN 'eight_or_more_negative' END, CASE WHEN pos > 0 AND neg > 0 THEN 'both_classes' END, CASE WHEN sel = 0 THEN 'selected_none' END, CASE WHEN sel = 1 THEN 'selected_one' END], lambda x: x IS NOT NULL)), ',') AS strata FROM n""")
+def strata(spark, d):
+    rows = gate.select(judged(spark, d), "target").withColumn("accepted", F.col("label") >= 5)
+    return gate.strata(rows, "target", "accepted").select("target", F.array_join("strata", ",").alias("strata"))
+
+
+# --- logs and outcomes
+
+
+def log_rows(spark, d) -> DataFrame:
+    return t(spark, d, "events").select("user_id", "event_type", "event_id", F.when(F.col("value") > 50, "complete").otherwise("failed").alias("status"), F.round("value", 6).alias("value"))
+
+
+_LOG_SQL = "log AS (SELECT user_id, event_type, event_id, CASE WHEN value > 50 THEN 'complete' ELSE 'failed' END AS status, round(value, 6) AS value FROM events)"
+KEYS = ["user_id", "event_type"]
+
+
+@query(f"WITH {_LOG_SQL} SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
+def latest_record(spark, d):
+    return results.latest(log_rows(spark, d), KEYS, "event_id")
+
+
+@query(f"WITH {_LOG_SQL} SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
+def stream_latest_record(spark, d):
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        import tempfile
+
+        root = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+    schema = t(spark, d, "events").schema
+    base = f"{root}/stream-{uuid.uuid4().hex}"
+    last = log.compact(spark, d, schema, f"{base}/out", f"{base}/checkpoint", KEYS, "event_id", pattern="events.parquet")
+    return last.select("user_id", "event_type", "event_id", F.when(F.col("value") > 50, "complete").otherwise("failed").alias("status"), F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {_LOG_SQL} SELECT event_id FROM log JOIN (SELECT user_id, event_type, min(event_id) AS f FROM log WHERE status = 'complete' GROUP BY ALL) USING (user_id, event_type) WHERE event_id > f")
+def append_only_violations(spark, d):
+    return results.retried_after_complete(log_rows(spark, d), KEYS, "event_id", F.col("status") == "complete").select("event_id")
+
+
+@query(f"WITH {_LOG_SQL} SELECT DISTINCT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM log WHERE status = 'complete' AND event_type = 'purchase' AND user_id IS NOT NULL)")
+def pending_work(spark, d):
+    work = t(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).distinct()
+    return results.pending(work, log_rows(spark, d).where("event_type = 'purchase'"), ["user_id"], F.col("status") == "complete")
+
+
+@query(f"WITH {_LOG_SQL} SELECT event_id, CAST(row_number() OVER w AS INTEGER) AS attempt, CASE WHEN row_number() OVER w = 1 THEN 'initial' ELSE 'repair' END AS kind FROM log WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)")
+def attempt_numbers(spark, d):
+    return results.attempts(log_rows(spark, d), KEYS, "event_id").select("event_id", "attempt", "kind")
+
+
+@query(f"WITH {_LOG_SQL} SELECT event_type, count(*) AS calls, count(*) FILTER (WHERE status = 'failed') AS failed, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS tokens FROM log GROUP BY event_type")
+def cost_metrics(spark, d):
+    return log_rows(spark, d).groupBy("event_type").agg(F.count("*").alias("calls"), F.count_if(F.expr("status = 'failed'")).alias("failed"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("tokens"))
+
+
+def outcome_rows(spark, d) -> DataFrame:
+    """Orders as prompts; those in status F have a prediction, the others a failure or none."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    predictions = o.where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_orderpriority").startswith("1").alias("recovered"))
+    failures = o.where("o_orderstatus = 'O' and o_totalprice > 50000").select("o_orderkey", F.when(F.col("o_orderpriority").startswith("5"), "provider_or_runtime").otherwise("validation_exhausted").alias("kind"), (~F.col("o_orderpriority").startswith("5")).alias("eligible"), F.col("o_orderpriority").startswith("2").alias("provisional"))
+    return results.outcomes(o, predictions, failures, "o_orderkey")
+
+
+_OUTCOME_SQL = """
+outcomes_ AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderpriority LIKE '1%' THEN 'recovered' WHEN o_orderstatus = 'F' THEN 'exact' WHEN o_orderstatus = 'O' AND o_totalprice > 50000 THEN
+  CASE WHEN o_orderpriority LIKE '5%' THEN 'runtime_failed' WHEN o_orderpriority LIKE '2%' THEN 'provisional' ELSE 'validation_failed' END ELSE 'missing' END AS outcome FROM orders)
+"""
+
+
+@query(f"WITH {_OUTCOME_SQL} SELECT o_orderkey, outcome, CASE WHEN outcome IN ('exact', 'recovered') THEN 'target_sentence' WHEN outcome = 'provisional' THEN 'model_sentence' END AS coordinate_space, CAST(outcome IN ('recovered', 'provisional', 'validation_failed') AS INTEGER) AS validation_issue FROM outcomes_")
+def outcome_case(spark, d):
+    return outcome_rows(spark, d)
+
+
+@query(f"""WITH {_OUTCOME_SQL} SELECT CAST(count(*) AS BIGINT) AS n_results, count(DISTINCT o_orderkey) AS n_unique, count(*) FILTER (WHERE outcome IN ('runtime_failed', 'missing')) AS n_blocking,
+count(DISTINCT o_orderkey) FILTER (WHERE outcome IN ('recovered', 'provisional', 'validation_failed')) AS n_affected, CAST(floor(count(*) * 0.03 + 1e-12) AS BIGINT) AS allowed, CAST(0 AS INTEGER) AS within FROM outcomes_""")
+def quota_status(spark, d):
+    rows = outcome_rows(spark, d)
+    n = t(spark, d, "orders").agg(F.count("*").alias("n"))
+    return results.completion(rows.crossJoin(F.broadcast(n)), rows.where("validation_issue = 1"), "o_orderkey", F.col("n"))
+
+
+@query("""WITH f AS (SELECT user_id, event_type, min(event_id) AS f, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, string_agg(event_type, ',' ORDER BY f) AS stages, CAST(sum(n) AS BIGINT) AS n_events FROM f GROUP BY user_id""")
+def issue_merge(spark, d):
+    out = results.merged_issues(t(spark, d, "events"), "user_id", "event_id", "event_type")
+    return out.select("user_id", F.array_join("stages", ",").alias("stages"), "n_events")
+
+
+# --- assembly
+
+
+def order_lines(spark, d) -> DataFrame:
+    return t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"), F.max("l_linenumber").cast("int").alias("last_line"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, n_lines, c_mktsegment FROM orders JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n_lines FROM lineitem GROUP BY ALL) USING (o_orderkey) JOIN customer ON o_custkey = c_custkey")
+def context_join(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    segments = o.select("o_orderkey", "o_custkey").join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    return assemble.contexts(o, [order_lines(spark, d), segments], ["o_orderkey"], aligned=["o_custkey"]).select("o_orderkey", "o_orderstatus", "n_lines", "c_mktsegment")
+
+
+@query("SELECT o_orderkey FROM orders JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n, max(l_linenumber) AS m FROM lineitem GROUP BY ALL) USING (o_orderkey) WHERE n <> m")
+def misaligned_rows(spark, d):
+    lines = order_lines(spark, d)
+    left = t(spark, d, "orders").select("o_orderkey").join(lines.select("o_orderkey", F.col("n_lines").cast("long").alias("n")), "o_orderkey")
+    return assemble.misaligned(left, lines.select("o_orderkey", F.col("last_line").cast("long").alias("n")), ["o_orderkey"], ["n"])
+
+
+@query(f"""WITH {_OUTCOME_SQL} SELECT c.o_orderkey, CASE WHEN outcome IN ('exact', 'recovered', 'provisional') THEN 'available' ELSE 'unavailable' END AS trf_availability,
+CASE WHEN outcome IN ('exact', 'recovered') THEN 'target_sentence' WHEN outcome = 'provisional' THEN 'model_sentence' END AS trf_space FROM orders c LEFT JOIN (SELECT * FROM outcomes_ WHERE outcome <> 'missing') USING (o_orderkey)""")
+def expert_outer_join(spark, d):
+    return assemble.proposals(t(spark, d, "orders").select("o_orderkey"), outcome_rows(spark, d).where("outcome <> 'missing'"), "o_orderkey", "trf", "outcome")
+
+
+def extractors(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Gold: a document's distinct words of 14 letters or more. Predicted, for labelled documents: those of 13 that begin with a small letter."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    words = lambda p: F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
+    gold = docs.select("doc_id", words("[A-Za-zÀ-ÿ]{14,}").alias("spans"))
+    predicted = docs.join(t(spark, d, "labels").select("doc_id"), "doc_id").select("doc_id", words("[a-zà-ÿ]{13,}").alias("spans"))
+    return gold, predicted
+
+
+_EVAL_SQL = """
+gold AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{14,}')) AS g FROM documents),
+pred AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[a-zà-ÿ]{13,}')) AS p FROM documents JOIN labels USING (doc_id)),
+both_ AS (SELECT doc_id, g, coalesce(p, []) AS p, CAST(p IS NOT NULL AS INTEGER) AS covered FROM gold LEFT JOIN pred USING (doc_id)),
+per AS (SELECT doc_id, CAST(len(list_intersect(g, p)) AS INTEGER) AS tp, CAST(len(p) - len(list_intersect(g, p)) AS INTEGER) AS fp, CAST(len(g) - len(list_intersect(g, p)) AS INTEGER) AS fn, covered,
+  CAST(covered = 1 AND list_sort(g) = list_sort(p) AS INTEGER) AS exact, CAST(len(g) > 0 AS INTEGER) AS gold_has, CAST(len(p) > 0 AS INTEGER) AS pred_has FROM both_)
+"""
+
+
+@query(f"WITH {_EVAL_SQL} SELECT * FROM per")
+def eval_per_sentence(spark, d):
+    return metrics.per_target(*extractors(spark, d), "doc_id")
+
+
+@query(f"""WITH {_EVAL_SQL}, s AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(exact) AS e, sum(covered) AS c, count(*) AS n, sum(tp) / (sum(tp) + sum(fp)) AS p, sum(tp) / (sum(tp) + sum(fn)) AS r FROM per)
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1, round(e / n, 9) AS exact_rate, round(c / n, 9) AS coverage FROM s""")
+def eval_micro_prf(spark, d):
+    return metrics.micro(metrics.per_target(*extractors(spark, d), "doc_id"))
+
+
+@query(f"""WITH {_EVAL_SQL}, s AS (SELECT count(*) FILTER (WHERE gold_has = 1 AND pred_has = 1) AS tp, count(*) FILTER (WHERE gold_has = 0 AND pred_has = 1) AS fp, count(*) FILTER (WHERE gold_has = 1 AND pred_has = 0) AS fn, count(*) FILTER (WHERE gold_has = 0) AS neg FROM per)
+SELECT round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 9) AS f1, round(CASE WHEN neg = 0 THEN 0.0 ELSE fp / neg END, 9) AS negative_fp_rate FROM s""")
+def eval_presence(spark, d):
+    return metrics.presence(metrics.per_target(*extractors(spark, d), "doc_id"))
+
+
+@query()
+def bootstrap_ci(spark, d):
+    a = metrics.per_target(*extractors(spark, d), "doc_id")
+    gold, _ = extractors(spark, d)
+    b = metrics.per_target(gold, gold, "doc_id")
+    named = lambda x, p: x.select("doc_id", *(F.col(c).alias(f"{p}_{c}") for c in ("tp", "fp", "fn", "exact")))
+    return metrics.paired_bootstrap(named(a, "a").join(named(b, "b"), "doc_id"))
+
+
+@query(f"WITH {_EVAL_SQL} SELECT doc_id, CASE WHEN covered = 0 THEN 'missing' WHEN list_sort(g) = list_sort(p) THEN 'exact' WHEN (len(g) > 0) = (len(p) > 0) THEN 'presence' ELSE 'none' END AS agreement FROM both_")
+def expert_agreement(spark, d):
+    gold, predicted = extractors(spark, d)
+    both = gold.join(predicted.withColumnRenamed("spans", "other"), "doc_id", "left")
+    return both.select("doc_id", assemble.agreement(F.col("spans"), F.col("other")).alias("agreement"))
+
+
+@query(f"""WITH {_EVAL_SQL} SELECT doc_id, CAST(len(list_intersect(g, p)) AS INTEGER) AS retained, CAST(len(p) - len(list_intersect(g, p)) AS INTEGER) AS promoted, CAST(len(g) - len(list_intersect(g, p)) AS INTEGER) AS removed,
+round(CASE WHEN len(list_distinct(g || p)) = 0 THEN 1.0 ELSE len(list_intersect(g, p)) / len(list_distinct(g || p)) END, 10) AS jaccard FROM both_ WHERE covered = 1""")
+def set_changes(spark, d):
+    gold, predicted = extractors(spark, d)
+    both = gold.join(predicted.withColumnRenamed("spans", "other"), "doc_id").select("doc_id", metrics.changes(F.col("spans"), F.col("other")).alias("c"))
+    return both.select("doc_id", *(F.size(f"c.{x}").alias(x) for x in ("retained", "promoted", "removed")), "c.jaccard")
+
+
+@query("""SELECT o_custkey, o_orderpriority, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY f) AS INTEGER) AS place FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS f FROM orders GROUP BY ALL)""")
+def ordered_distinct(spark, d):
+    return assemble.ordered_distinct(t(spark, d, "orders"), "o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 8")
+def example_cap(spark, d):
+    return assemble.first_examples(t(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+@query("""SELECT l_returnflag, count(*) AS n, round(corr(CAST(l_quantity AS DOUBLE), CAST(l_extendedprice AS DOUBLE)), 6) AS r FROM lineitem GROUP BY l_returnflag""")
+def pearson_helpfulness(spark, d):
+    return metrics.pearson(t(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y")), ["l_returnflag"], "x", "y")
+
+
+@query("""SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INTEGER) AS place FROM documents
+QUALIFY place <= CASE lang WHEN 'en' THEN 11 WHEN 'fr' THEN 4 WHEN 'de' THEN 5 ELSE 0 END""")
+def quota_sample(spark, d):
+    return metrics.quota_sample(t(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"], {"en": 11, "fr": 4, "de": 5})
+
+
+@query("SELECT doc_id FROM labels ORDER BY CAST(quality = 0 AS INTEGER) DESC, md5('0:' || doc_id) LIMIT 20")
+def hash_sample(spark, d):
+    return metrics.priority_sample(t(spark, d, "labels"), "doc_id", F.col("quality") == 0, 20).select("doc_id")
+
+
+# --- interaction
+
+
+def states(spark, d) -> DataFrame:
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("r"), (F.col("vec_id") % 3).cast("int").alias("h"))
+
+
+def _step(df: DataFrame, n: int) -> DataFrame:
+    """Both new states read both old ones."""
+    return df.select("id", F.when(F.col("h") > 0, F.greatest(F.col("r") - 1, F.lit(0))).otherwise(F.col("r")).alias("r"), F.when(F.col("r") % 2 == 0, F.lit(0)).otherwise(F.col("h")).alias("h"))
+
+
+_STATE_SQL = """
+s0 AS (SELECT vec_id AS id, CAST(label AS INTEGER) AS r, CAST(vec_id % 3 AS INTEGER) AS h FROM embeddings),
+s1 AS (SELECT id, CASE WHEN h > 0 THEN greatest(r - 1, 0) ELSE r END AS r, CASE WHEN r % 2 = 0 THEN 0 ELSE h END AS h, r AS r0, h AS h0 FROM s0),
+s2 AS (SELECT id, CASE WHEN r = r0 AND h = h0 THEN r WHEN h > 0 THEN greatest(r - 1, 0) ELSE r END AS r, CASE WHEN r = r0 AND h = h0 THEN h WHEN r % 2 = 0 THEN 0 ELSE h END AS h, r AS r1, h AS h1, r0, h0 FROM s1)
+"""
+
+
+@query(f"""WITH {_STATE_SQL} SELECT id, r, h, CASE WHEN r1 = r0 AND h1 = h0 THEN 0 WHEN r = r1 AND h = h1 THEN 1 ELSE 2 END AS round, CAST(r <> r1 OR h <> h1 AS INTEGER) AS changed FROM s2""")
+def round_state(spark, d):
+    out = interaction.fold(states(spark, d), _step, ["r", "h"], ["id"])
+    return out.select("id", "r", "h", "round", F.col("changed").cast("int").alias("changed"))
+
+
+@query("""WITH h AS (SELECT user_id, event_id AS round, event_type AS sign FROM events), l AS (SELECT *, lag(sign, 1) OVER w AS a, lag(sign, 2) OVER w AS b FROM h WINDOW w AS (PARTITION BY user_id ORDER BY round))
+SELECT DISTINCT user_id FROM l WHERE sign = b AND sign <> a""")
+def oscillation(spark, d):
+    return interaction.oscillation(t(spark, d, "events").select("user_id", F.col("event_id").alias("round"), F.col("event_type").alias("sign")), ["user_id"])
+
+
+@query(f"WITH {_RETRIEVAL_SQL} SELECT target, demo FROM judged WHERE (target + demo) % 3 = 0 AND NOT (score > 3 AND role <> 'irrelevant')")
+def conflicts_unselected(spark, d):
+    rows = gate.select(judged(spark, d), "target")
+    evidence = rows.select("target", "demo", ((F.col("target") + F.col("demo")) % 3 == 0).alias("active"))
+    return interaction.unselected_evidence(evidence, rows.where("gate_rank is not null"), "target", "demo").select("target", "demo")
+
+
+@query(f"WITH {_RETRIEVAL_SQL} SELECT target, demo FROM judged WHERE (target + demo) % 3 = 0 AND role = 'irrelevant'")
+def conflicts_irrelevant(spark, d):
+    rows = judged(spark, d)
+    return interaction.irrelevant_evidence(rows.where((F.col("target") + F.col("demo")) % 3 == 0).select("target", "demo"), rows, "target", "demo")
+
+
+@query(f"""WITH {_RETRIEVAL_SQL}, c AS (SELECT target, demo, score, similarity, CAST((demo * 3 + target) % 5 + 1 AS INTEGER) AS previous, label >= 5 AS accepted, role = 'contrastive' AS contrastive, demo % 11 = 0 AS supported FROM judged),
+f AS (SELECT *, supported OR similarity >= 0.58 AS strong FROM c),
+g AS (SELECT *, CASE WHEN accepted AND strong THEN greatest(score, 4) WHEN accepted AND previous = 4 AND score >= 4 THEN 3 WHEN accepted THEN score WHEN previous >= 4 AND contrastive AND similarity >= 0.55 THEN greatest(score, previous, 4) WHEN previous >= 4 THEN least(score, 3) ELSE score END AS final FROM f)
+SELECT target, demo, CAST(final AS INTEGER) AS score, CASE WHEN accepted AND strong THEN 'supporting' WHEN NOT accepted AND contrastive AND (previous < 4 OR similarity >= 0.55) THEN 'contrastive' WHEN accepted AND final >= 4 THEN 'supporting' ELSE 'irrelevant' END AS role,
+CASE WHEN final > previous THEN 'boost' WHEN final < previous THEN 'penalize' ELSE 'none' END AS effect FROM g""")
+def score_calibration(spark, d):
+    rows = judged(spark, d).withColumn("previous", ((F.col("demo") * 3 + F.col("target")) % 5 + 1).cast("int"))
+    c = interaction.calibrated_score(F.col("score"), F.col("previous"), F.col("similarity"), F.col("demo") % 11 == 0, F.col("label") >= 5, F.col("role") == "contrastive")
+    return rows.select("target", "demo", c.alias("c")).select("target", "demo", "c.*")
+
+
+@query(r"""SELECT item_id, CASE WHEN regexp_matches(text, '(?i)(^|[^\w])the($|[^\w])') THEN 'keep' ELSE 'drop' END AS cue, CASE WHEN regexp_matches(text, '(?i)(^|[^\w])only($|[^\w])') THEN 'drop' ELSE 'keep' END AS adverb FROM benchmark""")
+def feature_calibration(spark, d):
+    b = t(spark, d, "benchmark")
+    return b.select("item_id", interaction.calibrated_feature(F.lit("the"), F.col("text"), F.lit("drop"), ["the"]).alias("cue"), interaction.calibrated_feature(F.lit("only"), F.col("text"), F.lit("keep"), ["the"]).alias("adverb"))
+
+
+@query(f"""WITH {_RETRIEVAL_SQL} SELECT target, CAST(bool_or(gate_rank IS NOT NULL) AS INTEGER) AS has_kept, CAST(bool_and(score BETWEEN 1 AND 5) AS INTEGER) AS scores_ok,
+CASE WHEN count(*) FILTER (WHERE role = 'irrelevant') > 2 THEN 'conflicted' WHEN count(gate_rank) < 2 THEN 'mixed' ELSE 'aligned' END AS status FROM gated GROUP BY target""")
+def gate_anchor_checks(spark, d):
+    g = gate.select(judged(spark, d), "target")
+    a = g.groupBy("target").agg(F.bool_or(F.col("gate_rank").isNotNull()).cast("int").alias("has_kept"), F.bool_and(F.col("score").between(1, 5)).cast("int").alias("scores_ok"), (F.count_if(F.expr("role = 'irrelevant'")) - 2).alias("c"), (2 - F.count("gate_rank")).alias("m"))
+    return a.select("target", "has_kept", "scores_ok", interaction.context_status(F.col("c"), F.col("m")).alias("status"))
+
+
+# --- replay
+
+
+@query("SELECT user_id, event_type, event_id, CAST('left' AS VARCHAR) AS only_in FROM events WHERE false")
+def replay_diff(spark, d):
+    rows = log_rows(spark, d)
+    again = results.attempts(rows, KEYS, "event_id").groupBy(*KEYS).agg(F.max("event_id").alias("event_id"))
+    return checks.difference(results.latest(rows, KEYS, "event_id").select("user_id", "event_type", "event_id"), again)
