@@ -25,8 +25,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType, missing_ok: b
 def malformed_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """path and text of the lines that read_jsonl() would fail on."""
     with_bad = StructType([*schema.fields]).add("_corrupt_record", "string")
-    rows = spark.read.schema(with_bad).option("mode", "PERMISSIVE").json(path).withColumn("path", F.input_file_name())
-    return rows.where(F.col("_corrupt_record").isNotNull()).select("path", F.col("_corrupt_record").alias("line"))
+    lines = spark.read.text(path).withColumn("path", F.input_file_name()).where(F.trim("value") != "")
+    parsed = F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.where(parsed["_corrupt_record"].isNotNull()).select("path", F.col("value").alias("line"))
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
