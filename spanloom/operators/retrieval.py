@@ -55,6 +55,8 @@ def neighbours(targets: DataFrame, demos: DataFrame, k: int = 50, leave_one_out:
     block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     t = targets.withColumn("tb", block(t_blocks, 1)).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))))
     d = demos.withColumn("db", block(d_blocks, 2)).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))))
+    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: cells are few bytes but much work
+    t, d = (x.repartition(n, "tb", "db") for x in (t, d))
     found = t.groupBy("tb", "db").cogroup(d.groupBy("tb", "db")).applyInArrow(_cell(k, leave_one_out), "target long, demo long, similarity double")
     order = Window.partitionBy("target").orderBy(F.col("similarity").desc(), "demo")
     return found.withColumn("neighbor_rank", F.row_number().over(order)).where(F.col("neighbor_rank") <= k)

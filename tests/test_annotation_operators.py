@@ -241,7 +241,7 @@ def test_sources(spark, tmp_path):
         jsonio.freeze({"t": df}, f"file://{tmp_path}/staged")
     jsonio.publish(spark, f"file://{tmp_path}/staged", f"file://{tmp_path}/final")
     assert spark.read.parquet(f"file://{tmp_path}/final/t").count() == 1 and jsonio.withdraw(spark, f"file://{tmp_path}/final")
-    assert jsonio.file_digests(spark, f"file://{lines}").first()["bytes"] == 32
+    assert jsonio.file_digests(spark, f"file://{lines}").first()["bytes"] == 33
 
 
 def test_model_calls(spark):
