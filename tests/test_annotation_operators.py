@@ -292,3 +292,67 @@ def test_runs(spark, tmp_path):
         Run.start(spark, base, "r1", {"v": 1}, resume=True)
     with pytest.raises(ValueError):
         Run.start(spark, base, "../x", {})
+
+
+def test_relations(spark, tmp_path):
+    from spanloom.sources import relations as R
+
+    s = spark.createDataFrame([(1, "fine"), (2, " "), (3, "a <skill>"), (1, "again")], R.SENTENCE)
+    assert sorted(map(tuple, R.sentence_violations(s).collect())) == [(1, "idx_not_unique"), (2, "blank_sentence"), (3, "reserved_tag")]
+    p = spark.createDataFrame([(1, "a", "v1"), (2, "b", "v2")], R.SENTENCE + ", prompt_version string")
+    assert [tuple(r) for r in R.prompt_violations(p).collect()] == [(2, "prompt_version_differs")]
+    ind = R.independent_targets(s)
+    sha = {r["source_sha256"] for r in ind.collect()} | {r["source_sha256"] for r in R.independent_targets(s.repartition(5).orderBy("sentence")).collect()}
+    assert len(sha) == 1 and ind.first()["dataset_id"] == "sentence-dataset-" + sha.pop()[:16]
+    assert R.with_defaults(s.limit(1), {"idx": F.lit(9), "v": F.lit("d")}).first()["v"] == "d"
+    assert [r["idx"] for r in R.targets("independent", s, s.where("idx > 1"), limit=1).collect()] == [2]
+    for bad in ({"mode": "x"}, {"mode": "independent"}, {"mode": "leave-one-out", "limit": 0}):
+        with pytest.raises(ValueError):
+            R.targets(decisions=s, **bad)
+    assert [r["idx"] for r in R.misplaced(s.where("idx > 1"), s.where("idx = 2")).collect()] == [3]
+    d = spark.createDataFrame([(1, "accepted"), (2, "negative"), (3, "unsolved")], "idx long, status string")
+    f = spark.createDataFrame([(1, ["a"] * 5), (2, ["a"])], "idx long, trfs array<string>")
+    assert sorted(map(tuple, R.bundle_violations(d.where("idx = 1"), d, f).collect())) == [(2, "feature_count"), (2, "idx_sets_differ")]
+    c = spark.createDataFrame([(1, 2, 1), (1, 2, 3), (2, 2, 1), (2, 3, 2)], "target long, demo long, selected_rank int")
+    assert sorted(map(tuple, R.candidate_violations(c, 2).collect())) == [(1, "rank_not_position"), (1, "repeated_demo"), (2, "self_match")]
+    sha1 = __import__("hashlib").sha256(b"a").hexdigest()
+    log = spark.createDataFrame([(1, 1, sha1, "m", [9.0]), (1, 2, sha1, "m", [1.0]), (2, 3, sha1, "m", [1.0])], "idx long, seq int, sentence_sha256 string, model string, vector array<double>")
+    assert [tuple(r) for r in R.embedding_cache(log, spark.createDataFrame([(1, "a"), (2, "b")], R.SENTENCE), "m", 1).collect()] == [(1, [1.0])]
+    g = spark.createDataFrame([(1, "use SQL and Go", 1, ["Go", "SQL"]), (2, "a a", 1, ["a"]), (3, "x", 1, [])], R.GOLD)
+    assert [tuple(x) for x in R.gold_spans(g.where("idx = 1")).first()["spans"]] == [(4, 7, "SQL"), (12, 14, "Go")]
+    assert sorted(map(tuple, R.gold_violations(g).collect())) == [(2, "span_not_unique"), (3, "has_skill_differs")]
+    (tmp_path / "records.jsonl").write_text("{}\n{}\n")
+    good = {"sha256": __import__("hashlib").sha256(b"{}\n{}\n").hexdigest(), "bytes": 6, "rows": 2}
+    assert R.catalog_violations(spark, {"files": {"records.jsonl": good}}, f"file://{tmp_path}").count() == 0
+    assert sorted(r["rule"] for r in R.catalog_violations(spark, {"files": {"records.jsonl": good | {"bytes": 1, "rows": 3}}}, f"file://{tmp_path}").collect()) == ["bytes", "rows"]
+
+
+def test_protocol(spark):
+    import json
+
+    from spanloom.plans import protocol as P
+
+    assert P.tagged_spans('{"annotated_sentence": "use <skill>SQL</skill> now"}', "use SQL now") == [(4, 7, "SQL")]
+    for bad in ('{"annotated_sentence": "a"} x', '{"annotated_sentence": "a", "annotated_sentence": "b"}', "[]", '{"annotated_sentence": "<skill>a<skill>b</skill></skill>"}', '{"annotated_sentence": "<skill></skill>"}', '{"annotated_sentence": "b"}'):
+        with pytest.raises(P.Invalid):
+            P.tagged_spans(bad, "a")
+    row = lambda d, s, r: {"demo": d, "score": s, "role": r, "reason": ""}
+    candidates = [(7, "accepted"), (8, "negative")]
+    body = lambda *rows: json.dumps({"judgments": rows})
+    assert P.judgments(body(row(8, 2, "contrastive"), row(7, 4, "supporting")), candidates) == [(7, 4, "supporting"), (8, 2, "contrastive")]
+    for bad in (body(row(7, 4, "supporting")), body(row(7, True, "supporting"), row(8, 2, "irrelevant")), body(row(7, 6, "supporting"), row(8, 2, "irrelevant")), body(row(7, 4, "contrastive"), row(8, 2, "irrelevant")), body(row(7, 4, "supporting"), row(7, 4, "supporting"))):
+        with pytest.raises(P.Invalid):
+            P.judgments(bad, candidates)
+    proposal = lambda added, *d: json.dumps({"decisions": [{"feature": f, "decision": x, "reason": ""} for f, x in d], "added": added})
+    assert P.feature_proposal(proposal(["new"], ("a", "keep"), ("b", "drop")), ["a", "b"], "s", True) == (["a"], ["new"])
+    for bad in (proposal(["A"], ("a", "keep")), proposal([], ("b", "keep")), proposal(["s"], ("a", "keep")), proposal([], ("a", "maybe"))):
+        with pytest.raises(P.Invalid):
+            P.feature_proposal(bad, ["a"], "s", True)
+    schema = P.judgment_schema([7, 8])
+    assert schema["properties"]["judgments"]["minItems"] == 2 and schema["additionalProperties"] is False and P.feature_schema(["a"])["required"] == ["added", "decisions"]
+    raw = spark.createDataFrame([(1, '{"annotated_sentence": "a"}', "a"), (2, "no", "a")], "id long, content string, sentence string")
+    got = {r["id"]: (r["value"], r["error"] is None) for r in P.parsed(raw, P.tagged_spans, "sentence").collect()}
+    assert got == {1: ("[]", True), 2: (None, False)}
+    p = spark.createDataFrame([("it",)], "sentence string").select(P.prompt("Judge", 40, sentence=F.col("sentence"), n=F.lit(1)).alias("p")).first()["p"]
+    assert p["text"] == 'Judge\n{"n":1,"sentence":"it"}' and p["fits"]
+    assert len(P.repair_messages([], "x", "e" * 900, "c")[1]["content"]) == 802
