@@ -143,6 +143,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, factor: int = 64) ->
     cell, found = ["dim", "shard", "block"], "query_id long, vec_id long, score long"
 
     def against(q: DataFrame, r: DataFrame) -> DataFrame:
+        q, r = (x.select(*(F.col(c).alias(c) for c in x.columns)) for x in (q, r))  # both come from the same rows
         return q.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(_searched(k), found)
 
     at_home = rows.where(F.col("shard") < blocks).withColumn("block", F.explode(F.expr(f"filter(sequence(0, {blocks - 1}), b -> b % {shards} = shard)")))
@@ -152,7 +153,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, factor: int = 64) ->
         best = first
     else:
         bars = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min(F.struct("score", (-F.col("vec_id")).alias("minus"))).alias("last")).where(F.col("n") >= k)
-        barred = queries.join(bars, queries["vec_id"] == bars["query_id"], "left").select("vec_id", "v", "dim", "block", F.col("last.score").alias("bar_score"), (-F.col("last.minus")).alias("bar_id"))
+        barred = queries.join(bars.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", "dim", "block", F.col("last.score").alias("bar_score"), (-F.col("last.minus")).alias("bar_id"))
         other = barred.withColumn("shard", F.explode(F.expr(f"filter(sequence(0, {shards - 1}), s -> s != block % {shards})")))
         everywhere = rows.withColumn("block", F.explode(F.expr(f"filter(sequence(0, {blocks - 1}), b -> b % {shards} != shard)")))
         best = first.unionByName(against(other, everywhere))
