@@ -70,16 +70,42 @@ def reranked(found: DataFrame, reliability: DataFrame, k: int = 16) -> DataFrame
     return both.withColumn("selected_rank", rank).withColumn("selected_rank", F.when(F.col("selected_rank") <= k, F.col("selected_rank")))
 
 
+def _nearest_cell(candidates: pa.Table, tokens: pa.Table) -> pa.Table:
+    out = ([], [], [], [])
+    if candidates.num_rows and tokens.num_rows:
+        ids = tokens["token"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, w = ids[order], _matrix(tokens["v"])[order]
+        for name, v in zip(candidates["candidate"].to_pylist(), _matrix(candidates["v"]), strict=True):
+            distance = np.round(np.sqrt(((w - v) ** 2).sum(1)), 8)
+            at = int(distance.argmin())
+            out[1].append(name)
+            out[2].append(float(distance[at]))
+            out[3].append(int(ids[at]))
+        out[0].extend(candidates["group"].to_pylist())
+    kinds = (candidates.schema.field("group").type, pa.int64(), pa.float64(), pa.int64())
+    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["group", "candidate", "distance", "token"])
+
+
 def nearest_in_group(candidates: DataFrame, tokens: DataFrame, k: int = 5) -> DataFrame:
     """group, candidate, distance, token, rank: each candidate's nearest token (first on ties), and the k nearest candidates of a group.
 
-    candidates (group, candidate, v) and tokens (group, token, v) meet within their group only; the distance is
-    Euclidean, rounded to 8 decimals.
+    candidates (group, candidate, v) and tokens (group, token, v) meet within their group only. A group's tokens are
+    dealt to the blocks that its size needs, so a cell is bounded and gives one row a candidate, not one a pair. The
+    distance is Euclidean, rounded to 8 decimals.
     """
-    c = candidates.select("group", "candidate", "v")
-    t = tokens.select("group", "token", F.col("v").alias("w"))
-    squared = F.aggregate(F.zip_with("v", "w", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    pairs = c.join(t, "group").withColumn("distance", F.round(F.sqrt(squared), 8))
-    best = pairs.groupBy("group", "candidate").agg(F.min(F.struct("distance", "token")).alias("best")).select("group", "candidate", "best.distance", "best.token")
+    t_blocks = tokens.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tbs"))
+    c_blocks = candidates.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cbs"))
+    blocks = t_blocks.join(c_blocks, "group")
+    deal = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    c = candidates.join(blocks, "group").withColumn("cb", deal("candidate", "cbs")).withColumn("tb", every("tbs")).select("group", "candidate", "v", "cb", "tb")
+    t = tokens.join(blocks, "group").withColumn("tb", deal("token", "tbs")).withColumn("cb", every("cbs")).select("group", "token", "v", "cb", "tb")
+    n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = ["group", "cb", "tb"]
+    c, t = (x.select(*(F.col(y).alias(y) for y in x.columns)).repartition(n, *cell) for x in (c, t))
+    group = dict(candidates.dtypes)["group"]
+    near = c.groupBy(*cell).cogroup(t.groupBy(*cell)).applyInArrow(_nearest_cell, f"group {group}, candidate long, distance double, token long")
+    best = near.groupBy("group", "candidate").agg(F.min(F.struct("distance", "token")).alias("best")).select("group", "candidate", "best.distance", "best.token")
     order = Window.partitionBy("group").orderBy("distance", "candidate")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

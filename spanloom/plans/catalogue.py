@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import assemble, checks, consensus, gate, interaction, metrics, results, retrieval, spans, termstats
+from spanloom.plans import protocol
+from spanloom.sources import model, relations
 from spanloom.streaming import log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -679,6 +681,56 @@ def gate_anchor_checks(spark, d):
     return a.select("target", "has_kept", "scores_ok", interaction.context_status(F.col("c"), F.col("m")).alias("status"))
 
 
+# --- sources and model answers
+
+
+@query("SELECT user_id AS idx, 'idx_not_unique' AS rule FROM events GROUP BY user_id HAVING count(*) > 1 UNION ALL SELECT user_id, 'reserved_tag' FROM events WHERE contains(event_type, 'click')")
+def source_violations(spark, d):
+    rows = t(spark, d, "events").select(F.col("user_id").alias("idx"), F.col("event_type").alias("sentence"))
+    return relations.sentence_violations(rows, reserved=("click",))
+
+
+@query("SELECT doc_id AS idx FROM documents WHERE text <> replace(text, '|', '')")
+def misplaced_sentences(spark, d):
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.col("text").alias("sentence"))
+    return relations.misplaced(rows, rows.withColumn("sentence", F.replace("sentence", F.lit("|"), F.lit(""))))
+
+
+@query("""SELECT item_id AS idx, CAST(strpos(text, ' ') - 1 AS INTEGER) AS start, CAST(strpos(text, ' ') - 1 + length(text) - length(replace(text, ' ', '')) AS INTEGER) AS spaces_after FROM benchmark""")
+def substring_counts(spark, d):
+    b = t(spark, d, "benchmark")
+    first = F.position(F.lit(" "), F.col("text")) - 1
+    return b.select(F.col("item_id").alias("idx"), first.cast("int").alias("start"), (first + relations.occurrences(F.col("text"), F.lit(" "))).cast("int").alias("spaces_after"))
+
+
+@query()
+def frozen_targets(spark, d):
+    rows = relations.independent_targets(t(spark, d, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("sentence")))
+    return rows.select("dataset_id", "record_id", "source_sha256", "idx")
+
+
+@query("""SELECT conv_id * 1000 + turn AS id, '[]' AS value FROM conversations WHERE turn % 2 = 0""")
+def strict_parse(spark, d):
+    rows = t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("sentence"), "turn")
+    content = F.to_json(F.struct(F.col("sentence").alias("annotated_sentence")))
+    rows = rows.withColumn("content", F.when(F.col("turn") % 2 == 0, content).otherwise(F.concat(content, F.lit(" and more"))))
+    return protocol.parsed(rows, protocol.tagged_spans, "sentence").where("error is null").select("id", "value")
+
+
+@query()
+def model_conversation(spark, d):
+    prompts = t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))
+    return model.converse(prompts, lambda: model.FakeClient(fail_first=1), _json_error).select("id", "status", "n_attempts", "content")
+
+
+def _json_error(content: str) -> str | None:
+    try:
+        protocol.strict_object(content, {"digest"})
+    except protocol.Invalid as e:
+        return str(e)
+    return None
+
+
 # --- replay
 
 
