@@ -24,7 +24,7 @@ CHUNK = 2 * HALF
 SLICE = 64 * HALF
 #: Labelled rows that training takes of each class, at most, and the longest text among them.
 TRAIN_ROWS, TRAIN_CHARS = 700, 12_000
-STEPS, BATCH = 500, 48
+STEPS, BATCH = 700, 48
 
 
 def _bytes(text: str | None) -> np.ndarray:
@@ -123,6 +123,8 @@ def train(texts: list[str], labels: list[int], seed: int = 11, steps: int = STEP
                 spots[i] = np.argsort(-z)[:2] * HALF
         pick = np.concatenate([rng.choice(g, BATCH // 2) for g in groups])
         chunks = np.stack([data[i][a : a + CHUNK + WIDTH - 1] for i in pick for a in (rng.choice(spots[i]),)])
+        for i in np.flatnonzero(rng.random(len(chunks)) < 0.3):  # short texts are chunks that end in zeros
+            chunks[i, int(rng.integers(64 if bad[pick[i]] else 16, CHUNK)) :] = 0
         rate = 0.004 * (1 - step / steps) + 0.0002
         for k, g in _gradients(model, chunks, bad[pick], np.ones(len(pick), np.float32)).items():
             first, second = moment[k]
@@ -135,7 +137,13 @@ def train(texts: list[str], labels: list[int], seed: int = 11, steps: int = STEP
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    return train(*training_rows(documents, labels, "quality", rows=TRAIN_ROWS, longest=TRAIN_CHARS))
+    """Trains on a sample with as many good as bad rows, then gives the classes the weight that all learnable labels have."""
+    texts, marks = training_rows(documents, labels, "quality", rows=TRAIN_ROWS, longest=TRAIN_CHARS)
+    model = train(texts, marks)
+    counts = dict(labels.where(~in_fold(F.col("doc_id"), 5, 0) & F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count("*")).collect())
+    if len(counts) == 2 == len(set(marks)):
+        model.shift += float(np.log(counts[0] / counts[1]) - np.log(marks.count(0) / marks.count(1)))
+    return model
 
 
 def scorer(model: Model):
