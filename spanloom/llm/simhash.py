@@ -184,7 +184,9 @@ def links(fps: DataFrame) -> DataFrame:
     """u, v: links between the distinct values of fp (long) that join what near-duplicates join."""
     cells = _cells(fps.select("fp").distinct())
     cell = ["trie", "block", "extra", "low", "mask"]
-    return cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cell_links, "u long, v long")
+    # a number of its own: else cells of few bytes, but much work, are put together in one task
+    partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(partitions, *cell).sortWithinPartitions(*cell).mapInArrow(_cell_links, "u long, v long")
 
 
 def stars(edges: DataFrame, name: str = "stars") -> DataFrame:
