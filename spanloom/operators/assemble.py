@@ -52,3 +52,34 @@ def ordered_distinct(rows: DataFrame, key: str, position: str, value: str) -> Da
     """key, value, place: each key's distinct values in the order in which they first occur."""
     first = rows.groupBy(key, value).agg(F.min(position).alias("__first"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("__first"))).drop("__first")
+
+
+def selected(rows: DataFrame, identities: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of the identities asked for."""
+    return rows.join(identities.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def missing_identities(rows: DataFrame, identities: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Identities asked for that no row has."""
+    return identities.select(*keys).distinct().join(rows.select(*keys), list(keys), "left_anti")
+
+
+def reordered(items: Column, ids: Column, key: str) -> Column:
+    """The items (array of structs) in the order of ids; an id without an item is null."""
+    return F.transform(ids, lambda i: F.get(F.filter(items, lambda x: x[key] == i), F.lit(0)))
+
+
+def review_reasons(trf_status: Column, exemplar_status: Column, examples: Column, experts: dict[str, Column]) -> Column:
+    """Ordered reasons why a target needs review; disagreement of experts isn't one."""
+    cases = [
+        F.when(trf_status == "needs_review", "trf_context_needs_review"), F.when(exemplar_status == "needs_review", "exemplar_context_needs_review"),
+        F.when(examples == 0, "no_helpful_examples"), F.when(examples == 1, "insufficient_helpful_examples"),
+        *(F.when(availability != "available", f"expert_prediction_missing:{name}") for name, availability in experts.items()),
+    ]
+    return F.array_compact(F.array(*cases))
+
+
+def labelled(rows: DataFrame, text: str, classes: DataFrame, phrase: str = "phrase") -> DataFrame:
+    """rows with the columns of a labelled table whose phrase is the text, whatever its case; null without one."""
+    keyed = classes.withColumn("__key", F.lower(F.trim(phrase))).drop(phrase)
+    return rows.withColumn("__key", F.lower(F.trim(text))).join(keyed, "__key", "left").drop("__key")

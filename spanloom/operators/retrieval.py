@@ -109,3 +109,14 @@ def nearest_in_group(candidates: DataFrame, tokens: DataFrame, k: int = 5) -> Da
     best = near.groupBy("group", "candidate").agg(F.min(F.struct("distance", "token")).alias("best")).select("group", "candidate", "best.distance", "best.token")
     order = Window.partitionBy("group").orderBy("distance", "candidate")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def pooled(words: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
+    """key, start, end, v: each word's mean of the vectors of the pieces that overlap it; words without a piece are left out.
+
+    words (key, start, end) and pieces (key, p_start, p_end, v) meet within a sentence. A word's sums are made from
+    elements, so no array of arrays is gathered.
+    """
+    met = words.join(pieces, key).where(F.greatest("start", "p_start") < F.least("end", "p_end"))
+    each = met.select(key, "start", "end", F.posexplode("v").alias("__at", "__x")).groupBy(key, "start", "end", "__at").agg(F.avg("__x").alias("__x"))
+    return each.groupBy(key, "start", "end").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__x"))), lambda s: F.round(s["__x"], 9)).alias("v"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import assemble, checks, consensus, gate, interaction, metrics, results, retrieval, spans, termstats
+from spanloom.operators import assemble, checks, consensus, diagnostics, gate, interaction, metrics, results, retrieval, spans, termstats
 from spanloom.plans import protocol
 from spanloom.sources import model, relations
 from spanloom.streaming import log
@@ -731,6 +731,105 @@ def _json_error(content: str) -> str | None:
     return None
 
 
+# --- diagnostics
+
+
+@query(f"WITH {_RETRIEVAL_SQL}, n AS (SELECT target, count(gate_rank) AS s FROM gated GROUP BY target) SELECT CASE WHEN s = 0 THEN 'no_helpful_examples' ELSE 'insufficient_helpful_examples' END AS reason, count(*) AS n FROM n WHERE s < 2 GROUP BY 1")
+def reason_counts(spark, d):
+    return diagnostics.exploded_counts(gate.selection_records(gate.select(judged(spark, d), "target"), "target"), "reasons", "reason")
+
+
+@query(f"WITH {_LOG_SQL}, last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1) SELECT status, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS event_id FROM last GROUP BY status")
+def call_summary(spark, d):
+    return diagnostics.call_summary(results.latest(log_rows(spark, d), KEYS, "event_id"), "status", ["event_id"])
+
+
+@query("""WITH f AS (SELECT item_id, unnest(range(5)) AS s FROM benchmark), r AS (SELECT item_id, count(*) FILTER (WHERE (item_id * 7 + s * 3) % 4 > 0) AS n_ok FROM f GROUP BY item_id)
+SELECT item_id, n_ok, CASE WHEN n_ok = 5 THEN 'complete' WHEN n_ok > 0 THEN 'partial_failed' ELSE 'failed' END AS status FROM r""")
+def sample_fan_out(spark, d):
+    calls = diagnostics.fan_out(t(spark, d, "benchmark").select("item_id"))
+    return diagnostics.rolled_up(calls, "item_id", (F.col("item_id") * 7 + F.col("sample_index") * 3) % 4 > 0)
+
+
+@query(f"""WITH {_OUTCOME_SQL}, a AS (SELECT o_orderkey, outcome, n FROM outcomes_ JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) USING (o_orderkey))
+SELECT count(*) AS n, round(count(*) FILTER (WHERE outcome IN ('exact', 'recovered')) / count(*), 6) AS coverage, round(count(*) FILTER (WHERE n > 1) / count(*), 6) AS repair_rate,
+round(count(*) FILTER (WHERE outcome IN ('runtime_failed', 'missing')) / count(*), 6) AS failure_rate, round(count(*) FILTER (WHERE outcome IN ('recovered', 'provisional', 'validation_failed')) / count(*), 6) AS issue_rate,
+round(count(*) FILTER (WHERE outcome = 'provisional') / count(*), 6) AS provisional_rate FROM a""")
+def operational_rates(spark, d):
+    rows = outcome_rows(spark, d).join(order_lines(spark, d).select("o_orderkey", F.col("n_lines").alias("n_attempts")), "o_orderkey")
+    return diagnostics.operational_rates(rows)
+
+
+@query("""WITH c AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END AS c FROM labels), p AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id) AS n FROM c),
+k AS (SELECT doc_id, CASE WHEN c < 2 AND n <= 5 THEN ['toxic', 'bad'][c + 1] ELSE 'fill' END AS category FROM p)
+SELECT doc_id, category FROM k ORDER BY category = 'fill', doc_id LIMIT 20""")
+def review_sample(spark, d):
+    return diagnostics.review_sample(t(spark, d, "labels"), "doc_id", [("toxic", F.col("toxic") == 1), ("bad", F.col("quality") == 0)], 5, 20)
+
+
+@query("SELECT l_orderkey, CAST(max(l_shipdate) < min(l_shipdate + INTERVAL 60 DAY) AS INTEGER) AS overlap FROM lineitem GROUP BY l_orderkey")
+def job_overlaps(spark, d):
+    jobs = t(spark, d, "lineitem").select("l_orderkey", "l_shipdate", (F.col("l_shipdate") + F.expr("INTERVAL 60 DAYS")).alias("until"))
+    return diagnostics.job_overlaps(jobs, "l_orderkey", "l_shipdate", "until")
+
+
+@query("""SELECT a.c_custkey, CAST((c_acctbal > 0) = coalesce(b.active, false) AS INTEGER) AS passed FROM customer a
+LEFT JOIN (SELECT o_custkey AS c_custkey, max(o_totalprice) > 300000 AS active FROM orders GROUP BY ALL) b USING (c_custkey)""")
+def anchor_checks(spark, d):
+    anchors = t(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, "keep").otherwise("drop").alias("must"))
+    state = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.max("o_totalprice") > 300000).alias("active"))
+    return diagnostics.anchor_checks(anchors, state, ["c_custkey"])
+
+
+@query(f"""WITH {_EVAL_SQL}, s AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(exact) AS e, count(*) AS n FROM per), f AS (SELECT round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 9) AS f1, round(e / n, 9) AS e FROM s),
+g AS (SELECT CASE WHEN count(*) FILTER (WHERE gold_has = 0) = 0 THEN 0.0 ELSE round(count(*) FILTER (WHERE gold_has = 0 AND pred_has = 1) / count(*) FILTER (WHERE gold_has = 0), 9) END AS neg FROM per)
+SELECT round(1.0 - f1, 9) AS delta_f1, round(1.0 - e, 9) AS delta_exact, round(0.0 - neg, 9) AS delta_negative, CAST((f1 < 1 AND e <= 1 OR e < 1 AND f1 <= 1) AND neg >= 0 AS INTEGER) AS contributes FROM f, g""")
+def run_comparison(spark, d):
+    gold, predicted = extractors(spark, d)
+    return diagnostics.comparison(metrics.per_target(gold, predicted, "doc_id"), metrics.per_target(gold, gold, "doc_id"))
+
+
+@query(f"""WITH {_EVAL_SQL} SELECT doc_id, round(CASE WHEN len(list_distinct(g || p)) = 0 THEN 1.0 ELSE len(list_intersect(g, p)) / len(list_distinct(g || p)) END, 6) AS jaccard,
+CASE WHEN len(g) > 0 THEN round(len(list_intersect(g, p)) / len(g), 6) END AS recall FROM both_ WHERE covered = 1""")
+def leave_one_out_agreement(spark, d):
+    gold, predicted = extractors(spark, d)
+    both = gold.join(predicted.withColumnRenamed("spans", "other"), "doc_id")
+    return both.select("doc_id", *diagnostics.leave_one_out_agreement(F.col("other"), F.col("spans")))
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, o_orderpriority AS v, 0 AS w, min(o_orderkey) AS f FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), b AS (SELECT o_custkey, o_orderpriority, 1, min(o_orderkey) FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL),
+u AS (SELECT k, v, min(w * 1000000000000 + f) AS f FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY k, v)
+SELECT k AS o_custkey, v AS o_orderpriority, CAST(row_number() OVER (PARTITION BY k ORDER BY f) AS INTEGER) AS place FROM u""")
+def feature_renumber(spark, d):
+    o = t(spark, d, "orders")
+    return diagnostics.renumbered(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'F'"), "o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query("""SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n, array_to_string(list_filter([CASE WHEN c_acctbal < 0 THEN 'trf_context_needs_review' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'exemplar_context_needs_review' END,
+CASE WHEN count(o_orderkey) = 0 THEN 'no_helpful_examples' END, CASE WHEN count(o_orderkey) = 1 THEN 'insufficient_helpful_examples' END, CASE WHEN max(o_totalprice) IS NULL OR max(o_totalprice) <= 300000 THEN 'expert_prediction_missing:trf' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal, c_mktsegment""")
+def aggregator_reasons(spark, d):
+    o = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
+    rows = t(spark, d, "customer").join(o, "c_custkey", "left").fillna(0, ["n", "top"])
+    review = lambda c: F.when(c, "needs_review").otherwise("complete")
+    why = assemble.review_reasons(review(F.col("c_acctbal") < 0), review(F.col("c_mktsegment") == "BUILDING"), F.col("n"), {"trf": F.when(F.col("top") > 300000, "available").otherwise("unavailable")})
+    return rows.select("c_custkey", F.col("n").cast("long").alias("n"), F.array_join(why, ",").alias("reasons"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def identity_selection(spark, d):
+    wanted = t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return assemble.selected(t(spark, d, "orders").select("o_orderkey", "o_custkey"), wanted, ["o_custkey"])
+
+
+@query("""WITH w AS (SELECT l_orderkey AS k, l_linenumber * 10 AS s, l_linenumber * 10 + 12 AS e, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS x FROM lineitem)
+SELECT a.k, CAST(a.s AS INTEGER) AS start, CAST(a.e AS INTEGER) AS "end", round(avg(b.q), 9) AS v0, round(avg(b.x), 9) AS v1 FROM w a JOIN w b ON a.k = b.k AND greatest(a.s, b.s) < least(a.e, b.e) GROUP BY a.k, a.s, a.e""")
+def pooled_vectors(spark, d):
+    line = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 10).cast("int").alias("start"), "l_quantity", "l_discount").withColumn("end", F.col("start") + 12)
+    pieces = line.select("k", F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double")).alias("v"))
+    return retrieval.pooled(line.select("k", "start", "end"), pieces, "k").select("k", "start", "end", F.col("v")[0].alias("v0"), F.col("v")[1].alias("v1"))
+
+
 # --- replay
 
 
