@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.operators import assemble, checks, consensus, diagnostics, gate, interaction, metrics, results, retrieval, spans, termstats
 from spanloom.plans import protocol
-from spanloom.sources import model, relations
+from spanloom.sources import model, relations, shared
 from spanloom.streaming import log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,15 +432,8 @@ def latest_record(spark, d):
 
 @query(f"WITH {_LOG_SQL} SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
 def stream_latest_record(spark, d):
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="spanloom-")
     schema = t(spark, d, "events").schema
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = shared.fresh_path(spark, "stream")
     last = log.compact(spark, d, schema, f"{base}/out", f"{base}/checkpoint", KEYS, "event_id", pattern="events.parquet")
     return last.select("user_id", "event_type", "event_id", F.when(F.col("value") > 50, "complete").otherwise("failed").alias("status"), F.round("value", 6).alias("value"))
 
