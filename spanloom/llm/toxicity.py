@@ -2,7 +2,8 @@
 
 A misspelled word that was never seen still shares most of its n-grams, and so its vectors, with words that were.
 One insult in a long document would vanish in the document's average; so the average is taken over windows of
-WINDOW characters that overlap by half and cover the whole text, and the document takes its worst window.
+WINDOW characters that overlap by half and cover the whole text, and the document takes its worst window. A word that
+is repeated over and over stands once, else its few n-grams alone would make a window's average.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .base import bounded_sample, in_fold, table, text_udf, tune
 BITS, SIZES, DIM = 18, (3, 4, 5), 8
 BLOCK = 48
 WINDOW = 2 * BLOCK
+#: A window with fewer n-grams is averaged as if it had so many.
+LEAST = 100
 #: Blocks that are hashed at a time: it bounds memory for very long texts.
 SLICE = 4096 * BLOCK
 #: Labelled rows that training takes of each class, at most, and the longest text among them.
@@ -29,6 +32,7 @@ _STEP, _MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 def _characters(text: str | None) -> np.ndarray:
     words = (text or "").lower().split()
+    words = [w for w, before in zip(words, [None, *words], strict=False) if w != before]
     return np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "replace"), dtype="<u4")
 
 
@@ -89,7 +93,7 @@ class Model:
         sums, counts = _block_sums(text, self.weight)
         if len(sums) > 1:
             sums, counts = sums[:-1] + sums[1:], counts[:-1] + counts[1:]
-        return sums / np.maximum(counts, 1) + self.bias
+        return sums / np.maximum(counts, LEAST) + self.bias
 
     def score(self, text: str | None) -> float:
         z = self.scale * float(self.window_logits(text).max()) + self.shift
@@ -104,7 +108,7 @@ def _train_bags(vectors, rows, grad_vectors, grad_rows, bags, labels, weights, r
             continue
         sizes = np.array([len(bags[i]) for i in pick])
         flat = np.concatenate([bags[i] for i in pick])
-        mean = np.add.reduceat(vectors[flat], np.append(0, np.cumsum(sizes)[:-1]), axis=0) / sizes[:, None]
+        mean = np.add.reduceat(vectors[flat], np.append(0, np.cumsum(sizes)[:-1]), axis=0) / np.maximum(sizes, LEAST)[:, None]
         logits = mean @ rows[:-1] + rows[-1]
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -115,7 +119,7 @@ def _train_bags(vectors, rows, grad_vectors, grad_rows, bags, labels, weights, r
         g_rows = np.vstack([mean.T @ delta, delta.sum(0)])
         back = delta @ rows[:-1].T
         unique, where = np.unique(flat, return_inverse=True)
-        each = back / sizes[:, None]
+        each = back / np.maximum(sizes, LEAST)[:, None]
         g = np.column_stack([np.bincount(where, np.repeat(each[:, k], sizes), len(unique)) for k in range(each.shape[1])]).astype(np.float32)
         grad_rows += g_rows**2
         rows -= rate * g_rows / np.sqrt(grad_rows + 1e-10)
@@ -128,7 +132,7 @@ def _worst(bags: list[np.ndarray], weight: np.ndarray, count: int = 2) -> list[n
     sizes = np.array([len(b) for b in full])
     if not full:
         return []
-    means = np.add.reduceat(weight[np.concatenate(full)], np.append(0, np.cumsum(sizes)[:-1])) / sizes
+    means = np.add.reduceat(weight[np.concatenate(full)], np.append(0, np.cumsum(sizes)[:-1])) / np.maximum(sizes, LEAST)
     return [full[i] for i in np.argsort(-means, kind="stable")[:count]]
 
 
