@@ -356,3 +356,35 @@ def test_protocol(spark):
     p = spark.createDataFrame([("it",)], "sentence string").select(P.prompt("Judge", 40, sentence=F.col("sentence"), n=F.lit(1)).alias("p")).first()["p"]
     assert p["text"] == 'Judge\n{"n":1,"sentence":"it"}' and p["fits"]
     assert len(P.repair_messages([], "x", "e" * 900, "c")[1]["content"]) == 802
+
+
+def test_smaller_operators(spark):
+    classes = spark.createDataFrame([("Python", "tool"), ("team", "soft")], "phrase string, class string")
+    got = assemble.labelled(spark.createDataFrame([(1, " python "), (2, "x")], "k int, t string"), "t", classes)
+    assert sorted((r["k"], r["class"]) for r in got.collect()) == [(1, "tool"), (2, None)]
+    items = spark.createDataFrame([([(2, "b"), (1, "a")], [1, 2, 3])], "items array<struct<id:int,v:string>>, ids array<int>")
+    r = items.select(assemble.reordered(F.col("items"), F.col("ids"), "id").alias("x")).first()["x"]
+    assert [x and x["v"] for x in r] == ["a", "b", None]
+    asked = spark.createDataFrame([(1,), (9,)], "k int")
+    assert assemble.missing_identities(got, asked, ["k"]).collect() == [(9,)]
+    assert spark.range(1).select(T.redacted(F.lit("key abc"), ["abc"])).first()[0] == "key [REDACTED]"
+    tokens = spark.createDataFrame([("x",)], "t string").select(T.unigram_tokens(F.col("t")), T.nfkc_text(F.lit(None).cast("string")), T.json_quoted(F.lit('a"b\n')))
+    assert tuple(tokens.first()) == (["x"], None, '"a\\"b\\n"')
+
+
+def test_streams(spark, tmp_path):
+    from spanloom.streaming import log
+
+    rows = [(1, "a", 1, "2024-01-01 00:10:00"), (1, "a", 2, "2024-01-01 00:20:00"), (2, "b", 3, "2024-01-01 05:00:00")]
+    df = spark.createDataFrame(rows, "k int, v string, seq int, at string").withColumn("at", F.to_timestamp("at"))
+    source = f"file://{tmp_path}/in"
+    df.coalesce(1).write.parquet(source)
+    args = (df.schema, f"file://{tmp_path}/out", f"file://{tmp_path}/check", ["k"], "seq")
+    assert sorted((r["k"], r["seq"]) for r in log.compact(spark, source, *args).collect()) == [(1, 2), (2, 3)]
+    spark.createDataFrame([(1, "c", 4, None)], "k int, v string, seq int, at timestamp").write.mode("append").parquet(source)
+    assert sorted((r["k"], r["seq"]) for r in log.compact(spark, source, *args).collect()) == [(1, 4), (2, 3)]
+    stream = spark.readStream.schema(df.schema).parquet(source)
+    for name, out in (("latest_now", log.latest_stream(stream, ["k"], "seq")), ("hourly", log.windowed_counts(stream.where("at is not null"), "at", "k"))):
+        out.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", f"file://{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+    assert spark.sql("select k, max(seq) from latest_now group by k order by k").collect() == [(1, 4), (2, 3)]
+    assert spark.sql("select k, max(n) from hourly group by k order by k").collect() == [(1, 2), (2, 1)]
