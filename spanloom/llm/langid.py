@@ -142,11 +142,13 @@ def fit(documents: DataFrame) -> Model:
     Bounds: TRAIN_PER_LANG texts of a language are expected, chosen by a hash against the language's count; TRAIN_ROWS
     in all at most; texts of over TRAIN_CHARS characters aren't taken.
     """
-    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2) & (F.length("text") <= TRAIN_CHARS)).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").agg(F.count("*").alias("texts"))
+    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2) & (F.length("text") <= TRAIN_CHARS))
+    names = known.select("doc_id", "lang")  # texts stay where they are until the rows are chosen
+    counts = names.groupBy("lang").agg(F.count("*").alias("texts"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20))
-    chosen = known.join(counts, "lang").where(draw * F.col("texts") < F.lit(TRAIN_PER_LANG << 20)).select("doc_id", "lang", "text")
-    rows = sorted(bounded_sample(chosen, "doc_id", TRAIN_ROWS).collect())
+    drawn = names.join(counts, "lang").where(draw * F.col("texts") < F.lit(TRAIN_PER_LANG << 20)).select("doc_id")
+    chosen = F.broadcast(bounded_sample(drawn, "doc_id", TRAIN_ROWS).distinct())  # at most TRAIN_ROWS numbers
+    rows = sorted(known.select("doc_id", "lang", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).collect())
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
