@@ -39,26 +39,29 @@ def scan_tags(tagged: Column, tag: str) -> Column:
     """Struct of the text without tags, the spans that they marked, and the first error: nested, unmatched, empty or unclosed."""
     opening, closing = f"<{tag}>", f"</{tag}>"
     parts = F.split(tagged, f"(?={opening}|{closing})|(?<={opening})|(?<={closing})")
+    # the state holds lengths and the last plain part, never the text so far, which would be copied at every part
     zero = F.struct(
-        F.lit("").alias("sentence"),
+        F.lit(0).alias("size"),
+        F.lit("").alias("last"),
         F.array().cast("array<struct<text:string,start:int,end:int>>").alias("spans"),
         F.lit(None).cast("int").alias("at"),
         F.lit(None).cast("string").alias("error"),
     )
 
     def step(s: Column, part: Column) -> Column:
-        size = F.length(s["sentence"])
         opens, closes = part == opening, part == closing
-        error = F.when(s["error"].isNotNull(), s["error"]).when(opens & s["at"].isNotNull(), "nested").when(closes & s["at"].isNull(), "unmatched").when(closes & (s["at"] == size), "empty")
-        span = F.struct(F.substring(s["sentence"], s["at"] + 1, size - s["at"]).alias("text"), s["at"].alias("start"), size.alias("end"))
+        error = F.when(s["error"].isNotNull(), s["error"]).when(opens & s["at"].isNotNull(), "nested").when(closes & s["at"].isNull(), "unmatched").when(closes & (s["at"] == s["size"]), "empty")
+        span = F.struct(s["last"].alias("text"), s["at"].alias("start"), s["size"].alias("end"))
         return F.struct(
-            F.when(opens | closes, s["sentence"]).otherwise(F.concat(s["sentence"], part)).alias("sentence"),
+            F.when(opens | closes, s["size"]).otherwise(s["size"] + F.length(part)).alias("size"),
+            F.when(opens | closes, s["last"]).otherwise(part).alias("last"),
             F.when(closes & error.isNull(), F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"),
-            F.when(opens, size).when(closes, F.lit(None)).otherwise(s["at"]).cast("int").alias("at"),
+            F.when(opens, s["size"]).when(closes, F.lit(None)).otherwise(s["at"]).cast("int").alias("at"),
             error.alias("error"),
         )
 
-    return F.aggregate(parts, zero, step, lambda s: F.struct(s["sentence"].alias("sentence"), s["spans"].alias("spans"), F.when(s["error"].isNull() & s["at"].isNotNull(), "unclosed").otherwise(s["error"]).alias("error")))
+    plain = F.regexp_replace(tagged, f"{opening}|{closing}", "")
+    return F.aggregate(parts, zero, step, lambda s: F.struct(plain.alias("sentence"), s["spans"].alias("spans"), F.when(s["error"].isNull() & s["at"].isNotNull(), "unclosed").otherwise(s["error"]).alias("error")))
 
 
 def families(labels: DataFrame, key: str) -> DataFrame:
