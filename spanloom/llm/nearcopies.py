@@ -1,0 +1,137 @@
+"""Near copies by the Jaccard similarity of their sets of word shingles.
+
+Documents link at SIMILARITY or more. Candidates share one of BANDS keys made of BAND_ROWS minima each; a pair at
+exactly 0.8 shares none with a probability of 2e-7, a closer one with less. Each candidate is held against the exact
+similarity of the two texts. First every document meets the head of each of its buckets, then the documents of a bucket
+that aren't joined yet meet each other, so that a large group of copies takes rows in proportion to its size. Equal
+sets are one node all along.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .base import materialize, text_udf, tune
+from .simhash import components, stars
+
+SEED, SHINGLE, SIMILARITY = 42, 5, 0.8
+BANDS, BAND_ROWS = 40, 5
+#: Shingles whose minima are taken at a time.
+SLICE = 1 << 11
+#: Pairs of a bucket that are given out at a time.
+PAIRS = 1 << 16
+
+_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 31, (BANDS * BAND_ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_OFFSETS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, (BANDS * BAND_ROWS, 1), dtype=np.uint32)
+
+
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes in order. Words as in simhash.fingerprint; shingles of width words, or all words if fewer."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    width, digest = min(width, len(words)), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), SEED) for i in range(len(words) - width + 1)), dtype=np.uint64))
+
+
+def signature(text: str | None, width: int = SHINGLE) -> list[int]:
+    """Signed: a hash of the shingle set, its size, and the key of each band; a text without words has no keys."""
+    own = shingles(text, width)
+    head = [xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), len(own)]
+    if not len(own):
+        return head
+    low, least = (own >> np.uint64(32)).astype(np.uint32), None
+    for at in range(0, len(low), SLICE):
+        some = (low[at : at + SLICE] * _MULTIPLIERS + _OFFSETS).min(1)
+        least = some if least is None else np.minimum(least, some)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return head + [xxhash.xxh64_intdigest(r.tobytes(), band) - (1 << 63) for band, r in enumerate(rows)]
+
+
+def jaccard_reaches(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both + 1e-9 >= similarity * (len(a) + len(b) - both)
+
+
+def _verified(width: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, None
+        for batch in batches:
+            good = []
+            for u, a, b in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("u", "a", "b")), strict=True):
+                if u != last:
+                    last, left = u, shingles(a, width)
+                good.append(jaccard_reaches(left, shingles(b, width), similarity))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in ("u", "v")), pa.array(good, pa.bool_())], ["u", "v", "good"])
+
+    return run
+
+
+def _across(similarity: float):
+    """Pairs of a bucket between different roots whose sizes allow the similarity."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = pa.Table.from_batches(list(batches))
+        fp, n, root = (bucket.column(c).to_numpy() for c in ("fp", "n", "root"))
+        order = np.argsort(root, kind="stable")
+        fp, n, root = fp[order], n[order], root[order]
+        ends = np.searchsorted(root, root, side="right")
+        us, vs, held = [], [], 0
+        for i in range(len(fp)):
+            near = slice(int(ends[i]), None)
+            ok = np.minimum(n[near], n[i]) + 1e-9 >= similarity * np.maximum(n[near], n[i])
+            other = fp[near][ok]
+            us.append(np.minimum(other, fp[i]))
+            vs.append(np.maximum(other, fp[i]))
+            held += len(other)
+            if held and (held >= PAIRS or i == len(fp) - 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                us, vs, held = [], [], 0
+
+    return run
+
+
+def links(numbered: DataFrame, sig: str, row: str, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """u, v: links between the distinct sets of numbered (text, sig, row) that join all that are similar."""
+    s = F.col(sig)
+    nodes = numbered.select(s[0].alias("fp"), s.alias("sig"), F.col(row).alias("row")).groupBy("fp").agg(F.first("sig").alias("sig"), F.min("row").alias("row"))
+    nodes = materialize(nodes.select("fp", F.col("sig")[1].alias("n"), F.expr("slice(sig, 3, size(sig))").alias("keys"), "row"), "nearcopies-nodes")
+    w = Window.partitionBy("key").orderBy("fp")
+    members = nodes.select("fp", "n", F.explode("keys").alias("key")).withColumn("head", F.first(F.struct("fp", "n")).over(w)).withColumn("more", F.lead("fp").over(w).isNotNull())
+    members = materialize(members.where("more or fp != head.fp").select("key", "fp", "n", F.col("head.fp").alias("head"), F.col("head.n").alias("head_n")), "nearcopies-members")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+        rows = nodes.join(wanted, "fp").select("fp", F.col("row").alias(row))
+        texts = materialize(numbered.select(row, "text").join(rows, row).select("fp", "text"), "nearcopies-texts")
+        left, right = texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), texts.select(F.col("fp").alias("v"), F.col("text").alias("b"))
+        return materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_verified(width, similarity), "u long, v long, good boolean"), "nearcopies-verified")
+
+    fits = F.least("n", "head_n") + F.lit(1e-9) >= F.lit(similarity) * F.greatest("n", "head_n")
+    first = verified(materialize(members.where((F.col("fp") != F.col("head")) & fits).select(F.col("head").alias("u"), F.col("fp").alias("v")).distinct(), "nearcopies-pairs"))
+    roots = stars(first.where("good").select("u", "v"), "nearcopies-stars")
+    apart = members.join(roots, members["fp"] == roots["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    split = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    across = apart.join(split, "key", "left_semi").groupBy("key").applyInArrow(_across(similarity), "u long, v long").distinct()
+    second = verified(materialize(across.join(first, ["u", "v"], "left_anti"), "nearcopies-pairs"))
+    return first.unionByName(second).where("good").select("u", "v")
+
+
+def keep_one(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of docs, with all its columns, of each group that links join: that of the smallest doc_id, null first.
+
+    Texts without words are copies of one another.
+    """
+    tune(docs.sparkSession)
+    sig, row = (next(n for k in range(len(docs.columns) + 1) if (n := f"{x}_{k}") not in docs.columns) for x in ("__sig", "__row"))
+    signed = text_udf(lambda: lambda texts: [signature(t, width) for t in texts], "array<long>", pa.list_(pa.int64()))
+    numbered = materialize(docs.withColumn(sig, signed(F.col("text"))).withColumn(row, F.monotonically_increasing_id()), "nearcopies-numbered")
+    rows = numbered.select("doc_id", F.col(sig)[0].alias("fp"), F.col(row).alias("row"))
+    keep = components(rows, lambda _: links(numbered, sig, row, width, similarity)).select(F.col("keeper").alias(row)).distinct()
+    return numbered.join(keep, row, "left_semi").select(*docs.columns)

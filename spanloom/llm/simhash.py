@@ -10,7 +10,7 @@ star contraction joins them into components. Exact copies are one fingerprint al
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -209,10 +209,10 @@ def stars(edges: DataFrame, name: str = "stars") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def components(rows: DataFrame) -> DataFrame:
-    """fp, component_id, keeper for each distinct fp of rows (doc_id, fp, row): the smallest doc_id reachable, and its row."""
+def components(rows: DataFrame, linked: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """fp, component_id, keeper for each distinct fp of rows (doc_id, fp, row): the smallest doc_id reachable by what linked gives, and its row."""
     fps = materialize(rows.groupBy("fp").agg(F.min(F.col("doc_id")).alias("doc_id"), F.min(F.struct("doc_id", "row")).alias("first")), "simhash-fps")
-    roots = fps.join(stars(links(fps), "simhash-stars"), fps["fp"] == F.col("node"), "left").select("fp", "doc_id", "first", F.coalesce("root", "fp").alias("root"))
+    roots = fps.join(stars(linked(fps), "simhash-stars"), fps["fp"] == F.col("node"), "left").select("fp", "doc_id", "first", F.coalesce("root", "fp").alias("root"))
     best = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("first"))
     return roots.select("fp", "root").join(best, "root").select("fp", "component_id", F.col("first.row").alias("keeper"))
 

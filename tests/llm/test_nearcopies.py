@@ -1,0 +1,53 @@
+"""Near copies at a similarity of 0.8 against brute force."""
+
+import random
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from spanloom.llm.base import table
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain(text):
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    k = min(5, len(words))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def brute_kept(rows):
+    sets, root = [plain(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    groups = {}
+    for i, (doc_id, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(doc_id)
+    return sorted(min(ids) for ids in groups.values())
+
+
+def test_stage_keeps_one_of_similar_documents(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    near = []
+    for i in range(120):  # chains: some link only by way of others
+        if i % 40 == 0:
+            rng.shuffle(base)
+        base = [w if rng.random() > 0.012 else f"x{i}" for w in base]
+        near.append((50_000 + i, " ".join(base)))
+    near += [(60_000, ""), (60_001, None), (60_002, " \n"), (60_003, "two words"), (60_004, "Two  Words")]
+    own = table(spark, SF, "documents").select("doc_id", "text").limit(600)
+    docs = own.unionByName(spark.createDataFrame(near, "doc_id long, text string")).withColumn("key", F.lit(0)).cache()
+    want = brute_kept([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    got = corpus_pipeline.one_of_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == want
