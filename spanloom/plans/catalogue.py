@@ -142,6 +142,12 @@ def phrase_contains(spark, d):
     return docs.select("doc_id", interaction.contains_phrase(F.col("text"), F.lit("the and")).cast("int").alias("has_phrase"))
 
 
+@query()
+def phrase_contains_all(spark, d):
+    """As phrase_contains, with a row for every document: word edges are those of Unicode, which its SQL can't tell."""
+    return t(spark, d, "documents").select("doc_id", interaction.contains_phrase(F.col("text"), F.lit("the and")).cast("int").alias("has_phrase"))
+
+
 @query("SELECT doc_id, sha256(replace('Annotate: <sentence_json>', '<sentence_json>', CAST(to_json(text) AS VARCHAR))) AS prompt_sha256 FROM documents")
 def prompts(spark, d):
     filled = F.replace(F.lit("Annotate: <sentence_json>"), F.lit("<sentence_json>"), T.json_quoted(F.col("text")))
