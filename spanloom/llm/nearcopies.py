@@ -1,7 +1,7 @@
 """Near copies by the Jaccard similarity of their sets of word shingles.
 
 Documents link at SIMILARITY or more. Candidates share one of BANDS keys made of BAND_ROWS minima each; a pair at
-exactly 0.8 shares none with a probability of 2e-7, a closer one with less. Each candidate is held against the exact
+exactly 0.8 shares none with a probability of about 1.3e-7, a closer one with less. Each candidate is held against the exact
 similarity of the two texts. First every document meets the head of each of its buckets, then the documents of a bucket
 that aren't joined yet meet each other, so that a large group of copies takes rows in proportion to its size. Equal
 sets are one node all along.
