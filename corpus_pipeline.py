@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import langid, nearcopies, packing, quality
+from spanloom.llm import langid, packing, quality, similar
 from spanloom.llm.base import materialize, table
 from spanloom.llm.tokens import vocabulary_path
 
@@ -21,7 +21,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: links at a Jaccard similarity of 0.8 of shingles of five words."""
-    return nearcopies.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

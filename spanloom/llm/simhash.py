@@ -3,7 +3,7 @@
 Fingerprints link at MOST_BITS or fewer differing bits. Such a pair agrees on one of MOST_BITS + 1 blocks of bits, so
 each fingerprint enters MOST_BITS + 1 tries, rotated so that a block comes first, and a task holds the subtree below
 one block value. In it pairs of nodes are traversed together, level by level: differing bits add up along the way, and
-a pair is pruned when they exceed the budget. Subtrees with very many fingerprints are split by further bits into
+a pair is pruned when they exceed the budget; small nodes are compared row by row. Subtrees with very many fingerprints are split by further bits into
 pairs of subtrees whose prefixes differ by no more than the budget. A task reports a spanning forest of its links; a
 star contraction joins them into components. Exact copies are one fingerprint all along and rejoin at the end.
 """
@@ -26,27 +26,44 @@ SEED, SHINGLE, MOST_BITS = 42, 3, 2
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 #: Fingerprints of a subtree from which it is split, and bits by which it is split at most.
 CELL, SPLIT_BITS = 4096, 12
-#: Node pairs that are traversed at a time.
-FRONT = 200_000
-#: Shingles whose bits are added up at a time.
-SLICE = 1 << 16
+#: Node pairs that are traversed at a time, and pairs of rows up to which two nodes are compared row by row.
+FRONT, LEAF = 50_000, 32
+#: Rows whose bits are added up at a time, as counts of a byte.
+SLICE = 255
 
 
-def fingerprint(text: str | None) -> int:
-    """Unsigned. Words between ASCII white space, A-Z in lower case; shingles of SHINGLE words, or all words if fewer."""
+def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle, repeats included. Words between ASCII white space, A-Z in lower case; shingles of width words, or all words if fewer."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return np.zeros(0, dtype="<u8")
+    joined, width, digest = b" ".join(words), min(width, len(words)), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    width = min(SHINGLE, len(words))
-    starts = np.append(0, ends[:-1] + 1)[: len(words) - width + 1].tolist()
-    ends = ends[width - 1 :].tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for at in range(0, len(starts), SLICE):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + SLICE], ends[at : at + SLICE], strict=True)], dtype="<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(starts), bitorder="little").view("<u8")[0])
+    starts = np.append(0, ends[:-1] + 1)[: len(words) - width + 1]
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)), dtype="<u8", count=len(starts))
+
+
+class Majority:
+    """The bits that are set in over half of all rows of hashes."""
+
+    def __init__(self, words: int = 1):
+        self.rows, self.counts = 0, np.zeros(64 * words, dtype=np.int64)
+
+    def add(self, hashes: np.ndarray) -> Majority:
+        """hashes: (rows, words)."""
+        self.rows += len(hashes)
+        for at in range(0, len(hashes), SLICE):
+            bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + SLICE]).view(np.uint8), axis=1, bitorder="little")
+            self.counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+        return self
+
+    def words(self) -> np.ndarray:
+        return np.packbits(2 * self.counts > self.rows, bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    """Unsigned; zero for a text without words."""
+    return int(Majority().add(shingle_hashes(text)[:, None]).words()[0])
 
 
 def _signed(x: int) -> int:
@@ -58,14 +75,23 @@ def fingerprinter():
     return text_udf(lambda: lambda texts: [_signed(fingerprint(t)) for t in texts], "long", pa.int64())
 
 
-def trie_links(keys: np.ndarray, first_bit: int, budget: int = MOST_BITS, left: int | None = None, spent: int = 0) -> np.ndarray:
-    """Pairs of positions in keys, sorted and distinct, that differ in budget bits or fewer.
+def trie_links(keys: np.ndarray, first_bit: int, budget: int | np.ndarray = MOST_BITS, left: int | None = None, spent: int = 0, group: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of positions in keys, sorted, that differ in budget bits or fewer; with an array, in budget[d] at most among the first d bits.
 
     All keys share the bits above first_bit; or, if left is given, the first left keys share theirs, the others theirs,
-    both differ in spent bits there, and only pairs across are wanted.
+    both differ in spent bits there, and only pairs across are wanted. With group only pairs of different groups are.
     """
     n = len(keys)
-    found = []
+    allowed = np.broadcast_to(budget, 65)
+    turns = None if group is None else np.append(0, np.cumsum(group[1:] != group[:-1]))
+    found = [np.zeros((0, 2), dtype=np.int64)]
+
+    def compare(x: np.ndarray, y: np.ndarray) -> None:
+        near = (x < y) & (np.bitwise_count(keys[x] ^ keys[y]) <= allowed[64])
+        if group is not None:
+            near &= group[x] != group[y]
+        found.append(np.column_stack([x[near], y[near]]))
+
     start = np.array([[0, n, 0, n, spent]] if left is None else [[0, left, left, n, spent]], dtype=np.int64)
     stack = [(first_bit, start)]
     zeros: dict[int, np.ndarray] = {}
@@ -74,14 +100,24 @@ def trie_links(keys: np.ndarray, first_bit: int, budget: int = MOST_BITS, left:
         if len(pairs) > FRONT:
             stack += [(depth, pairs[FRONT:]), (depth, pairs[:FRONT])]
             continue
+        if turns is not None:
+            a, b, c, d, _ = pairs.T
+            pairs = pairs[(turns[b - 1] != turns[a]) | (turns[d - 1] != turns[c]) | (group[a] != group[c])]
         a, b, c, d, e = pairs.T
-        single = (b - a == 1) & (d - c == 1)
-        if single.any():
-            x, y = a[single], c[single]
-            near = (x != y) & (np.bitwise_count(keys[x] ^ keys[y]) <= budget)
-            found.append(np.column_stack([x[near], y[near]]))
-            a, b, c, d, e = pairs[~single].T
-        if depth == 64 or not len(a):
+        size = (b - a) * (d - c)
+        small = size <= LEAF
+        if small.any():
+            many = size[small]
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            wide = np.repeat((d - c)[small], many)
+            compare(np.repeat(a[small], many) + at // wide, np.repeat(c[small], many) + at % wide)
+            a, b, c, d, e = pairs[~small].T
+        if depth == 64:  # equal keys
+            for i, j, k, m in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True):
+                for x in range(i, j):
+                    compare(np.full(m - k, x), np.arange(k, m))
+            continue
+        if not len(a):
             continue
         if depth not in zeros:
             bit = (keys >> np.uint64(63 - depth)) & np.uint64(1)
@@ -93,10 +129,10 @@ def trie_links(keys: np.ndarray, first_bit: int, budget: int = MOST_BITS, left:
         below = [np.column_stack([a, p, c, q, e]), np.column_stack([p, b, q, d, e])]
         below += [np.column_stack([a, p, q, d, e + 1]), np.column_stack([p[other], b[other], c[other], q[other], e[other] + 1])]
         below = np.concatenate(below)
-        below = below[(below[:, 4] <= budget) & (below[:, 0] < below[:, 1]) & (below[:, 2] < below[:, 3])]
+        below = below[(below[:, 4] <= allowed[depth + 1]) & (below[:, 0] < below[:, 1]) & (below[:, 2] < below[:, 3])]
         if len(below):
             stack.append((depth + 1, below))
-    return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+    return np.concatenate(found)
 
 
 def spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -135,49 +171,45 @@ def _cells(fps: DataFrame) -> DataFrame:
     return split.select("trie", "block", "width", "extra", F.least("prefix", F.col("prefix").bitwiseXOR(F.col("mask"))).alias("low"), "mask", (F.col("prefix") == F.least("prefix", F.col("prefix").bitwiseXOR(F.col("mask")))).alias("left"), "key")
 
 
-def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links (u, v) of each cell; its rows follow one another, sorted."""
-    names = ("trie", "block", "width", "extra", "low", "mask")
-
-    def joined(cell: tuple, keys: np.ndarray, sides: np.ndarray) -> pa.RecordBatch | None:
-        trie, _, width, extra, _, mask = cell
-        if len(keys) < 2 or mask and sides.all():
-            return None
-        order = np.lexsort((keys, ~sides))
-        keys, sides = keys[order], sides[order]
-        left = int(sides.sum()) if mask else None
-        if mask and not 0 < left < len(keys):
-            return None
-        pairs = spanning(trie_links(keys, width + extra, left=left, spent=mask.bit_count()), len(keys))
-        if not pairs:
-            return None
-        turn = np.uint64(BLOCKS[trie][0])
-        back = keys >> turn | keys << np.uint64((64 - int(turn)) % 64) if turn else keys
-        at = np.array(pairs)
-        return pa.RecordBatch.from_arrays([pa.array(back[at[:, k]].view(np.int64)) for k in (0, 1)], ["u", "v"])
-
-    cell, keys, sides = None, [], []
+def runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], others: tuple[str, ...]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """Rows that lie together and agree in names: their values, and the arrays of others."""
+    cell, parts = None, []
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
-        key = batch.column(batch.schema.get_field_index("key")).to_numpy(zero_copy_only=False).view(np.uint64)
-        side = batch.column(batch.schema.get_field_index("left")).to_numpy(zero_copy_only=False)
-        if not len(key):
+        columns, rest = ([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in some] for some in (names, others))
+        if not batch.num_rows:
             continue
-        change = np.zeros(len(key), dtype=bool)
+        change = np.zeros(batch.num_rows, dtype=bool)
         change[0] = True
         for c in columns:
             change[1:] |= c[1:] != c[:-1]
         starts = np.flatnonzero(change).tolist()
-        for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             this = tuple(int(c[a]) for c in columns)
             if this != cell:
-                if cell is not None and (out := joined(cell, np.concatenate(keys), np.concatenate(sides))) is not None:
-                    yield out
-                cell, keys, sides = this, [], []
-            keys.append(key[a:b])
-            sides.append(side[a:b])
-    if cell is not None and (out := joined(cell, np.concatenate(keys), np.concatenate(sides))) is not None:
-        yield out
+                if cell is not None:
+                    yield cell, [np.concatenate(x) for x in zip(*parts, strict=True)]
+                cell, parts = this, []
+            parts.append([x[a:b] for x in rest])
+    if cell is not None:
+        yield cell, [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links (u, v) of each cell; its rows follow one another."""
+    for (trie, _, width, extra, _, mask), (keys, sides) in runs(batches, ("trie", "block", "width", "extra", "low", "mask"), ("key", "left")):
+        if len(keys) < 2:
+            continue
+        keys = keys.view(np.uint64)
+        order = np.lexsort((keys, ~sides))
+        keys, left = keys[order], int(sides.sum())
+        if mask and not 0 < left < len(keys):
+            continue
+        pairs = spanning(trie_links(keys, width + extra, left=left if mask else None, spent=mask.bit_count()), len(keys))
+        if pairs:
+            turn = np.uint64(BLOCKS[trie][0])
+            back = keys >> turn | keys << np.uint64((64 - int(turn)) % 64) if turn else keys
+            at = np.array(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(back[at[:, k]].view(np.int64)) for k in (0, 1)], ["u", "v"])
 
 
 def links(fps: DataFrame) -> DataFrame:

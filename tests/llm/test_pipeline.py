@@ -4,31 +4,38 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import langid, quality, simhash, tokens
+from spanloom.llm import langid, quality, tokens
 from spanloom.llm.base import materialize, table
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain(text):
+    """The set of shingles of five words."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    k = min(5, len(words))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
 def test_pipeline_equals_brute_force(spark):
     docs = table(spark, SF, "documents")
     good, lang = quality.fit(docs, table(spark, SF, "labels")), langid.fit(docs)
     rows = [r for r in docs.collect() if good.score(r["text"]) >= 0.3]
     rows = [r for r in rows if (said := lang.predict(r["text"]))[0] != "und" and said[1] >= 0.4]
-    fps = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in rows}
-    root = {d: d for d in fps}
+    sets = {r["doc_id"]: plain(r["text"]) for r in rows}
+    root = {d: d for d in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in sorted(fps):
-        for b in sorted(fps):
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 2:
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    kept = {d for d in fps if find(d) == d}
+    kept = {d for d in sets if find(d) == d}
     library = tokens.Library(tokens.vocabulary_path("word_bpe_49k.json")).tokenizer
     want = {r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for r in rows if r["doc_id"] in kept}
     pieces = corpus_pipeline.run(spark, SF)
