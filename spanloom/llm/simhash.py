@@ -28,6 +28,8 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 CELL, SPLIT_BITS = 4096, 12
 #: Node pairs that are traversed at a time, and pairs of rows up to which two nodes are compared row by row.
 FRONT, LEAF = 50_000, 32
+#: Pairs that are joined to trees at a time.
+JOINED = 1 << 16
 #: Rows whose bits are added up at a time, as counts of a byte.
 SLICE = 255
 
@@ -75,22 +77,25 @@ def fingerprinter():
     return text_udf(lambda: lambda texts: [_signed(fingerprint(t)) for t in texts], "long", pa.int64())
 
 
-def trie_links(keys: np.ndarray, first_bit: int, budget: int | np.ndarray = MOST_BITS, left: int | None = None, spent: int = 0, group: np.ndarray | None = None) -> np.ndarray:
+def trie_links(keys: np.ndarray, first_bit: int, budget: int | np.ndarray = MOST_BITS, left: int | None = None, spent: int = 0, more: np.ndarray | None = None, most: int = 0) -> np.ndarray:
     """Pairs of positions in keys, sorted, that differ in budget bits or fewer; with an array, in budget[d] at most among the first d bits.
 
     All keys share the bits above first_bit; or, if left is given, the first left keys share theirs, the others theirs,
-    both differ in spent bits there, and only pairs across are wanted. With group only pairs of different groups are.
+    both differ in spent bits there, and only pairs across are wanted. If keys have more words behind them (rows, words),
+    most bits may differ in all.
     """
     n = len(keys)
     allowed = np.broadcast_to(budget, 65)
-    turns = None if group is None else np.append(0, np.cumsum(group[1:] != group[:-1]))
     found = [np.zeros((0, 2), dtype=np.int64)]
 
     def compare(x: np.ndarray, y: np.ndarray) -> None:
-        near = (x < y) & (np.bitwise_count(keys[x] ^ keys[y]) <= allowed[64])
-        if group is not None:
-            near &= group[x] != group[y]
-        found.append(np.column_stack([x[near], y[near]]))
+        differ = np.bitwise_count(keys[x] ^ keys[y])
+        near = (x < y) & (differ <= allowed[64])
+        x, y = x[near], y[near]
+        if more is not None:
+            near = differ[near] + np.bitwise_count(more[x] ^ more[y]).sum(1, dtype=np.int64) <= most
+            x, y = x[near], y[near]
+        found.append(np.column_stack([x, y]))
 
     start = np.array([[0, n, 0, n, spent]] if left is None else [[0, left, left, n, spent]], dtype=np.int64)
     stack = [(first_bit, start)]
@@ -100,9 +105,6 @@ def trie_links(keys: np.ndarray, first_bit: int, budget: int | np.ndarray = MOST
         if len(pairs) > FRONT:
             stack += [(depth, pairs[FRONT:]), (depth, pairs[:FRONT])]
             continue
-        if turns is not None:
-            a, b, c, d, _ = pairs.T
-            pairs = pairs[(turns[b - 1] != turns[a]) | (turns[d - 1] != turns[c]) | (group[a] != group[c])]
         a, b, c, d, e = pairs.T
         size = (b - a) * (d - c)
         small = size <= LEAF
@@ -138,17 +140,21 @@ def trie_links(keys: np.ndarray, first_bit: int, budget: int | np.ndarray = MOST
 def spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     """The pairs that join two trees when they are added one by one."""
     root, out = list(range(n)), []
-    for x, y in pairs.tolist():
-        i, j = x, y
+
+    def top(i: int) -> int:
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
-        while root[j] != j:
-            root[j] = root[root[j]]
-            j = root[j]
-        if i != j:
-            root[max(i, j)] = min(i, j)
-            out.append((x, y))
+        return i
+
+    for at in range(0, len(pairs), JOINED):
+        some = pairs[at : at + JOINED]
+        tops = np.array([top(i) for i in range(n)])
+        for x, y in some[tops[some[:, 0]] != tops[some[:, 1]]].tolist():
+            i, j = top(x), top(y)
+            if i != j:
+                root[max(i, j)] = min(i, j)
+                out.append((x, y))
     return out
 
 
@@ -171,13 +177,20 @@ def _cells(fps: DataFrame) -> DataFrame:
     return split.select("trie", "block", "width", "extra", F.least("prefix", F.col("prefix").bitwiseXOR(F.col("mask"))).alias("low"), "mask", (F.col("prefix") == F.least("prefix", F.col("prefix").bitwiseXOR(F.col("mask")))).alias("left"), "key")
 
 
+def _array(column: pa.Array) -> np.ndarray:
+    """A list column, whose lists have one length, as a matrix."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], others: tuple[str, ...]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
     """Rows that lie together and agree in names: their values, and the arrays of others."""
     cell, parts = None, []
     for batch in batches:
-        columns, rest = ([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in some] for some in (names, others))
         if not batch.num_rows:
             continue
+        columns, rest = ([_array(batch.column(batch.schema.get_field_index(n))) for n in some] for some in (names, others))
         change = np.zeros(batch.num_rows, dtype=bool)
         change[0] = True
         for c in columns:

@@ -1,21 +1,22 @@
 """Near copies at a Jaccard similarity, by SimHash tries of wide fingerprints joined with themselves.
 
 Documents are sets of word shingles. Two sets at SIMILARITY differ in each bit of their SimHash with a known
-probability, about 0.15 at 0.8. So fingerprints are wide, and every trie has its own bits of them: documents that agree
-in a trie's first bits lie in one subtree, in which pairs of nodes are traversed as in simhash.py, with the error
+probability, about 0.15 at 0.8. So fingerprints are wide, and every trie is led by its own bits of them: documents that
+agree in a trie's first bits lie in one subtree, in which pairs of nodes are traversed as in simhash.py, with the error
 budget that the bits seen so far allow. The number of tries is such that a pair at SIMILARITY shares no subtree with a
-probability of at most MISSED. Whatever a traversal finds is held against all bits and then against the exact
-similarity of the two sets.
+probability of at most MISSED.
 
-Copies in large groups would all meet one another. So neighbouring leaves of the first tries come first: those that
-seem similar by all their bits are presumed one group, and a traversal skips pairs of nodes inside a group. The presumed
-links are checked like all others; groups that they don't hold together after all are traversed again without them.
+Copies in large groups would all meet one another. So a subtree reports a spanning forest of what it finds, and the
+forests join documents into groups that hold all links. Only members of groups get still wider fingerprints, by which
+each group gives the shortest spanning forest; its links are held against the exact similarity and join members under
+roots. Links may then be left between members with different roots only, whose fingerprints are near enough; these are
+held against the exact similarity too.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,17 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import materialize, text_udf, tune
-from .simhash import SEED, Majority, components, runs, shingle_hashes, stars, trie_links
+from .simhash import SEED, Majority, components, runs, shingle_hashes, spanning, stars, trie_links
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Probability that a pair at SIMILARITY shares no subtree, at most.
-MISSED = 1e-3
+#: Probability that a pair at SIMILARITY shares no subtree, at most, and that it differs in more bits than are allowed.
+MISSED, STRAYED = 1e-3, 1e-6
 #: Documents that a subtree is to hold on average, and that a task holds of one at a time.
-HOLDS, CELL = 128, 4096
-#: Tries whose neighbouring leaves are presumed links.
-NEIGHBOURS = 3
-#: Shingles that are spread to wide fingerprints at a time.
-SLICE = 1 << 12
+HOLDS, CELL = 512, 4096
+#: Words of a fingerprint that all tries compare, and words of a member's fingerprint.
+KEY, WIDE = 4, 32
+#: Shingles that are spread to wide fingerprints, and pairs that are given out, at a time.
+SLICE, PAIRS = 1 << 12, 1 << 16
 
 
 def allowance(bits: int, differ: float, miss: float) -> int:
@@ -51,20 +52,20 @@ def allowance(bits: int, differ: float, miss: float) -> int:
 
 @dataclass(frozen=True)
 class Plan:
-    """What holds for a number of documents: the bits that lead to a subtree, the tries, and the words of a fingerprint."""
+    """What holds for a number of documents: the bits that lead to a subtree, the tries, and the words that lead."""
 
     width: int
     similarity: float
     prefix: int
     tries: int
-    words: int
+    lead: int
 
     @classmethod
     def of(cls, documents: int, width: int = SHINGLE, similarity: float = SIMILARITY) -> Plan:
         prefix = max(4, math.ceil(math.log2(max(1, documents) / HOLDS)))
         meets = (1 - cls.bit_differs(similarity)) ** prefix
-        tries = max(NEIGHBOURS, math.ceil(math.log(MISSED) / math.log1p(-meets)))
-        return cls(width, similarity, prefix, tries, max(4, math.ceil(tries * prefix / 64)))
+        tries = math.ceil(math.log(MISSED) / math.log1p(-meets))
+        return cls(width, similarity, prefix, tries, math.ceil(tries * prefix / 64))
 
     @staticmethod
     def bit_differs(similarity: float) -> float:
@@ -72,16 +73,12 @@ class Plan:
         return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
     def budget(self) -> np.ndarray:
-        """Differing bits allowed among the first 0 to 64 bits below a prefix."""
-        return np.array([allowance(d, self.bit_differs(self.similarity), 1e-3) for d in range(65)])
+        """Differing bits allowed among the first 0 to 64 bits of a key."""
+        return np.array([allowance(d, self.bit_differs(self.similarity), MISSED) for d in range(65)])
 
-    def most_bits(self) -> int:
-        """Differing bits allowed in all."""
-        return allowance(64 * self.words, self.bit_differs(self.similarity), 1e-6)
-
-    def presumed_bits(self) -> int:
-        """Differing bits that a pair at the similarity has on average."""
-        return int(64 * self.words * self.bit_differs(self.similarity))
+    def most(self, words: int) -> int:
+        """Differing bits allowed in so many words."""
+        return allowance(64 * words, self.bit_differs(self.similarity), STRAYED)
 
 
 def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -89,19 +86,21 @@ def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def signature(text: str | None, width: int, words: int) -> list[int]:
-    """Signed: a hash of the shingle set, its size, and the words of its fingerprint; a text without words has none."""
-    own = shingle_set(text, width)
-    head = [xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), len(own)]
-    if not len(own):
-        return head
-    odd = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) | np.uint64(1)
+def wide_fingerprint(own: np.ndarray, words: int, first: int = 0) -> list[int]:
+    """Signed: that many words of the SimHash of a set, from word first on."""
+    odd = np.arange(first + 1, first + words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) | np.uint64(1)
     total = Majority(words)
     for at in range(0, len(own), SLICE):
         h = (own[at : at + SLICE, None] + odd) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ h >> np.uint64(29)) * odd
         total.add(h ^ h >> np.uint64(32))
-    return head + total.words().view(np.int64).tolist()
+    return total.words().view(np.int64).tolist()
+
+
+def signature(text: str | None, width: int, words: int) -> list[int]:
+    """Signed: a hash of the shingle set, its size, and the words of its fingerprint."""
+    own = shingle_set(text, width)
+    return [xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), len(own), *wide_fingerprint(own, words)]
 
 
 def jaccard_reaches(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -119,71 +118,39 @@ def _verified(similarity: float):
     return run
 
 
-def _window(sig: str, at: int, words: int) -> Column:
-    """64 bits of the fingerprint from bit at on; behind its end it begins anew."""
-    word, bit = at // 64 % words, at % 64
-    own, after = F.col(sig)[word], F.col(sig)[(word + 1) % words]
-    return own if not bit else F.shiftleft(own, bit).bitwiseOR(F.shiftrightunsigned(after, 64 - bit))
+def _entries(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """cell, key, fp, root: a row for each node and trie; each node is its own root."""
 
+    def cell(trie: int) -> Column:
+        word, bit = divmod(trie * plan.prefix, 64)
+        own, after = F.col("sig")[word], F.col("sig")[word + 1]
+        lead = own if not bit else F.shiftleft(own, bit).bitwiseOR(F.shiftrightunsigned(after, 64 - bit))
+        return F.shiftrightunsigned(lead, 64 - plan.prefix) + F.lit(trie << 48)
 
-def _entries(nodes: DataFrame, plan: Plan, *others: str) -> DataFrame:
-    """cell, key and others: a row for each node and trie."""
-
-    def entry(trie: int) -> Column:
-        lead = F.shiftrightunsigned(_window("sig", trie * plan.prefix, plan.words), 64 - plan.prefix)
-        return F.struct((lead + F.lit(trie << 48)).alias("cell"), _window("sig", (trie + 1) * plan.prefix, plan.words).alias("key"))
-
-    return nodes.select(F.explode(F.array(*map(entry, range(plan.tries)))).alias("e"), *others).select("e.*", *others)
-
-
-def _neighbours(words: int, most: int):
-    """u, v: rows that follow one another and differ in most bits or fewer."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fp = batch.column(batch.schema.get_field_index("fp")).to_numpy(zero_copy_only=False)
-            sig = batch.column(batch.schema.get_field_index("sig")).flatten().to_numpy(zero_copy_only=False).reshape(-1, words).view(np.uint64)
-            if before is not None:
-                fp, sig = np.append(before[0], fp), np.concatenate([before[1], sig])
-            near = (np.bitwise_count(sig[1:] ^ sig[:-1]).sum(1, dtype=np.int64) <= most) & (fp[1:] != fp[:-1])
-            before = fp[-1:], sig[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array(fp[:-1][near]), pa.array(fp[1:][near])], ["u", "v"])
-
-    return run
-
-
-def _presumed(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """u, v: neighbouring leaves of the first tries that seem similar by all their bits."""
-    some = Plan(plan.width, plan.similarity, plan.prefix, NEIGHBOURS, plan.words)
-    order = ["cell", "key", "fp"]
-    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    leaves = _entries(nodes, some, "fp", "sig").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    pairs = leaves.mapInArrow(_neighbours(plan.words, plan.presumed_bits()), "u long, v long")
-    return materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "similar-presumed")
+    key = F.slice("sig", plan.lead + 1, KEY).alias("key")
+    return nodes.select(F.explode(F.array(*map(cell, range(plan.tries)))).alias("cell"), key, "fp", F.col("fp").alias("root"))
 
 
 def _dealt(entries: DataFrame) -> DataFrame:
-    """cell, pair, own, left, key, fp, root: the rows that meet have one cell and pair.
+    """entries (cell, fp, root and others) with pair, own, left: the rows that meet have one cell and pair.
 
-    A subtree of over CELL rows is dealt to chunks, and each pair of chunks is a group; but chunks of one root's rows
-    don't meet, so a large group of copies meets what else is in the subtree, and not itself.
+    A cell of over CELL rows is dealt to chunks, and each pair of chunks is a group of its own; but chunks of one root's
+    rows don't meet, so a large group of copies meets what else is in the cell, and not itself.
     """
     whole = {"pair": F.lit(0).cast("long"), "own": F.lit(True), "left": F.lit(True)}
-    columns = ["cell", "pair", "own", "left", "key", "fp", "root"]
-    large = materialize(entries.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL), "similar-large")
+    columns = [*entries.columns, *whole]
+    large = materialize(entries.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > CELL), "similar-large")
     if large.isEmpty():
-        return entries.withColumns(whole).select(*columns)
+        return entries.withColumns(whole)
     split = entries.join(large, "cell")
-    hot = split.groupBy("cell", "root").agg(F.count("*").alias("m")).where(F.col("m") > CELL)
-    rest = hot.groupBy("cell").agg(F.sum("m").alias("hot_rows"))
-    parts = lambda n: F.ceil(n / F.lit(CELL))
+    hot = split.groupBy("cell", "root").agg(F.count("*").alias("hot_rows")).where(F.col("hot_rows") > CELL)
+    rest = hot.groupBy("cell").agg(F.sum("hot_rows").alias("all_hot"))
+    chunks_of = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(CELL)))
     split = split.join(hot, ["cell", "root"], "left").join(rest, "cell", "left")
-    is_hot = F.col("m").isNotNull()
-    chunk = F.when(is_hot, F.pmod(F.xxhash64("fp"), parts(F.col("m")))).otherwise(F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), parts(F.col("n") - F.coalesce("hot_rows", F.lit(0))))))
-    split = materialize(split.select("cell", "key", "fp", "root", F.when(is_hot, F.col("root")).alias("hot"), F.xxhash64(F.coalesce(F.when(is_hot, F.col("root")), F.lit(0)), is_hot, chunk).alias("chunk")), "similar-split")
+    is_hot = F.col("hot_rows").isNotNull()
+    number = F.when(is_hot, F.pmod(F.xxhash64("fp"), chunks_of(F.col("hot_rows")))).otherwise(F.pmod(F.xxhash64("root"), chunks_of(F.col("rows") - F.coalesce("all_hot", F.lit(0)))))
+    split = split.withColumn("hot", F.when(is_hot, F.col("root"))).withColumn("chunk", F.xxhash64(F.coalesce("hot", F.lit(0)), is_hot, number))
+    split = materialize(split.select(*entries.columns, "hot", "chunk"), "similar-split")
     chunks = split.select("cell", "hot", "chunk").distinct()
     a, b = (chunks.select("cell", *(F.col(c).alias(f"{c}_{x}") for c in ("hot", "chunk"))) for x in "ab")
     apart = F.col("hot_a").isNull() | F.col("hot_b").isNull() | (F.col("hot_a") != F.col("hot_b"))
@@ -195,66 +162,114 @@ def _dealt(entries: DataFrame) -> DataFrame:
     return small.select(*columns).unionByName(first.select(*columns)).unionByName(second.select(*columns))
 
 
-def _found(plan: Plan):
-    """u, v: the pairs of a subtree within the budget whose roots differ."""
-    budget = plan.budget()
+def _met(entries: DataFrame, others: tuple[str, ...], pairs: Callable[..., Iterator[np.ndarray]]) -> DataFrame:
+    """u, v: what pairs(own, left, fp, root, *others) gives, as positions, for the rows of each cell."""
+    group = ["cell", "pair", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, own), (left, key, fp, root) in runs(batches, ("cell", "pair", "own"), ("left", "key", "fp", "root")):
-            if len(fp) < 2:
-                continue
-            key = key.view(np.uint64)
-            order = np.lexsort((key, ~left))
-            key, fp, root = key[order], fp[order], root[order]
-            at = trie_links(key, 0, budget, left=None if own else int(left.sum()), group=root)
-            if len(at):
-                u, v = fp[at[:, 0]], fp[at[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
-    return run
-
-
-def _across(nodes: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
-    """u, v: pairs of nodes with different roots that share a subtree and lie within its budget."""
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "sig", F.coalesce("root", "fp").alias("root"))
-    group = ["cell", "pair", "own"]
-    # a number of its own: else subtrees of few bytes, but much work, are put together in one task
-    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = _dealt(_entries(rooted, plan, "fp", "root")).repartition(partitions, *group).sortWithinPartitions(*group)
-    return cells.mapInArrow(_found(plan), "u long, v long").distinct()
+        for (_, _, own), (left, fp, root, *rest) in runs(batches, tuple(group), ("left", "fp", "root", *others)):
+            if len(fp) > 1:
+                for at in pairs(bool(own), left, fp, root, *rest):
+                    u, v = fp[at[:, 0]], fp[at[:, 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    # a number of its own: else cells of few bytes, but much work, are put together in one task
+    partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _dealt(entries).repartition(partitions, *group).sortWithinPartitions(*group).mapInArrow(run, "u long, v long").distinct()
+
+
+def _subtree(plan: Plan):
+    budget, most = plan.budget(), plan.most(KEY)
+
+    def pairs(own: bool, left: np.ndarray, fp: np.ndarray, root: np.ndarray, key: np.ndarray) -> Iterator[np.ndarray]:
+        """A spanning forest of the pairs within the budget."""
+        key = key.view(np.uint64)
+        order = np.lexsort((key[:, 0], ~left))
+        at = trie_links(key[order, 0], 0, budget, left=None if own else int(left.sum()), more=key[order, 1:], most=most)
+        if joins := spanning(at, len(order)):
+            yield order[np.array(joins)]
+
+    return pairs
+
+
+def _fits(n: np.ndarray, size: int, similarity: float) -> np.ndarray:
+    return np.minimum(n, size) + 1e-9 >= similarity * np.maximum(n, size)
+
+
+def _shortest_forest(plan: Plan):
+    most = plan.most(WIDE)
+
+    def pairs(own: bool, left: np.ndarray, fp: np.ndarray, root: np.ndarray, n: np.ndarray, wide: np.ndarray) -> Iterator[np.ndarray]:
+        """The forest of least differing bits among the pairs that may be similar: each member in turn is hung on its nearest."""
+        wide = wide.view(np.uint64)
+        best, to, open_, out = np.full(len(fp), most + 1), np.zeros(len(fp), dtype=np.int64), np.ones(len(fp), dtype=bool), []
+        for _ in range(len(fp)):
+            i = int(np.where(open_, best, most + 2).argmin())
+            if best[i] <= most:
+                out.append((to[i], i))
+            open_[i] = False
+            differ = np.bitwise_count(wide ^ wide[i]).sum(1, dtype=np.int64)
+            nearer = open_ & (differ < best) & _fits(n, n[i], plan.similarity)
+            if not own:
+                nearer &= left != left[i]
+            best[nearer], to[nearer] = differ[nearer], i
+        if out:
+            yield np.array(out)
+
+    return pairs
+
+
+def _all_apart(plan: Plan):
+    most = plan.most(WIDE)
+
+    def pairs(own: bool, left: np.ndarray, fp: np.ndarray, root: np.ndarray, n: np.ndarray, wide: np.ndarray) -> Iterator[np.ndarray]:
+        """All pairs with different roots that may be similar."""
+        wide, out, held = wide.view(np.uint64), [], 0
+        for i in range(len(fp) - 1):
+            later = slice(i + 1, None)
+            near = (root[later] != root[i]) & _fits(n[later], n[i], plan.similarity)
+            if not own:
+                near &= left[later] != left[i]
+            j = i + 1 + np.flatnonzero(near)
+            j = j[np.bitwise_count(wide[j] ^ wide[i]).sum(1, dtype=np.int64) <= most]
+            out.append(np.column_stack([np.full(len(j), i), j]))
+            held += len(j)
+            if held >= PAIRS:
+                yield np.concatenate(out)
+                out, held = [], 0
+        if held:
+            yield np.concatenate(out)
+
+    return pairs
 
 
 def links(numbered: DataFrame, sig: str, row: str, plan: Plan) -> DataFrame:
     """u, v: links between the distinct sets of numbered (text, sig, row) that join all that are similar."""
     s = F.col(sig)
     nodes = numbered.where(s[1] > 0).select(s[0].alias("fp"), s.alias("sig"), F.col(row).alias("row")).groupBy("fp").agg(F.first("sig").alias("sig"), F.min("row").alias("row"))
-    nodes = materialize(nodes.select("fp", F.col("sig")[1].alias("n"), F.slice("sig", 3, plan.words).alias("sig"), "row"), "similar-nodes")
-    as_set = text_udf(lambda: lambda texts: [shingle_set(t, plan.width).tobytes() for t in texts], "binary", pa.binary())
+    nodes = materialize(nodes.select("fp", F.slice("sig", 3, plan.lead + KEY).alias("sig"), "row"), "similar-nodes")
+    found = stars(_met(_entries(nodes, plan), ("key",), _subtree(plan)), "similar-found")
+    grouped = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), F.col("root").alias("cell"))
+    wanted = nodes.join(grouped, "fp").select("fp", "cell", F.col("row").alias(row))
+
+    def member(text: str | None) -> dict:
+        own = shingle_set(text, plan.width)
+        return {"n": len(own), "wide": wide_fingerprint(own, WIDE, plan.lead + KEY), "own": own.tobytes()}
+
+    kind = pa.struct([("n", pa.int64()), ("wide", pa.list_(pa.int64())), ("own", pa.binary())])
+    as_member = text_udf(lambda: lambda texts: [member(t) for t in texts], "struct<n: long, wide: array<long>, own: binary>", kind)
+    members = materialize(numbered.select(row, "text").join(wanted, row).select("fp", "cell", as_member(F.col("text")).alias("m")).select("fp", "cell", "m.*"), "similar-members")
+    left, right = members.select(F.col("fp").alias("u"), F.col("own").alias("a")), members.select(F.col("fp").alias("v"), F.col("own").alias("b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = (nodes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "uv")
-        fits = F.least("nu", "nv") + F.lit(1e-9) >= F.lit(plan.similarity) * F.greatest("nu", "nv")
-        bits = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        close = materialize(pairs.join(left, "u").join(right, "v").where(fits & (bits <= plan.most_bits())).select("u", "v"), "similar-pairs")
-        wanted = nodes.join(close.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp").select("fp", F.col("row").alias(row))
-        sets = materialize(numbered.select(row, "text").join(wanted, row).select("fp", as_set(F.col("text")).alias("own")), "similar-sets")
-        left, right = sets.select(F.col("fp").alias("u"), F.col("own").alias("a")), sets.select(F.col("fp").alias("v"), F.col("own").alias("b"))
-        return materialize(close.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_verified(plan.similarity), "u long, v long, good boolean"), "similar-verified")
-
-    presumed = _presumed(nodes, plan)
-    groups = stars(presumed, "similar-groups")
-    checked = verified(presumed.unionByName(_across(nodes, groups, plan)).distinct())
-    good = checked.where("good").select("u", "v")
-    # presumed groups that good links don't hold together
-    roots = stars(good, "similar-roots")
-    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "presumed")
-    members = members.join(roots, "node", "left").select("node", "presumed", F.coalesce("root", "node").alias("root"))
-    broken = members.groupBy("presumed").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("presumed")
-    again = materialize(members.join(broken, "presumed", "left_semi").select(F.col("node").alias("fp")), "similar-again")
-    if again.isEmpty():
-        return good
-    more = _across(materialize(nodes.join(again, "fp", "left_semi"), "similar-nodes"), roots, plan).join(checked.select("u", "v"), ["u", "v"], "left_anti")
-    return good.unionByName(verified(more).where("good").select("u", "v"))
+        return materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_verified(plan.similarity), "u long, v long, good boolean"), "similar-verified")
+
+    group, others = members.select("cell", "fp", F.col("fp").alias("root"), "n", "wide"), ("n", "wide")
+    first = verified(_met(group, others, _shortest_forest(plan)))
+    roots = stars(first.where("good").select("u", "v"), "similar-roots").select(F.col("node").alias("fp"), F.col("root").alias("new"))
+    group = group.join(roots, "fp", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+    second = verified(_met(group, others, _all_apart(plan)).join(first.select("u", "v"), ["u", "v"], "left_anti"))
+    return first.unionByName(second).where("good").select("u", "v")
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -267,7 +282,7 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARI
     tune(docs.sparkSession)
     plan = Plan.of(docs.count(), width, similarity)
     sig, row = (next(n for k in range(len(docs.columns) + 1) if (n := f"{x}_{k}") not in docs.columns) for x in ("__sig", "__row"))
-    signed = text_udf(lambda: lambda texts: [signature(t, plan.width, plan.words) for t in texts], "array<long>", pa.list_(pa.int64()))
+    signed = text_udf(lambda: lambda texts: [signature(t, plan.width, plan.lead + KEY) for t in texts], "array<long>", pa.list_(pa.int64()))
     numbered = materialize(docs.withColumn(sig, signed(F.col("text"))).withColumn(row, F.monotonically_increasing_id()), "similar-numbered")
     rows = numbered.select("doc_id", F.col(sig)[0].alias("fp"), F.col(row).alias("row"))
     keep = components(rows, lambda _: links(numbered, sig, row, plan)).select(F.col("keeper").alias(row)).distinct()

@@ -75,13 +75,6 @@ def test_large_subtrees_are_dealt_to_chunks(near, monkeypatch):
     assert ids(similar.keep_one(docs)) == want
 
 
-@pytest.mark.parametrize("bits", (0, 100))
-def test_result_does_not_depend_on_what_is_presumed(near, monkeypatch, bits):
-    docs, want = near
-    monkeypatch.setattr(similar.Plan, "presumed_bits", lambda self: bits)
-    assert ids(similar.keep_one(docs)) == want
-
-
 def test_empty_table(near):
     docs, _ = near
     assert similar.keep_one(docs.where("false")).count() == 0
@@ -92,7 +85,7 @@ def test_plan_holds_what_it_says():
         plan = similar.Plan.of(n)
         meets = (1 - plan.bit_differs(0.8)) ** plan.prefix
         assert (1 - meets) ** plan.tries <= similar.MISSED
-        assert plan.tries * plan.prefix <= 64 * plan.words
+        assert plan.tries * plan.prefix <= 64 * plan.lead
 
 
 def test_bits_differ_as_often_as_stated():
