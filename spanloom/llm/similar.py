@@ -31,8 +31,8 @@ from .simhash import SEED, Majority, components, runs, shingle_hashes, spanning,
 SHINGLE, SIMILARITY = 5, 0.8
 #: Probability that a pair at SIMILARITY shares no subtree, at most, and that it differs in more bits than are allowed.
 MISSED, STRAYED = 1e-3, 1e-6
-#: Documents that a subtree is to hold on average, and that a task holds of one at a time.
-HOLDS, CELL = 512, 4096
+#: Documents that a subtree is to hold on average, that a task holds of one, and members of a group, at a time.
+HOLDS, CELL, MEMBERS = 512, 4096, 1024
 #: Words of a fingerprint that all tries compare, and words of a member's fingerprint.
 KEY, WIDE = 4, 32
 #: Shingles that are spread to wide fingerprints, and pairs that are given out, at a time.
@@ -131,21 +131,21 @@ def _entries(nodes: DataFrame, plan: Plan) -> DataFrame:
     return nodes.select(F.explode(F.array(*map(cell, range(plan.tries)))).alias("cell"), key, "fp", F.col("fp").alias("root"))
 
 
-def _dealt(entries: DataFrame) -> DataFrame:
+def _dealt(entries: DataFrame, most: int) -> DataFrame:
     """entries (cell, fp, root and others) with pair, own, left: the rows that meet have one cell and pair.
 
-    A cell of over CELL rows is dealt to chunks, and each pair of chunks is a group of its own; but chunks of one root's
+    A cell of over most rows is dealt to chunks, and each pair of chunks is a group of its own; but chunks of one root's
     rows don't meet, so a large group of copies meets what else is in the cell, and not itself.
     """
     whole = {"pair": F.lit(0).cast("long"), "own": F.lit(True), "left": F.lit(True)}
     columns = [*entries.columns, *whole]
-    large = materialize(entries.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > CELL), "similar-large")
+    large = materialize(entries.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > most), "similar-large")
     if large.isEmpty():
         return entries.withColumns(whole)
     split = entries.join(large, "cell")
-    hot = split.groupBy("cell", "root").agg(F.count("*").alias("hot_rows")).where(F.col("hot_rows") > CELL)
+    hot = split.groupBy("cell", "root").agg(F.count("*").alias("hot_rows")).where(F.col("hot_rows") > most)
     rest = hot.groupBy("cell").agg(F.sum("hot_rows").alias("all_hot"))
-    chunks_of = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(CELL)))
+    chunks_of = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(most)))
     split = split.join(hot, ["cell", "root"], "left").join(rest, "cell", "left")
     is_hot = F.col("hot_rows").isNotNull()
     number = F.when(is_hot, F.pmod(F.xxhash64("fp"), chunks_of(F.col("hot_rows")))).otherwise(F.pmod(F.xxhash64("root"), chunks_of(F.col("rows") - F.coalesce("all_hot", F.lit(0)))))
@@ -162,8 +162,8 @@ def _dealt(entries: DataFrame) -> DataFrame:
     return small.select(*columns).unionByName(first.select(*columns)).unionByName(second.select(*columns))
 
 
-def _met(entries: DataFrame, others: tuple[str, ...], pairs: Callable[..., Iterator[np.ndarray]]) -> DataFrame:
-    """u, v: what pairs(own, left, fp, root, *others) gives, as positions, for the rows of each cell."""
+def _met(entries: DataFrame, most: int, others: tuple[str, ...], pairs: Callable[..., Iterator[np.ndarray]]) -> DataFrame:
+    """u, v: what pairs(own, left, fp, root, *others) gives, as positions, for the rows of each cell, over most rows in chunks."""
     group = ["cell", "pair", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def _met(entries: DataFrame, others: tuple[str, ...], pairs: Callable[..., Itera
 
     # a number of its own: else cells of few bytes, but much work, are put together in one task
     partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _dealt(entries).repartition(partitions, *group).sortWithinPartitions(*group).mapInArrow(run, "u long, v long").distinct()
+    return _dealt(entries, most).repartition(partitions, *group).sortWithinPartitions(*group).mapInArrow(run, "u long, v long").distinct()
 
 
 def _subtree(plan: Plan):
@@ -248,7 +248,7 @@ def links(numbered: DataFrame, sig: str, row: str, plan: Plan) -> DataFrame:
     s = F.col(sig)
     nodes = numbered.where(s[1] > 0).select(s[0].alias("fp"), s.alias("sig"), F.col(row).alias("row")).groupBy("fp").agg(F.first("sig").alias("sig"), F.min("row").alias("row"))
     nodes = materialize(nodes.select("fp", F.slice("sig", 3, plan.lead + KEY).alias("sig"), "row"), "similar-nodes")
-    found = stars(_met(_entries(nodes, plan), ("key",), _subtree(plan)), "similar-found")
+    found = stars(_met(_entries(nodes, plan), CELL, ("key",), _subtree(plan)), "similar-found")
     grouped = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), F.col("root").alias("cell"))
     wanted = nodes.join(grouped, "fp").select("fp", "cell", F.col("row").alias(row))
 
@@ -265,10 +265,10 @@ def links(numbered: DataFrame, sig: str, row: str, plan: Plan) -> DataFrame:
         return materialize(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_verified(plan.similarity), "u long, v long, good boolean"), "similar-verified")
 
     group, others = members.select("cell", "fp", F.col("fp").alias("root"), "n", "wide"), ("n", "wide")
-    first = verified(_met(group, others, _shortest_forest(plan)))
+    first = verified(_met(group, MEMBERS, others, _shortest_forest(plan)))
     roots = stars(first.where("good").select("u", "v"), "similar-roots").select(F.col("node").alias("fp"), F.col("root").alias("new"))
     group = group.join(roots, "fp", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
-    second = verified(_met(group, others, _all_apart(plan)).join(first.select("u", "v"), ["u", "v"], "left_anti"))
+    second = verified(_met(group, MEMBERS, others, _all_apart(plan)).join(first.select("u", "v"), ["u", "v"], "left_anti"))
     return first.unionByName(second).where("good").select("u", "v")
 
 

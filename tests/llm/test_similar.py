@@ -71,6 +71,7 @@ def test_stage_keeps_one_of_similar_documents(spark, near):
 def test_large_subtrees_are_dealt_to_chunks(near, monkeypatch):
     docs, want = near
     monkeypatch.setattr(similar, "CELL", 8)
+    monkeypatch.setattr(similar, "MEMBERS", 8)
     monkeypatch.setattr(simhash, "FRONT", 16)
     assert ids(similar.keep_one(docs)) == want
 
