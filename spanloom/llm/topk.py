@@ -129,12 +129,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, factor: int = 64) ->
     """query_id, rank, vec_id, score: the k best rows for each row where is_query holds, all if there are fewer.
 
     Ties go to the smaller vec_id. A row never finds rows of its own vec_id; vectors meet those of their own length only;
-    of repeated rows each is a candidate. An empty table gives no rows. Only vec_id and embedding are read.
+    of repeated rows each is a candidate; of several vectors with a query's vec_id the shortest, then smallest, is the query. An empty table gives no rows. Only vec_id and embedding are read.
     """
     spark = vectors.sparkSession
     tune(spark)
     rows = materialize(prepared(vectors, factor).withColumn("dim", F.size("v")), "topk-rows")
-    queries = rows.where(is_query).dropDuplicates(["vec_id", "dim"])
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("least")).select("vec_id", "least.v", "least.dim")
     shards = max(1, math.ceil(rows.count() / SHARD_ROWS))
     blocks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
@@ -171,9 +171,11 @@ WITH whole AS (
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), queries AS (
+  SELECT * FROM whole WHERE vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY len(v), v) = 1
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+  FROM queries q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
 )
