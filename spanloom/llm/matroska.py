@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, text_udf, tune
+from .base import materialize, table, text_udf, tune
 
 # Element ids of the Matroska specification.
 EBML, EBML_VERSION, EBML_READ_VERSION, MAX_ID_LENGTH, MAX_SIZE_LENGTH, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -329,13 +329,18 @@ def media_column(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", muxer()(F.col("text")).alias("media"))
 
 
+def stored_features(media: DataFrame) -> DataFrame:
+    """doc_id and the features of each file of media (doc_id, media); null for a null file."""
+    return media.select("doc_id", featurer()(F.col("media")).alias("f")).select("doc_id", "f.*")
+
+
 def media_features(docs: DataFrame) -> DataFrame:
-    """doc_id and the features of the stored file of each row; equal texts have equal values.
+    """Writes the media column of docs to the shared folder and gives doc_id and the features of each file read back; equal texts have equal values.
 
     Null and empty texts are a unit of zero bytes; repeated rows each have their row; a null doc_id stays null; an empty
     table gives no rows. Only doc_id and text are read, so other columns may have any name.
     """
-    return media_column(docs).select("doc_id", featurer()(F.col("media")).alias("f")).select("doc_id", "f.*")
+    return stored_features(materialize(media_column(docs), "media"))
 
 
 def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
