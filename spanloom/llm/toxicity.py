@@ -26,6 +26,8 @@ LEAST = 100
 SLICE = 4096 * BLOCK
 #: Labelled rows that training takes of each class, at most, and the longest text among them.
 TRAIN_ROWS, TRAIN_CHARS = 1000, 20_000
+#: Windows that training draws anew from a clean text in each pass, at most.
+CLEAN_WINDOWS = 12
 
 _STEP, _MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
@@ -150,7 +152,8 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     """Learns from whole labelled texts.
 
-    First each window carries its document's label; after that a toxic document is its worst windows, a clean one all.
+    First each window carries its document's label; after that a toxic document is its worst windows. A clean document
+    is CLEAN_WINDOWS windows, drawn anew in each pass, and from the third pass on its worst ones too.
     With one class only, or none, the score is constant.
     """
     y = np.array(labels, dtype=int)
@@ -167,7 +170,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         bags, marks = [], []
         for d, label in zip(docs, y, strict=True):
             if epoch < 2 or not label:
-                keep = d if label else [d[i] for i in rng.permutation(len(d))[:12]]
+                keep = d if label else [d[i] for i in rng.permutation(len(d))[:CLEAN_WINDOWS]]
             else:
                 keep = _worst(d, model.weight)
             if epoch >= 2 and not label:
