@@ -1,9 +1,9 @@
 """BPE by content-defined chunks, encoded once and joined by repair.
 
 A rolling hash over the last ROLL characters cuts texts where their content says so, so passages shared by documents
-fall into the same chunks; a worker encodes each chunk once and keeps it within a bound. A cut may fall inside a
+fall into the same chunks; a worker encodes each chunk once and keeps it, over all its tasks, within a bound. A cut may fall inside a
 pre-token. So a chunk keeps only the ids between its anchors, places where any encoding of any text around it must
-begin a token: a single space between two characters that aren't white space. What lies from the last anchor before a
+begin a token: white space behind a character that isn't, or an ideographic mark behind an ideograph. What lies from the last anchor before a
 cut to the first one behind it is encoded again; without an anchor the window widens chunk by chunk until both sides
 agree, at the latest at the ends of the text. The ids then are exactly those of the whole text.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ SLICE = 1 << 20
 #: Characters of chunks that a worker remembers before it starts anew.
 REMEMBERED = 16 << 20
 
-_ANCHOR = re.compile(r"(?<=\S) (?=\S)")
+_ANCHOR = re.compile(r"(?<=\S)[ \t\n\r]|(?<=[一-鿪ぁ-ゖァ-ヺ])[。、，！？]")
+#: Characters at the end of a chunk where its last anchor is looked for.
+TAIL = 64
 _MULTIPLIER = 0x9E3779B1
 
 
@@ -84,9 +87,9 @@ class Codec:
         if first is None:
             got = (0, 0, b"")
         else:
-            a, b = first.start(), text.rfind(" ")
-            while not _ANCHOR.match(text, b):
-                b = text.rfind(" ", 0, b)
+            a = b = first.start()
+            for last in _ANCHOR.finditer(text, max(a, len(text) - TAIL)):
+                b = last.start()
             got = (a, b, self.encoder.ids(text[a:b]).tobytes())
         if self.size > REMEMBERED:
             self.known.clear()
@@ -116,6 +119,12 @@ class Codec:
         return b"".join(map(self._bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def codec_of(vocabulary: str, ranks: str | None) -> Codec:
+    """One for each worker process, so that chunks are known from task to task."""
+    return Codec(vocabulary, ranks)
+
+
 _ROW = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
@@ -123,7 +132,7 @@ def coder(vocabulary: str, ranks: str | None):
     """Column function: text to struct<n_tokens, ids_sha256, decoded_sha256> of its encoding and that encoding's decoding."""
 
     def prepare():
-        codec = Codec(vocabulary, ranks)
+        codec = codec_of(vocabulary, ranks)
 
         def row(text: str | None) -> dict:
             ids = codec.encode(text or "")
@@ -138,7 +147,7 @@ def encoder(vocabulary: str, ranks: str | None):
     """Column function: text to binary, its ids as little-endian unsigned 32-bit integers."""
 
     def prepare():
-        codec = Codec(vocabulary, ranks)
+        codec = codec_of(vocabulary, ranks)
         return lambda texts: [codec.encode(t or "") for t in texts]
 
     return text_udf(prepare, "binary", pa.binary())

@@ -263,7 +263,7 @@ def test_stars(spark):
 def brute_top(rows, k, mod=20):
     whole = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in {i: v for i, v in whole if i % mod == 0}.items():
+    for q, a in {i: v for i, v in sorted(whole, key=lambda r: (len(r[1]), r[1]), reverse=True) if i % mod == 0}.items():
         scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in whole if i != q and len(a) == len(b))[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
@@ -272,7 +272,7 @@ def brute_top(rows, k, mod=20):
 def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 0.2, 8).astype(np.float32).tolist()) for i in range(300)]
-    rows += [(1000 + i, rows[3][1]) for i in range(60)] + [(2000, None), (2020, []), (None, rows[0][1]), (2040, [float("nan")] * 8), (2060, [1.0, None] * 4), (2080, [float("inf")] * 8), (2100, [0.5, 0.25]), (2101, [0.5, 1.0])]
+    rows += [(1000 + i, rows[3][1]) for i in range(60)] + [(2000, None), (2020, []), (None, rows[0][1]), (2040, [float("nan")] * 8), (2060, [1.0, None] * 4), (2080, [float("inf")] * 8), (2100, [0.5, 0.25]), (2101, [0.5, 1.0]), (40, rows[7][1]), (40, rows[9][1]), (2100, [0.25, 0.75])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("rank", F.lit(0))
     want = brute_top(rows, 20)
     assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0).collect())) == want
@@ -428,6 +428,13 @@ def test_chunks_follow_content(monkeypatch):
     assert codec.reused > 0.9 * before
     for edges in (bpe.cuts(text), bpe.cuts("x" * 20_000), bpe.cuts("a")):
         assert edges == sorted(set(edges)) and max(b - a for a, b in zip([0, *edges], edges, strict=False)) <= bpe.MOST
+    lines, cjk = text.replace(" ", "\n"), "".join(rng.choices("一二三四五六七八九十", k=40_000)).replace("一二", "。")
+    for other in (lines, cjk):
+        codec = bpe.Codec(BYTE, RANKS)
+        assert np.frombuffer(codec.encode(other), "<u4").tolist() == tokens.Library(BYTE).tokenizer.encode(other, add_special_tokens=False).ids
+        before = codec.encoded
+        codec.encode("\nin front" + other)
+        assert codec.reused > 0.9 * before and sum(len(x[2]) for x in codec.known.values())
     whole = bpe.cuts(text)
     monkeypatch.setattr(bpe, "SLICE", 1000)
     assert bpe.cuts(text) == whole
