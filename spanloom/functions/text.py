@@ -57,9 +57,19 @@ def tokens_with_offsets(text: str | None, placeholder: str = PLACEHOLDER) -> lis
     return out
 
 
+def _edit_operations(source: str | None, other: str | None) -> list[tuple]:
+    return [o for o in difflib.SequenceMatcher(None, source or "", other or "", autojunk=False).get_opcodes() if o[0] != "equal"]
+
+
+def edit_histogram(source: str | None, other: str | None) -> dict:
+    """Number of edit operations of each kind."""
+    kinds = [o[0] for o in _edit_operations(source, other)]
+    return {k: kinds.count(k) for k in ("insert", "delete", "replace")}
+
+
 def edit_summary(source: str | None, other: str | None) -> dict:
     """Number of edit operations and of changed characters on both sides."""
-    ops = [o for o in difflib.SequenceMatcher(None, source or "", other or "", autojunk=False).get_opcodes() if o[0] != "equal"]
+    ops = _edit_operations(source, other)
     return {"n_ops": len(ops), "source_chars": sum(o[2] - o[1] for o in ops), "other_chars": sum(o[4] - o[3] for o in ops)}
 
 
@@ -181,8 +191,10 @@ def offset_tokens(text: Column) -> Column:
 
 
 def edits(source: Column, other: Column) -> Column:
-    kind = pa.struct([("n_ops", pa.int32()), ("source_chars", pa.int32()), ("other_chars", pa.int32())])
-    return _of_two(edit_summary, "struct<n_ops:int,source_chars:int,other_chars:int>", kind, source, other)
+    """Struct of edit_summary() and edit_histogram()."""
+    names = ("n_ops", "source_chars", "other_chars", "insert", "delete", "replace")
+    kind = pa.struct([(n, pa.int32()) for n in names])
+    return _of_two(lambda a, b: edit_summary(a, b) | edit_histogram(a, b), f"struct<{','.join(f'{n}:int' for n in names)}>", kind, source, other)
 
 
 def lenient_json(content: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -36,32 +38,33 @@ def mask(text: Column, spans: Column) -> Column:
 
 
 def scan_tags(tagged: Column, tag: str) -> Column:
-    """Struct of the text without tags, the spans that they marked, and the first error: nested, unmatched, empty or unclosed."""
-    opening, closing = f"<{tag}>", f"</{tag}>"
-    parts = F.split(tagged, f"(?={opening}|{closing})|(?<={opening})|(?<={closing})")
-    # the state holds lengths and the last plain part, never the text so far, which would be copied at every part
-    zero = F.struct(
-        F.lit(0).alias("size"),
-        F.lit("").alias("last"),
-        F.array().cast("array<struct<text:string,start:int,end:int>>").alias("spans"),
-        F.lit(None).cast("int").alias("at"),
-        F.lit(None).cast("string").alias("error"),
-    )
+    """Struct of the text without tags, the spans that they marked before the first error, and that error: nested, unmatched, empty or unclosed.
+
+    Tags must alternate, opening first. So the text is split at its tags once, and the first tag that stands in the wrong
+    turn, or closes nothing, is the error; the odd parts before it are the spans.
+    """
+    opening, either = f"<{tag}>", f"</?{tag}>"
+    split = F.struct(F.regexp_extract_all(tagged, F.lit(f"({either})"), F.lit(0)).alias("tags"), F.split(tagged, either).alias("parts"))
+
+    def measured(x: Column) -> Column:
+        turn = F.transform(x["tags"], lambda t, i: F.when(i % 2 == 0, F.when(t != opening, "unmatched")).when(t == opening, "nested").when(F.get(x["parts"], i) == "", "empty"))
+        begins = F.aggregate(x["parts"], F.array(F.lit(0)), lambda s, p: F.array_append(s, F.element_at(s, -1) + F.length(p)))
+        wrong = F.array_position(F.transform(turn, lambda e: e.isNotNull()), F.lit(True)).cast("int") - 1
+        return F.struct(x["parts"].alias("parts"), F.size(x["tags"]).alias("n"), turn.alias("turn"), begins.alias("begins"), wrong.alias("wrong"))
+
+    def marked(x: Column) -> Column:
+        good = F.when(x["wrong"] >= 0, x["wrong"]).otherwise(x["n"])
+        odd = F.when(good >= 2, F.sequence(F.lit(1), good - F.when(good % 2 == 0, 1).otherwise(2), F.lit(2))).otherwise(F.array().cast("array<int>"))
+        spans = F.transform(odd, lambda i: F.struct(F.get(x["parts"], i).alias("text"), F.get(x["begins"], i).alias("start"), F.get(x["begins"], i + 1).alias("end")))
+        error = F.when(x["wrong"] >= 0, F.get(x["turn"], x["wrong"])).when(x["n"] % 2 == 1, "unclosed")
+        return F.struct(F.array_join(x["parts"], "").alias("sentence"), spans.alias("spans"), error.alias("error"))
+
+    return F.when(tagged.isNotNull(), _named(_named(split, measured), marked))
+
 
-    def step(s: Column, part: Column) -> Column:
-        opens, closes = part == opening, part == closing
-        error = F.when(s["error"].isNotNull(), s["error"]).when(opens & s["at"].isNotNull(), "nested").when(closes & s["at"].isNull(), "unmatched").when(closes & (s["at"] == s["size"]), "empty")
-        span = F.struct(s["last"].alias("text"), s["at"].alias("start"), s["size"].alias("end"))
-        return F.struct(
-            F.when(opens | closes, s["size"]).otherwise(s["size"] + F.length(part)).alias("size"),
-            F.when(opens | closes, s["last"]).otherwise(part).alias("last"),
-            F.when(closes & error.isNull(), F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"),
-            F.when(opens, s["size"]).when(closes, F.lit(None)).otherwise(s["at"]).cast("int").alias("at"),
-            error.alias("error"),
-        )
-
-    plain = F.regexp_replace(tagged, f"{opening}|{closing}", "")
-    return F.aggregate(parts, zero, step, lambda s: F.struct(plain.alias("sentence"), s["spans"].alias("spans"), F.when(s["error"].isNull() & s["at"].isNotNull(), "unclosed").otherwise(s["error"]).alias("error")))
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once, however often use has it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def families(labels: DataFrame, key: str) -> DataFrame:

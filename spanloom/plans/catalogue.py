@@ -105,11 +105,16 @@ def tag_scan(spark, d):
     return scanned.select("doc_id", F.explode("s.spans").alias("span")).select("doc_id", "span.start", "span.end", "span.text")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'nested' ELSE 'unclosed' END AS error FROM documents")
+@query("SELECT doc_id, ['nested', 'unclosed', 'unmatched', 'empty', NULL][doc_id % 5 + 1] AS error, CAST(doc_id % 5 IN (1, 4) AS INTEGER) AS n_spans FROM documents")
 def tag_errors(spark, d):
-    docs = t(spark, d, "documents")
-    broken = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<skill>a<skill>"), "text")).otherwise(F.concat("text", F.lit("<skill>b")))
-    return docs.select("doc_id", spans.scan_tags(broken, "skill")["error"].alias("error"))
+    """Each kind of error, one of them behind a good span, and none."""
+    docs, kind, text = t(spark, d, "documents"), F.col("doc_id") % 5, F.coalesce("text", F.lit(""))
+    broken = (
+        F.when(kind == 0, F.concat(F.lit("<skill>a<skill>"), text)).when(kind == 1, F.concat(F.lit("<skill>a</skill>"), text, F.lit("<skill>b")))
+        .when(kind == 2, F.concat(F.lit("a</skill>"), text)).when(kind == 3, F.concat(F.lit("<skill></skill>"), text)).otherwise(F.concat(F.lit("<skill>a</skill>"), text))
+    )
+    scanned = docs.select("doc_id", spans.scan_tags(broken, "skill").alias("s"))
+    return scanned.select("doc_id", "s.error", F.size("s.spans").alias("n_spans"))
 
 
 @query(f"""WITH {_TAGGED_SQL}, words AS (SELECT doc_id, list(struct_pack(s := upto - size, w := word) ORDER BY k) AS ws FROM placed WHERE k > 1 GROUP BY doc_id)
@@ -136,15 +141,12 @@ def recover_char_projection(spark, d):
     return t(spark, d, "documents").select("doc_id", damaged.alias("damaged")).select("doc_id", F.sha2(fixed, 256).alias("recovered_sha256"), T.substitutions(F.col("damaged")).alias("substituted"))
 
 
-@query(r"SELECT doc_id, CAST(regexp_matches(text, '(?i)(^|[^\w])the\s+and($|[^\w])') AS INTEGER) AS has_phrase FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')")
-def phrase_contains(spark, d):
-    docs = t(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return docs.select("doc_id", interaction.contains_phrase(F.col("text"), F.lit("the and")).cast("int").alias("has_phrase"))
+#: What Java's Unicode \\w has, spelled for the SQL's matcher.
+_SQL_WORD = r"\p{L}\p{M}\p{N}\p{Pc}"
 
 
-@query()
-def phrase_contains_all(spark, d):
-    """As phrase_contains, with a row for every document: word edges are those of Unicode, which its SQL can't tell."""
+@query(rf"SELECT doc_id, CAST(regexp_matches(text, '(?i)(^|[^{_SQL_WORD}])the[\s\p{{Z}}]+and($|[^{_SQL_WORD}])') AS INTEGER) AS has_phrase FROM documents")
+def phrase_contains(spark, d):
     return t(spark, d, "documents").select("doc_id", interaction.contains_phrase(F.col("text"), F.lit("the and")).cast("int").alias("has_phrase"))
 
 
@@ -666,6 +668,21 @@ def score_calibration(spark, d):
     return rows.select("target", "demo", c.alias("c")).select("target", "demo", "c.*")
 
 
+@query()
+def judgment_calibration(spark, d):
+    """The whole ladder over judged demos, with relations, codes and spans made from their numbers; tests hold it against brute force."""
+    n, pick = F.col("demo") * 7 + F.col("target"), lambda k, *some: F.filter(F.array(*map(F.lit, some)), lambda _, i: F.call_function("shiftright", F.col("n"), i + F.lit(k)) % 2 == 1)
+    rows = judged(spark, d).withColumn("n", (n * 40503 % 65536).cast("int"))
+    rows = rows.select(
+        "target", "demo", F.when(F.col("label") >= 5, "accepted").otherwise("negative").alias("status"), "score", F.col("role"), (F.col("n") % 5 + 1).alias("previous"),
+        F.when(F.col("n") % 3 == 0, "contrastive").otherwise("irrelevant").alias("previous_role"), pick(0, "NEGATIVE_CONTRAST", "TASK_MISMATCH").alias("previous_codes"), "similarity",
+        F.transform(pick(2, "alpha", "beta"), lambda x: F.struct(x.alias("text"), F.when(F.col("n") % 2 == 0, "supports").otherwise("contrasts").alias("relation"))).alias("relations"),
+        F.concat(F.array(F.lit("SEMANTIC_ONLY")), pick(4, "TRF_ALIGNED", "BOUNDARY_TRANSFERABLE", "NEGATIVE_CONTRAST", "REDUNDANT")).alias("codes"),
+        F.array(F.lit("alpha"), F.lit("beta"), F.lit("gamma")).alias("active"), pick(8, "Alpha work", "beta").alias("spans"), F.concat_ws(" ", F.lit("we need"), pick(10, "beta", "gamma")).alias("sentence"),
+    )
+    return interaction.calibrated_judgments(rows).select("target", "demo", "score", "role", "effect", "adjustment", F.array_join("codes", ",").alias("codes"), F.array_join("actions", ",").alias("actions"), F.size("relations").alias("n_relations"))
+
+
 @query(r"""SELECT item_id, CASE WHEN regexp_matches(text, '(?i)(^|[^\w])the($|[^\w])') THEN 'keep' ELSE 'drop' END AS cue, CASE WHEN regexp_matches(text, '(?i)(^|[^\w])only($|[^\w])') THEN 'drop' ELSE 'keep' END AS adverb FROM benchmark""")
 def feature_calibration(spark, d):
     b = t(spark, d, "benchmark")
@@ -708,12 +725,31 @@ def frozen_targets(spark, d):
     return rows.select("dataset_id", "record_id", "source_sha256", "idx")
 
 
-@query("""SELECT conv_id * 1000 + turn AS id, '[]' AS value FROM conversations WHERE turn % 2 = 0""")
+_STRICT_SQL = r"""
+kinds AS (SELECT conv_id * 1000 + turn AS id, (conv_id + turn) % 10 AS kind, regexp_extract(coalesce(text, ''), '^[A-Za-z]+') AS word FROM conversations)
+"""
+
+
+@query(rf"""WITH {_STRICT_SQL} SELECT id, CASE WHEN kind = 0 AND word <> '' THEN '[[0, ' || length(word) || ', "' || word || '"]]' WHEN kind = 9 THEN '[]' END AS value,
+CASE WHEN kind = 0 AND word <> '' OR kind = 9 THEN NULL WHEN kind IN (0, 2) THEN 'nested, unclosed or empty tag' WHEN kind = 1 THEN 'not JSON' WHEN kind = 3 THEN 'the text differs from its source'
+WHEN kind = 4 THEN 'unmatched closing tag' WHEN kind = 5 THEN 'keys must be [''annotated_sentence'']' WHEN kind = 6 THEN 'repeated key' WHEN kind = 7 THEN 'NaN isn''t JSON' ELSE 'annotated_sentence must be a string' END AS error FROM kinds""")
 def strict_parse(spark, d):
-    rows = t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("sentence"), "turn")
-    content = F.to_json(F.struct(F.col("sentence").alias("annotated_sentence")))
-    rows = rows.withColumn("content", F.when(F.col("turn") % 2 == 0, content).otherwise(F.concat(content, F.lit(" and more"))))
-    return protocol.parsed(rows, protocol.tagged_spans, "sentence").where("error is null").select("id", "value")
+    """Every answer with its spans or its error; tagged texts, and each kind of error."""
+    said = F.coalesce("text", F.lit(""))
+    rows = t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), said.alias("sentence"), ((F.col("conv_id") + F.col("turn")) % 10).alias("kind"), F.regexp_extract(said, "^[A-Za-z]+", 0).alias("word"))
+    kind, sentence, word = F.col("kind"), F.col("sentence"), F.col("word")
+    rest = F.expr("substring(sentence, length(word) + 1)")
+    told = (
+        F.when(kind == 0, F.concat(F.lit("<skill>"), word, F.lit("</skill>"), rest)).when(kind == 2, F.concat(F.lit("<skill>a<skill>b</skill>"), sentence))
+        .when(kind == 3, F.concat(sentence, F.lit("!"))).when(kind == 4, F.concat(F.lit("a</skill>"), sentence)).otherwise(sentence)
+    )
+    content = F.to_json(F.struct(told.alias("annotated_sentence")))
+    content = (
+        F.when(kind == 1, F.concat(content, F.lit(" and more"))).when(kind == 5, F.lit('{"other": ""}')).when(kind == 6, F.lit('{"annotated_sentence": "a", "annotated_sentence": "b"}'))
+        .when(kind == 7, F.lit('{"annotated_sentence": NaN}')).when(kind == 8, F.lit('{"annotated_sentence": 1}')).otherwise(content)
+    )
+    parsed = protocol.parsed(rows.withColumn("content", content), protocol.tagged_spans, "sentence")
+    return parsed.select("id", "value", F.when(F.col("error").startswith("not JSON"), "not JSON").otherwise(F.col("error")).alias("error"))
 
 
 @query()
@@ -722,6 +758,21 @@ def model_conversation(spark, d):
     return model.converse(prompts, lambda: model.FakeClient(fail_first=1), _json_error).select("id", "status", "n_attempts", "content")
 
 
+@query("""SELECT item_id AS id, ['request', 'parse', 'final state', 'attempts', 'no answer'][item_id % 6] AS reason FROM benchmark WHERE item_id % 6 > 0""")
+def attempt_replay(spark, d):
+    """Attempt chains replayed: some untouched, others with a forged request, error or final state, a missing attempt, or no row at all."""
+    prompts = t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))
+    kind = F.col("id") % 6
+    raw = model.converse(prompts, lambda: model.FakeClient(fail_first=1), _json_error).where(kind != 5)
+    forged = {
+        "request_sha256": F.when(kind == 1, F.array(F.get("request_sha256", 0), F.lit("0" * 64))).otherwise(F.col("request_sha256")),
+        "errors": F.when(kind == 2, F.array(F.lit("another error"), F.lit(None))).otherwise(F.col("errors")),
+        "status": F.when(kind == 3, "failed").otherwise(F.col("status")),
+        "n_attempts": F.when(kind == 4, F.lit(1)).otherwise(F.col("n_attempts")),
+    }
+    return model.replay_errors(raw.withColumns(forged), prompts, _json_error)
+
+
 def _json_error(content: str) -> str | None:
     try:
         protocol.strict_object(content, {"digest"})

@@ -10,6 +10,7 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Client(Protocol):
@@ -51,17 +52,24 @@ def retried(call: Callable[[], str], attempts: int = 4, pause: float = 1.0, slee
     raise ValueError("attempts must be positive")
 
 
-def request_sha256(messages: list[dict]) -> str:
-    return hashlib.sha256(json.dumps(messages, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+def request_sha256(messages: list[dict], schema: dict | None = None) -> str:
+    """Of the messages, and of the response schema if the request has one."""
+    request = messages if schema is None else {"messages": messages, "schema": schema}
+    return hashlib.sha256(json.dumps(request, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
-_RAW = "id long, status string, content string, n_attempts int, request_sha256 array<string>, error string"
+def _repaired(messages: list[dict], answer: str, error: str) -> list[dict]:
+    return [*messages, {"role": "assistant", "content": answer}, {"role": "user", "content": f"Repair: {error[:800]}"}]
 
 
-def converse(prompts: DataFrame, make_client: Callable[[], Client], parse: Callable[[str], str | None], repairs: int = 2) -> DataFrame:
-    """id, status, content, n_attempts, request_sha256, error: a call for each row (id, prompt), repaired while parse gives an error.
+_RAW = "id long, status string, content string, n_attempts int, request_sha256 array<string>, error string, answers array<string>, errors array<string>"
 
-    A failure is a row, not an exception, so one answer doesn't fail the job. The client is made once a task.
+
+def converse(prompts: DataFrame, make_client: Callable[[], Client], parse: Callable[[str], str | None], repairs: int = 2, schema: dict | None = None) -> DataFrame:
+    """id, status, content, n_attempts, request_sha256, error, answers, errors: a call for each row (id, prompt), repaired while parse gives an error.
+
+    A failure is a row, not an exception, so one answer doesn't fail the job. The client is made once a task. Every
+    attempt leaves its request's hash and, unless the call itself failed, its answer and what parse said of it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,39 +77,70 @@ def converse(prompts: DataFrame, make_client: Callable[[], Client], parse: Calla
         for batch in batches:
             out = []
             for name, prompt in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
-                messages, hashes, status, content, error = [{"role": "user", "content": prompt}], [], "failed", None, None
+                messages, hashes, answers, errors, status, error = [{"role": "user", "content": prompt}], [], [], [], "failed", None
                 for _ in range(1 + repairs):
-                    hashes.append(request_sha256(messages))
+                    hashes.append(request_sha256(messages, schema))
                     try:
-                        content, _n = retried(lambda m=messages: client.chat(m), sleep=lambda s: None)
+                        answer, _n = retried(lambda m=messages: client.chat(m), sleep=lambda s: None)
                     except Exception as e:  # noqa: BLE001
                         error = f"{type(e).__name__}: {e}"
                         break
-                    error = parse(content)
+                    error = parse(answer)
+                    answers.append(answer)
+                    errors.append(error)
                     if error is None:
                         status = "complete"
                         break
-                    messages = [*messages, {"role": "assistant", "content": content}, {"role": "user", "content": f"Repair: {error[:800]}"}]
-                out.append((name, status, content, len(hashes), hashes, error))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
+                    messages = _repaired(messages, answer, error)
+                out.append((name, status, answers[-1] if answers else None, len(hashes), hashes, error, answers, errors))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in _RAW.split(", ")])
 
     return prompts.select("id", "prompt").mapInArrow(run, _RAW)
 
 
-def replay_errors(raw: DataFrame, prompts: DataFrame, repairs: int = 2) -> DataFrame:
-    """Rows whose attempt chain can't be what converse() makes: too many attempts, or a first request that isn't the prompt's."""
+def chain_error(prompt: str, row: dict, parse: Callable[[str], str | None] | None = None, repairs: int = 2, schema: dict | None = None, allow_failed: bool = True) -> str | None:
+    """Why row can't be what converse() makes of prompt; None if it can. Each request, each error and the final state are replayed."""
+    hashes, answers, errors = row["request_sha256"] or [], row["answers"] or [], row["errors"] or []
+    if not 1 <= len(hashes) <= 1 + repairs or row["n_attempts"] != len(hashes) or len(answers) != len(errors) or not len(hashes) - 1 <= len(answers) <= len(hashes):
+        return "attempts"
+    messages = [{"role": "user", "content": prompt}]
+    for k, sent in enumerate(hashes):
+        if sent != request_sha256(messages, schema):
+            return "request"
+        if k == len(answers):
+            break
+        if parse is not None and parse(answers[k]) != errors[k]:
+            return "parse"
+        if errors[k] is None:
+            if k + 1 < len(hashes):
+                return "attempts"
+        else:
+            messages = _repaired(messages, answers[k], errors[k])
+    called = len(answers) == len(hashes)
+    if row["status"] != ("complete" if called and errors[-1] is None else "failed") or row["content"] != (answers[-1] if answers else None):
+        return "final state"
+    if called and (row["error"] != errors[-1] or errors[-1] is not None and len(hashes) <= repairs) or not called and not row["error"]:
+        return "final state"
+    return None if allow_failed or row["status"] == "complete" else "failed"
+
+
+def replay_errors(raw: DataFrame, prompts: DataFrame, parse: Callable[[str], str | None] | None = None, repairs: int = 2, schema: dict | None = None, allow_failed: bool = True) -> DataFrame:
+    """id, reason: rows whose attempt chain can't be what converse() makes, rows without a prompt, and prompts without a row."""
+    fields = ("status", "content", "n_attempts", "request_sha256", "error", "answers", "errors")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bad = [
-                n for n, prompt, attempts, hashes in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
-                if not hashes or attempts != len(hashes) or attempts > 1 + repairs or hashes[0] != request_sha256([{"role": "user", "content": prompt}])
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], ["id"])
-
-    return prompts.select("id", "prompt").join(raw.select("id", "n_attempts", "request_sha256"), "id").mapInArrow(check, "id long")
+            bad = []
+            for row in b.to_pylist():
+                reason = "no prompt" if row["asked"] is None else "no answer" if row["made"] is None else chain_error(row["prompt"], row, parse, repairs, schema, allow_failed)
+                if reason:
+                    bad.append((row["id"], reason))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in bad], pa.int64()), pa.array([x[1] for x in bad], pa.string())], ["id", "reason"])
+
+    asked = prompts.select("id", "prompt", F.lit(True).alias("asked"))
+    return asked.join(raw.select("id", *fields, F.lit(True).alias("made")), "id", "full_outer").mapInArrow(check, "id long, reason string")
 
 
 def embedded(items: DataFrame, cache: DataFrame, make_client: Callable[[], Client], batch_size: int = 20) -> DataFrame:
