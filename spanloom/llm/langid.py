@@ -140,7 +140,7 @@ def fit(documents: DataFrame) -> Model:
     """Learns from the texts with a language whose crc32(doc_id) mod 4 isn't 2.
 
     Bounds: TRAIN_PER_LANG texts of a language are expected, chosen by a hash against the language's count; TRAIN_ROWS
-    in all at most; texts of over TRAIN_CHARS characters aren't taken.
+    in all at most; texts of over TRAIN_CHARS characters aren't taken. Of rows with one doc_id the least (lang, text) counts.
     """
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2) & (F.length("text") <= TRAIN_CHARS))
     names = known.select("doc_id", "lang")  # texts stay where they are until the rows are chosen
@@ -148,7 +148,8 @@ def fit(documents: DataFrame) -> Model:
     draw = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20))
     drawn = names.join(counts, "lang").where(draw * F.col("texts") < F.lit(TRAIN_PER_LANG << 20)).select("doc_id")
     chosen = F.broadcast(bounded_sample(drawn, "doc_id", TRAIN_ROWS).distinct())  # at most TRAIN_ROWS numbers
-    rows = sorted(known.select("doc_id", "lang", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).collect())
+    found = known.select("doc_id", "lang", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("least"))
+    rows = sorted(found.select("doc_id", "least.*").collect())
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

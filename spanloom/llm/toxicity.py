@@ -191,13 +191,16 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int = 5, rows: int = TRAIN_ROWS, longest: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
-    """At most rows labelled texts of each class, none from fold 0 and none longer than longest characters."""
+    """At most rows labelled texts of each class, none from fold 0 and none longer than longest characters.
+
+    Of rows with one doc_id the least label and the least text count.
+    """
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), folds, 0)).select("doc_id", F.col(label).cast("int").alias("label"))
     texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text")
-    known = marked.join(texts.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = marked.join(texts.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("label").alias("label"))
     ids = [bounded_sample(known.where(F.col("label") == v), "doc_id", rows) for v in (0, 1)]
     chosen = F.broadcast(ids[0].unionByName(ids[1]))  # at most 2 * rows rows of two numbers
-    found = texts.join(chosen, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    found = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy("doc_id").collect()
     return [r["text"] for r in found], [r["label"] for r in found]
 
 
