@@ -98,15 +98,17 @@ def uncertainty(samples: DataFrame, marks: DataFrame) -> DataFrame:
     Jaccard of two empty sets is 1; with fewer than two samples the mean is null; without labels the entropy is 0.
     """
     valid = samples.where("valid").select("idx", "sample")
-    sets = valid.join(marks.groupBy("idx", "sample").agg(F.collect_set(F.struct("start", "end")).alias("set")), ["idx", "sample"], "left")
+    sets = valid.join(marks.groupBy("idx", "sample").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("set")), ["idx", "sample"], "left")
     sets = sets.withColumn("set", F.coalesce("set", F.array().cast("array<struct<start:int,end:int>>")))
-    other = sets.select("idx", F.col("sample").alias("o_sample"), F.col("set").alias("o_set"))
-    union = F.size(F.array_union("set", "o_set"))
-    jaccard = F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect("set", "o_set")) / union)
-    pairs = sets.join(other, "idx").where("sample < o_sample").groupBy("idx").agg(F.round(F.avg(jaccard), 6).alias("mean_jaccard"))
-    n = valid.groupBy("idx").agg(F.count("*").alias("n"))
+    # equal sets count together, so an idx with very many samples pairs its distinct sets only
+    distinct = sets.groupBy("idx", "set").agg(F.count("*").alias("m"))
+    other = distinct.select("idx", F.col("m").alias("o_m"), F.col("set").alias("o_set"))
+    jaccard = F.size(F.array_intersect("set", "o_set")) / F.size(F.array_union("set", "o_set"))
+    across = distinct.join(other, "idx").where("set < o_set").groupBy("idx").agg(F.sum(F.col("m") * F.col("o_m") * jaccard).alias("across"))
+    n = distinct.groupBy("idx").agg(F.sum("m").alias("n"), F.sum(F.expr("m * (m - 1) / 2")).alias("alike"))
+    pairs = n.where("n > 1").join(across, "idx", "left").select("idx", F.round((F.col("alike") + F.coalesce("across", F.lit(0.0))) / F.expr("n * (n - 1) / 2"), 6).alias("mean_jaccard"))
     p = F.col("votes") / F.col("n")
     entropy = F.when((p <= 0) | (p >= 1), F.lit(0.0)).otherwise(-(p * F.log2(p) + (1 - p) * F.log2(1 - p)))
-    labels = label_votes(marks.join(valid, ["idx", "sample"], "left_semi")).join(n, "idx").groupBy("idx").agg(F.round(F.avg(entropy), 6).alias("mean_entropy"))
+    labels = label_votes(marks.join(valid, ["idx", "sample"], "left_semi")).join(n.select("idx", "n"), "idx").groupBy("idx").agg(F.round(F.avg(entropy), 6).alias("mean_entropy"))
     sizes = sets.groupBy("idx").agg(F.round(F.avg(F.size("set")), 6).alias("mean_count"))
     return sizes.join(pairs, "idx", "left").join(labels, "idx", "left").select("idx", "mean_jaccard", F.coalesce("mean_entropy", F.lit(0.0)).alias("mean_entropy"), "mean_count")
