@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from . import spans as S
 
@@ -32,19 +33,21 @@ def label_votes(marks: DataFrame) -> DataFrame:
 
 
 def explained(labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """labels with kind: exact, explained (overlaps an exact one) or open."""
-    exact = labels.where(F.col("votes") >= rules.exact_votes).select("idx", F.col("start").alias("x_start"), F.col("end").alias("x_end"))
-    minor = labels.where(F.col("votes") < rules.exact_votes)
-    met = minor.join(exact, (minor["idx"] == exact["idx"]) & S.overlaps(minor["start"], minor["end"], exact["x_start"], exact["x_end"]), "left_semi")
-    rest = minor.join(exact, (minor["idx"] == exact["idx"]) & S.overlaps(minor["start"], minor["end"], exact["x_start"], exact["x_end"]), "left_anti")
-    return labels.where(F.col("votes") >= rules.exact_votes).withColumn("kind", F.lit("exact")).unionByName(met.withColumn("kind", F.lit("explained"))).unionByName(rest.withColumn("kind", F.lit("open")))
+    """labels with kind: exact, explained (overlaps an exact one) or open.
+
+    One pass in order: an exact label stands at its start, any other at its end, before exact ones that begin there. What
+    it meets before it began ahead of its end; it overlaps one of these if the furthest of their ends lies behind its start.
+    """
+    exact = F.col("votes") >= rules.exact_votes
+    order = Window.partitionBy("idx").orderBy(F.when(exact, F.col("start")).otherwise(F.col("end")), exact, "start", "end")
+    furthest = F.max(F.when(exact, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return labels.withColumn("kind", F.when(exact, "exact").when(furthest > F.col("start"), "explained").otherwise("open"))
 
 
 def open_families(labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The open labels of explained() with family and the family's support, its number of distinct samples."""
     grouped = S.families(labels.where("kind = 'open'"), "idx")
-    support = grouped.select("idx", "family", F.explode("samples").alias("sample")).groupBy("idx", "family").agg(F.count_distinct("sample").alias("support"))
-    return grouped.join(support, ["idx", "family"])
+    return grouped.withColumn("support", F.size(F.array_distinct(F.flatten(F.collect_set("samples").over(Window.partitionBy("idx", "family"))))).cast("long"))
 
 
 def family_outcomes(members: DataFrame, units: Column, rules: Rules = Rules()) -> DataFrame:
