@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
+from spanloom.functions.rows import exploded
 from spanloom.operators import assemble, checks, consensus, diagnostics, gate, interaction, metrics, results, retrieval, spans, termstats
 from spanloom.plans import protocol
 from spanloom.sources import model, relations, shared
@@ -102,7 +103,7 @@ placed AS (SELECT doc_id, k, CASE WHEN k > 1 THEN str_split(part, '</skill>')[1]
 @query(f"""WITH {_TAGGED_SQL} SELECT doc_id, CAST(upto - size AS INTEGER) AS start, CAST(upto - size + length(word) AS INTEGER) AS "end", word AS text FROM placed WHERE k > 1""")
 def tag_scan(spark, d):
     scanned = tagged(t(spark, d, "documents")).select("doc_id", spans.scan_tags(F.col("tagged"), "skill").alias("s"))
-    return scanned.select("doc_id", F.explode("s.spans").alias("span")).select("doc_id", "span.start", "span.end", "span.text")
+    return exploded(scanned, F.col("s.spans"), "span", "doc_id").select("doc_id", "span.start", "span.end", "span.text")
 
 
 @query("SELECT doc_id, ['nested', 'unclosed', 'unmatched', 'empty', NULL][doc_id % 5 + 1] AS error, CAST(doc_id % 5 IN (1, 4) AS INTEGER) AS n_spans FROM documents")
@@ -191,7 +192,7 @@ def payload_recovery(spark, d):
 def classed_tokens(spark, d, masked: bool = False) -> DataFrame:
     rows = t(spark, d, "documents").select("doc_id", "text").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     text = F.when(F.col("quality") == 1, F.regexp_replace("text", "[A-Za-zÀ-ÿ]{12,}", " ")).otherwise(F.col("text")) if masked else F.col("text")
-    return rows.select(F.col("doc_id").alias("doc"), (F.col("quality") == 1).alias("pos"), F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("token"))
+    return exploded(rows, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), "token", F.col("doc_id").alias("doc"), (F.col("quality") == 1).alias("pos"))
 
 
 def class_sizes(spark, d) -> DataFrame:
