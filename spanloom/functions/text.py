@@ -96,7 +96,7 @@ def lenient_object(content: str | None) -> tuple[str | None, str]:
     def load(x: str) -> dict | None:
         try:
             value = json.loads(x)
-        except ValueError:
+        except (ValueError, RecursionError):  # the latter where it is nested too deeply
             return None
         return value if isinstance(value, dict) else None
 
@@ -110,23 +110,26 @@ def lenient_object(content: str | None) -> tuple[str | None, str]:
 
 
 def unique_assignment(sentence: str, payloads: list[str]) -> list[tuple[int, int]] | None:
-    """The one way to place payloads in order, without overlap; None if there is none or more than one."""
-    found: list[list[tuple[int, int]]] = []
-
-    def place(k: int, at: int, chosen: list) -> None:
-        if len(found) > 1:
-            return
-        if k == len(payloads):
-            found.append(chosen)
-            return
-        i = sentence.find(payloads[k], at)
-        while i >= 0 and len(found) < 2:
-            place(k + 1, i + len(payloads[k]), [*chosen, (i, i + len(payloads[k]))])
-            i = sentence.find(payloads[k], i + 1)
-
-    if payloads and all(payloads):
-        place(0, 0, [])
-    return found[0] if len(found) == 1 else None
+    """The one way to place payloads in order, without overlap; None if there is none or more than one.
+
+    Every placement lies between the one where each payload comes as early as it can and the one where each comes as
+    late as it can, so it is the only one if these two are the same.
+    """
+    if not payloads or not all(payloads):
+        return None
+    early, at = [], 0
+    for p in payloads:
+        at = sentence.find(p, at)
+        if at < 0:
+            return None
+        early.append((at, at + len(p)))
+        at += len(p)
+    at = len(sentence)
+    for p, place in zip(reversed(payloads), reversed(early), strict=True):
+        at = sentence.rfind(p, 0, at)
+        if at != place[0]:
+            return None
+    return early
 
 
 def canonical_sha256(value: Column) -> Column:

@@ -174,16 +174,20 @@ def edit_summary(spark, d):
     return rows.select("item_id", "e.*")
 
 
-@query()
+@query("""SELECT event_id, ['fenced', 'embedded', 'direct'][event_id % 3 + 1] AS method, '{"k": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS object FROM events""")
 def lenient_parse(spark, d):
     content = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("so: "), "props", F.lit("."))).otherwise(F.col("props"))
     return t(spark, d, "events").select("event_id", T.lenient_json(content).alias("p")).select("event_id", "p.method", "p.object")
 
 
-@query()
+@query(f"""WITH {_TAGGED_SQL}, around AS (SELECT doc_id, word, CAST(upto - size AS BIGINT) AS s,
+  CAST(coalesce(lag(upto - size + length(word)) OVER w, 0) AS BIGINT) AS before, CAST(coalesce(lead(upto - size) OVER w, length(text)) AS BIGINT) AS behind, text FROM placed JOIN documents USING (doc_id) WHERE k > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+moved AS (SELECT doc_id, bool_or(strpos(substr(text, before + 1, s + length(word) - 1 - before), word) > 0 OR strpos(substr(text, s + 2, behind - s - 1), word) > 0) AS more, count(*) AS n FROM around GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_payloads, CAST(CASE WHEN more OR n IS NULL THEN -1 ELSE n END AS INTEGER) AS n_placed FROM documents LEFT JOIN moved USING (doc_id)""")
 def payload_recovery(spark, d):
+    """Where a placement isn't the only one, some payload of it can be moved alone, between its neighbours: so the SQL has it."""
     s = tagged(t(spark, d, "documents")).select("doc_id", "text", F.transform(spans.scan_tags(F.col("tagged"), "skill")["spans"], lambda x: x["text"]).alias("payloads"))
-    return s.select("doc_id", F.size("payloads").alias("n_payloads"), F.coalesce(F.size(T.placed_payloads(F.col("text"), F.col("payloads"))), F.lit(-1)).alias("n_placed"))
+    return s.select("doc_id", F.coalesce(F.size("payloads"), F.lit(0)).alias("n_payloads"), F.coalesce(F.size(T.placed_payloads(F.col("text"), F.col("payloads"))), F.lit(-1)).alias("n_placed"))
 
 
 # --- term statistics
@@ -720,7 +724,93 @@ def substring_counts(spark, d):
     return b.select(F.col("item_id").alias("idx"), first.cast("int").alias("start"), (first + relations.occurrences(F.col("text"), F.lit(" "))).cast("int").alias("spaces_after"))
 
 
-@query()
+# --- relations: what must hold of them
+
+
+@query("""SELECT DISTINCT doc_id AS idx, 'idx_sets_differ' AS rule FROM labels WHERE doc_id % 50 = 0 OR doc_id % 45 = 0
+UNION ALL SELECT doc_id, 'feature_count' FROM labels WHERE doc_id % 45 <> 0 AND (quality = 1 AND doc_id % 40 = 0 OR quality = 0 AND doc_id % 30 = 0)
+UNION ALL SELECT doc_id, 'idx_sets_differ' FROM labels WHERE doc_id % 50 = 0 AND doc_id % 45 = 0""")
+def bundle_violations(spark, d):
+    """Labels as decisions; the corpus lacks every 50th of them, the features every 45th, and some have a feature too few or too many."""
+    decisions = t(spark, d, "labels").select(F.col("doc_id").alias("idx"), F.when(F.col("quality") == 1, "accepted").otherwise("negative").alias("status"))
+    n = F.when(F.col("status") == "accepted", 5 - (F.col("idx") % 40 == 0).cast("int")).otherwise((F.col("idx") % 30 == 0).cast("int"))
+    features = decisions.where("idx % 45 <> 0").select("idx", F.array_repeat(F.lit("f"), n).alias("trfs"))
+    return relations.bundle_violations(decisions.where("idx % 50 <> 0").select("idx"), decisions, features)
+
+
+@query("""WITH rows_ AS (SELECT l_orderkey AS target, l_orderkey + l_partkey % 10 - 5 AS demo, l_linenumber AS rank, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place FROM lineitem),
+n AS (SELECT target, count(*) AS n, count(DISTINCT demo) AS d, bool_or(demo = target) AS own, bool_or(rank <> place) AS moved FROM rows_ GROUP BY target)
+SELECT target, unnest(list_filter([CASE WHEN n <> 4 THEN 'count' END, CASE WHEN n <> d THEN 'repeated_demo' END, CASE WHEN own THEN 'self_match' END, CASE WHEN moved THEN 'rank_not_position' END], lambda x: x IS NOT NULL)) AS rule FROM n""")
+def candidate_violations(spark, d):
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("target"), (F.col("l_orderkey") + F.col("l_partkey") % 10 - 5).alias("demo"), F.col("l_linenumber").alias("selected_rank"))
+    return relations.candidate_violations(rows, 4)
+
+
+@query("""SELECT vec_id AS idx, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings
+WHERE vec_id % 3 <> 0 AND vec_id % 5 <> 0 AND len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0""")
+def embedding_cache(spark, d):
+    """A log in which every third vector is written again for another sentence, and every fifth by another model."""
+    rows = t(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("vec_id").cast("string").alias("sentence"), F.col("embedding").alias("vector"))
+    own, other = F.sha2("sentence", 256), F.sha2(F.concat("sentence", F.lit("!")), 256)
+    write = lambda seq, sha, name: rows.select("idx", F.lit(seq).alias("seq"), sha.alias("sentence_sha256"), F.lit(name).alias("model"), "vector")
+    cache = write(1, own, "m").unionByName(write(2, other, "m").where("idx % 3 = 0")).unionByName(write(3, own, "another").where("idx % 5 = 0"))
+    return relations.embedding_cache(cache, rows, "m", 64).select("idx", F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+
+
+_GOLD_SQL = """
+gold AS (SELECT item_id AS idx, text AS sentence, regexp_extract_all(text, '[A-Za-z]{9,}') AS spans, item_id % 7 > 0 AS has FROM benchmark),
+each AS (SELECT idx, sentence, unnest(spans) AS s FROM gold)
+"""
+
+
+def gold(spark, d) -> DataFrame:
+    """Words of nine letters or more as gold spans, some of which occur more than once."""
+    words = F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{9,}"), F.lit(0))
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("sentence"), (F.col("item_id") % 7 > 0).cast("int").alias("has_skill"), words.alias("spans"))
+
+
+@query(f"""WITH {_GOLD_SQL} SELECT DISTINCT idx, 'span_not_unique' AS rule FROM each WHERE length(sentence) - length(replace(sentence, s, '')) <> length(s)
+UNION ALL SELECT idx, 'has_skill_differs' FROM gold WHERE has <> (len(spans) > 0)""")
+def gold_violations(spark, d):
+    return relations.gold_violations(gold(spark, d))
+
+
+@query(f"""WITH {_GOLD_SQL} SELECT idx, CAST(strpos(sentence, s) - 1 AS INTEGER) AS start, CAST(strpos(sentence, s) - 1 + length(s) AS INTEGER) AS "end", s AS text FROM each""")
+def gold_spans(spark, d):
+    return exploded(relations.gold_spans(gold(spark, d)), F.col("spans"), "span", "idx").select("idx", "span.start", "span.end", "span.text")
+
+
+# --- values by key and by position
+
+
+@query("""WITH classes AS (SELECT lower(trim(source)) AS phrase, min(doc_id) AS class_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1)
+SELECT doc_id, class_id FROM documents LEFT JOIN classes ON lower(trim(source)) = phrase""")
+def class_lookup(spark, d):
+    """Sources as phrases, of which some have a class; the rows spell them in another case."""
+    docs = t(spark, d, "documents").select("doc_id", "source")
+    classes = docs.join(t(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id").groupBy(F.lower(F.trim("source")).alias("phrase")).agg(F.min("doc_id").alias("class_id"))
+    return assemble.labelled(docs.select("doc_id", F.concat(F.lit(" "), F.upper("source")).alias("text")), "text", classes).select("doc_id", "class_id")
+
+
+@query("SELECT doc_id, sha256(replace(replace(text, 'the', '[REDACTED]'), 'qu', '[REDACTED]')) AS redacted_sha256 FROM documents")
+def redacted_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.sha2(T.redacted(F.col("text"), ["the", "qu"]), 256).alias("redacted_sha256"))
+
+
+@query("""SELECT event_id, array_to_string([CASE i - event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE '-' END FOR i IN [4, 2, 6]], ',') AS names FROM events""")
+def reordered_items(spark, d):
+    at = lambda k, name: F.struct((F.col("event_id") % 5 + k).alias("id"), name.alias("name"))
+    rows = t(spark, d, "events").select("event_id", F.array(at(0, F.col("event_type")), at(1, F.lit("b")), at(2, F.lit("c"))).alias("items"))
+    found = assemble.reordered(F.col("items"), F.array(*(F.lit(i).cast("long") for i in (4, 2, 6))), "id")
+    return rows.select("event_id", F.array_join(F.transform(found, lambda x: F.coalesce(x["name"], F.lit("-"))), ",").alias("names"))
+
+
+_FROZEN_PARTS = ", ".join(f"sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT)) AS s{k}" for k in range(8))
+
+
+@query(f"""WITH hashed AS (SELECT sha256(CAST(to_json(struct_pack(idx := item_id, sentence := text)) AS VARCHAR)) AS h FROM benchmark), sums AS (SELECT count(*) AS n, {_FROZEN_PARTS} FROM hashed),
+mark AS (SELECT sha256('{{"n":' || n || {" || ".join(f"""',"s{k}":' || s{k}""" for k in range(8))} || '}}') AS source_sha256 FROM sums)
+SELECT 'sentence-dataset-' || left(source_sha256, 16) AS dataset_id, 'sentence-' || item_id AS record_id, source_sha256, item_id AS idx FROM benchmark, mark""")
 def frozen_targets(spark, d):
     rows = relations.independent_targets(t(spark, d, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("sentence")))
     return rows.select("dataset_id", "record_id", "source_sha256", "idx")
@@ -753,7 +843,9 @@ def strict_parse(spark, d):
     return parsed.select("id", "value", F.when(F.col("error").startswith("not JSON"), "not JSON").otherwise(F.col("error")).alias("error"))
 
 
-@query()
+@query(r"""WITH escaped AS (SELECT item_id, list_aggregate(list_transform(str_split(CAST(to_json(text) AS VARCHAR), ''), lambda c: CASE WHEN unicode(c) > 127 THEN format('\u{:04x}', unicode(c)) ELSE c END), 'string_agg', '') AS quoted FROM benchmark)
+SELECT item_id AS id, 'complete' AS status, CAST(2 AS INTEGER) AS n_attempts, '{"digest": "' || left(sha256('[{"role": "user", "content": ' || quoted || '}, {"role": "assistant", "content": "not json"}, '
+  || '{"role": "user", "content": "Repair: not JSON: Expecting value: line 1 column 1 (char 0)"}]'), 8) || '"}' AS content FROM escaped""")
 def model_conversation(spark, d):
     prompts = t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))
     return model.converse(prompts, lambda: model.FakeClient(fail_first=1), _json_error).select("id", "status", "n_attempts", "content")

@@ -83,6 +83,8 @@ def strict_object(content: str, keys: set[str]) -> dict:
         raise
     except ValueError as e:
         raise Invalid(f"not JSON: {e}") from e
+    except RecursionError as e:
+        raise Invalid("not JSON: nested too deeply") from e
     if not isinstance(value, dict) or set(value) != keys:
         raise Invalid(f"keys must be {sorted(keys)}")
     return value

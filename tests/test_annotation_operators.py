@@ -1,13 +1,17 @@
 """The annotation operators on small golden cases."""
 
+import itertools
 import math
 import random
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import assemble, checks, consensus, gate, interaction, metrics, results, retrieval, spans, termstats
+from spanloom.plans import protocol
 from spanloom.plans.runs import Run
 from spanloom.sources import jsonio, model
 
@@ -120,10 +124,21 @@ def test_text_functions():
     assert T.lenient_object("{} {}") == (None, "no_single_object")
     assert T.unique_assignment("a b a c", ["b", "a"]) == [(2, 3), (4, 5)]
     assert T.unique_assignment("a a", ["a"]) is None and T.unique_assignment("x", []) is None
+    assert len(T.unique_assignment("ab " * 5000, ["ab"] * 5000)) == 5000 and T.unique_assignment("a " * 5000, ["a"] * 40 + ["b"]) is None
+    assert T.lenient_object("[" * 100_000) == (None, "no_single_object")
+    with pytest.raises(protocol.Invalid):
+        protocol.strict_object("[" * 100_000, {"a"})
     assert T.edit_summary("abc", "axc") == {"n_ops": 1, "source_chars": 1, "other_chars": 1}
     assert T.normalized("Ａ  B\n") == "a b"
 
 
+@given(st.text("ab ", max_size=9), st.lists(st.text("ab", min_size=1, max_size=2), min_size=1, max_size=4))
+def test_unique_assignment_equals_brute_force(sentence, payloads):
+    every = itertools.product(*([(i, i + len(p)) for i in range(len(sentence)) if sentence.startswith(p, i)] for p in payloads))
+    placements = [c for c in every if all(a[1] <= b[0] for a, b in itertools.pairwise(c))]
+    assert T.unique_assignment(sentence, payloads) == (list(placements[0]) if len(placements) == 1 else None)
+
+
 def test_recovery(spark):
     r = spark.createDataFrame([("research\u0097teaching",)], "t string").select(T.recovered(F.col("t")), T.substitutions(F.col("t"))).first()
     assert tuple(r) == ("research—teaching", 1)
