@@ -13,3 +13,11 @@ def exploded(df: DataFrame, values: Column, name: str, *keep: str | Column) -> D
     variant doesn't, and the test for null behind it is cheap.
     """
     return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
+def once(df: DataFrame, value: Column, name: str, *keep: str | Column) -> DataFrame:
+    """keep and name: value, computed once a row however often name is used behind. Rows where it is null are kept.
+
+    A plain column would be copied into every place that uses it.
+    """
+    return df.select(*keep, F.explode_outer(F.array(value)).alias(name))

@@ -132,6 +132,17 @@ def unique_assignment(sentence: str, payloads: list[str]) -> list[tuple[int, int
     return early
 
 
+def masked(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with as many blanks for each span; what spans have beyond the text's ends doesn't count."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        start, end = max(at, start), min(len(text), end)
+        if start < end:
+            out += [text[at:start], " " * (end - start)]
+            at = end
+    return "".join([*out, text[at:]])
+
+
 def canonical_sha256(value: Column) -> Column:
     """sha256 of a struct's JSON; its fields are to be in sorted order."""
     return F.sha2(F.to_json(value), 256)
@@ -205,6 +216,16 @@ def lenient_json(content: Column) -> Column:
     return _of_one(lambda c: dict(zip(("object", "method"), lenient_object(c), strict=True)), "struct<object:string,method:string>", kind, content)
 
 
+def masked_spans(text: Column, spans: Column) -> Column:
+    """masked(); null where the text or its array of spans is null."""
+
+    def cover(t: str | None, s: list | None) -> str | None:
+        return None if t is None or s is None else masked(t, [(x["start"], x["end"]) for x in s])
+
+    ends = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return _of_two(cover, "string", pa.string(), text, ends)
+
+
 def placed_payloads(sentence: Column, payloads: Column) -> Column:
     """The unique placement as spans; null if there is none."""
 

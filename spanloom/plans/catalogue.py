@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.functions.rows import exploded
+from spanloom.functions.rows import exploded, once
 from spanloom.operators import assemble, checks, consensus, diagnostics, gate, interaction, metrics, results, retrieval, spans, termstats
 from spanloom.plans import protocol
 from spanloom.sources import model, relations, shared
@@ -123,13 +123,13 @@ SELECT doc_id, sha256(list_reduce(list_prepend(text, list_transform(ws, lambda w
   lambda acc, x: left(acc, CAST(str_split(x, ':')[1] AS BIGINT)) || repeat(' ', CAST(str_split(x, ':')[2] AS BIGINT)) || substr(acc, CAST(str_split(x, ':')[1] AS BIGINT) + CAST(str_split(x, ':')[2] AS BIGINT) + 1))) AS masked_sha256
 FROM documents JOIN words USING (doc_id)""")
 def masked_text(spark, d):
-    scanned = tagged(t(spark, d, "documents")).select("doc_id", "text", spans.scan_tags(F.col("tagged"), "skill")["spans"].alias("s")).where(F.size("s") > 0)
+    scanned = once(tagged(t(spark, d, "documents")), spans.scan_tags(F.col("tagged"), "skill")["spans"], "s", "doc_id", "text").where(F.size("s") > 0)
     return scanned.select("doc_id", F.sha2(spans.mask(F.col("text"), F.col("s")), 256).alias("masked_sha256"))
 
 
 @query(f"WITH {_TAGGED_SQL} SELECT d.doc_id, CAST(1 AS INTEGER) AS exact, CAST(count(word) = 0 AS INTEGER) AS shifted_ok FROM documents d LEFT JOIN placed USING (doc_id) GROUP BY d.doc_id")
 def span_predicates(spark, d):
-    s = tagged(t(spark, d, "documents")).select("doc_id", "text", spans.scan_tags(F.col("tagged"), "skill")["spans"].alias("s"))
+    s = once(tagged(t(spark, d, "documents")), spans.scan_tags(F.col("tagged"), "skill")["spans"], "s", "doc_id", "text")
     moved = F.transform("s", lambda x: F.struct(x["text"].alias("text"), (x["start"] + 1).alias("start"), (x["end"] + 1).alias("end")))
     return s.select("doc_id", spans.span_set_ok(F.col("text"), F.col("s")).cast("int").alias("exact"), spans.span_set_ok(F.col("text"), moved).cast("int").alias("shifted_ok"))
 
@@ -186,7 +186,7 @@ moved AS (SELECT doc_id, bool_or(strpos(substr(text, before + 1, s + length(word
 SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_payloads, CAST(CASE WHEN more OR n IS NULL THEN -1 ELSE n END AS INTEGER) AS n_placed FROM documents LEFT JOIN moved USING (doc_id)""")
 def payload_recovery(spark, d):
     """Where a placement isn't the only one, some payload of it can be moved alone, between its neighbours: so the SQL has it."""
-    s = tagged(t(spark, d, "documents")).select("doc_id", "text", F.transform(spans.scan_tags(F.col("tagged"), "skill")["spans"], lambda x: x["text"]).alias("payloads"))
+    s = once(tagged(t(spark, d, "documents")), F.transform(spans.scan_tags(F.col("tagged"), "skill")["spans"], lambda x: x["text"]), "payloads", "doc_id", "text")
     return s.select("doc_id", F.coalesce(F.size("payloads"), F.lit(0)).alias("n_payloads"), F.coalesce(F.size(T.placed_payloads(F.col("text"), F.col("payloads"))), F.lit(-1)).alias("n_placed"))
 
 
