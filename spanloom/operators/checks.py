@@ -47,7 +47,12 @@ def finite_vector_ok(column: str, dimensions: int) -> Column:
 
 
 def exact_keys(column: str, keys: Sequence[str]) -> Column:
-    """A JSON object with just these keys, and nothing behind its closing brace."""
+    """A JSON object with just these keys, none twice, and nothing around it; false for a null.
+
+    Spark's parser stops behind the first value. So the text must be a value inside brackets and inside an object too:
+    what follows it can't close both.
+    """
     text = F.col(column)
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
     found = F.array_sort(F.json_object_keys(text))
-    return F.coalesce((found == F.array(*(F.lit(k) for k in sorted(keys)))) & F.trim(text).endswith("}"), F.lit(False))
+    return F.coalesce(alone & (found == F.array(*(F.lit(k) for k in sorted(keys)))), F.lit(False))

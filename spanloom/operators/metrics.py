@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from . import draws
+
 
 def per_target(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     """key, tp, fp, fn, covered, exact, gold_has, pred_has over (key, spans array). A missing prediction is empty, but never exact."""
@@ -79,32 +77,19 @@ def priority_sample(rows: DataFrame, key: str, first: Column, n: int, seed: int
     return rows.withColumn("__first", first.cast("int")).withColumn("__drawn", drawn).orderBy(F.col("__first").desc(), "__drawn").limit(n).drop("__first", "__drawn")
 
 
-def paired_bootstrap(pairs: DataFrame, replicates: int = 1000, seed: int = 0) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, key: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """One row: the 2.5 and 97.5 percent bounds of the differences of F1 and exact rate of two systems.
 
-    pairs (a_tp, a_fp, a_fn, a_exact, b_…, one row a target). Targets are drawn with replacement: every replicate adds up
-    multinomial weights of the distinct outcomes, whose number depends on set sizes and not on targets.
+    pairs (key, a_tp, a_fp, a_fn, a_exact, b_…, one row a target). A replicate draws as many targets as there are, with
+    replacement, in the order of key, as random.Random(seed).choice does; see draws. Without a target the bounds are null.
     """
     names = [f"{s}_{c}" for s in "ab" for c in ("tp", "fp", "fn", "exact")]
-    grouped = pairs.groupBy(*names).agg(F.count("*").alias("weight")).orderBy(*names).coalesce(1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        m = np.array([sum((t.column(k).to_pylist() for t in tables), []) for k in range(len(names) + 1)], dtype=float).T
-        values, weight = m[:, :-1], m[:, -1]
-        n = int(weight.sum())
-        draws = np.random.default_rng(seed).multinomial(n, weight / n, size=replicates) @ values
-
-        def f1(k: int) -> np.ndarray:
-            d = 2 * draws[:, k] + draws[:, k + 1] + draws[:, k + 2]
-            return np.divide(2 * draws[:, k], d, out=np.zeros(replicates), where=d > 0)
-
-        out = []
-        for delta in (f1(4) - f1(0), (draws[:, 7] - draws[:, 3]) / n):
-            s = np.sort(delta)
-            out += [float(s[int(q * (replicates - 1))]) for q in (0.025, 0.975)]
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], ["f1_low", "f1_high", "exact_low", "exact_high"])
-
-    return grouped.mapInArrow(run, "f1_low double, f1_high double, exact_low double, exact_high double")
+    sums, n = draws.replicate_sums(pairs, key, names, replicates, seed)
+
+    def f1(s: str) -> Column:
+        p, r = (_share(F.col(f"{s}_tp"), F.col(f"{s}_tp") + F.col(f"{s}_{c}")) for c in ("fp", "fn"))
+        return _share(F.lit(2.0) * p * r, p + r)
+
+    exact = lambda s: F.col(f"{s}_exact") / F.lit(float(n or 1))
+    bounds = draws.interval(f1("b") - f1("a"), replicates) + draws.interval(exact("b") - exact("a"), replicates)
+    return sums.agg(*(b.alias(name) for b, name in zip(bounds, ("f1_low", "f1_high", "exact_low", "exact_high"), strict=True)))

@@ -16,14 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 BLOCK = 2048
+#: By how much a product of matrices can miss the cosine of two unit vectors; what lies that near is computed one by one.
+SLACK = 1e-12
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64)
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.array([np.linalg.norm(x) for x in m])[:, None]
 
 
 def _cell(k: int, leave_one_out: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -31,25 +34,28 @@ def _cell(k: int, leave_one_out: bool) -> Callable[[pa.Table, pa.Table], pa.Tabl
         out = ([], [], [])
         if targets.num_rows and demos.num_rows:
             t_ids, d_ids = targets["id"].to_numpy(), demos["id"].to_numpy()
-            order = np.argsort(d_ids, kind="stable")
-            d_ids = d_ids[order]
-            cosine = np.round(_unit(_matrix(targets["v"])) @ _unit(_matrix(demos["v"])[order]).T, 10)
-            for i, row in zip(t_ids.tolist(), cosine, strict=True):
+            t, d = _unit(_matrix(targets["v"])), _unit(_matrix(demos["v"]))
+            for i, own, near in zip(t_ids.tolist(), t, t @ d.T, strict=True):
                 at = np.flatnonzero(d_ids != i) if leave_one_out else np.arange(len(d_ids))
-                at = at[np.argsort(-row[at], kind="stable")[:k]]
-                out[0].extend([i] * len(at))
-                out[1].extend(d_ids[at].tolist())
-                out[2].extend(row[at].tolist())
+                if len(at) > k:
+                    at = at[near[at] >= np.partition(near[at], len(at) - k)[len(at) - k] - SLACK]
+                # one product at a time: equal vectors then have equal cosines, wherever they stand in a matrix
+                cosine = np.array([np.dot(own, d[j]) for j in at])
+                best = np.lexsort((d_ids[at], -cosine))[:k]
+                out[0].extend([i] * len(best))
+                out[1].extend(d_ids[at[best]].tolist())
+                out[2].extend(cosine[best].tolist())
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["target", "demo", "similarity"])
 
     return run
 
 
-def neighbours(targets: DataFrame, demos: DataFrame, k: int = 50, leave_one_out: bool = True) -> DataFrame:
+def neighbours(targets: DataFrame, demos: DataFrame, k: int = 50, leave_one_out: bool = True, complete: bool = False) -> DataFrame:
     """target, demo, similarity, neighbor_rank: the k most similar demos (id, v) of each target (id, v).
 
-    Cosine in double precision, rounded to 10 decimals before ranking; ties go to the smaller id. A vector is valid, see
-    checks.finite_vector_ok; a target with fewer than k demos keeps what there is.
+    The cosine is in double precision and ranks as it is, without rounding; ties go to the smaller id. A vector is
+    valid, see checks.finite_vector_ok. A target with fewer than k demos keeps what there is, unless they must be complete:
+    then it is an error.
     """
     t_blocks, d_blocks = (max(1, math.ceil(x.count() / BLOCK)) for x in (targets, demos))
     block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
@@ -59,7 +65,12 @@ def neighbours(targets: DataFrame, demos: DataFrame, k: int = 50, leave_one_out:
     t, d = (x.repartition(n, "tb", "db") for x in (t, d))
     found = t.groupBy("tb", "db").cogroup(d.groupBy("tb", "db")).applyInArrow(_cell(k, leave_one_out), "target long, demo long, similarity double")
     order = Window.partitionBy("target").orderBy(F.col("similarity").desc(), "demo")
-    return found.withColumn("neighbor_rank", F.row_number().over(order)).where(F.col("neighbor_rank") <= k)
+    ranked = found.withColumn("neighbor_rank", F.row_number().over(order))
+    if complete:
+        there = F.count("*").over(Window.partitionBy("target"))
+        short = F.raise_error(F.concat(F.lit("target "), F.col("target").cast("string"), F.lit(" has only "), there.cast("string"), F.lit(f" demos of {k}"))).cast("int")
+        ranked = ranked.withColumn("neighbor_rank", F.when(there >= k, F.col("neighbor_rank")).otherwise(short))
+    return ranked.where(F.col("neighbor_rank") <= k)
 
 
 def reranked(found: DataFrame, reliability: DataFrame, k: int = 16) -> DataFrame:
@@ -77,7 +88,7 @@ def _nearest_cell(candidates: pa.Table, tokens: pa.Table) -> pa.Table:
         order = np.argsort(ids, kind="stable")
         ids, w = ids[order], _matrix(tokens["v"])[order]
         for name, v in zip(candidates["candidate"].to_pylist(), _matrix(candidates["v"]), strict=True):
-            distance = np.round(np.sqrt(((w - v) ** 2).sum(1)), 8)
+            distance = np.sqrt(((w - v) ** 2).sum(1))
             at = int(distance.argmin())
             out[1].append(name)
             out[2].append(float(distance[at]))
@@ -90,9 +101,11 @@ def _nearest_cell(candidates: pa.Table, tokens: pa.Table) -> pa.Table:
 def nearest_in_group(candidates: DataFrame, tokens: DataFrame, k: int = 5) -> DataFrame:
     """group, candidate, distance, token, rank: each candidate's nearest token (first on ties), and the k nearest candidates of a group.
 
+    Candidates rank by their distance as it is, then by candidate_rank, where they have that column, then by name.
+
     candidates (group, candidate, v) and tokens (group, token, v) meet within their group only. A group's tokens are
     dealt to the blocks that its size needs, so a cell is bounded and gives one row a candidate, not one a pair. The
-    distance is Euclidean, rounded to 8 decimals.
+    distance is Euclidean.
     """
     t_blocks = tokens.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tbs"))
     c_blocks = candidates.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cbs"))
@@ -107,7 +120,10 @@ def nearest_in_group(candidates: DataFrame, tokens: DataFrame, k: int = 5) -> Da
     group = dict(candidates.dtypes)["group"]
     near = c.groupBy(*cell).cogroup(t.groupBy(*cell)).applyInArrow(_nearest_cell, f"group {group}, candidate long, distance double, token long")
     best = near.groupBy("group", "candidate").agg(F.min(F.struct("distance", "token")).alias("best")).select("group", "candidate", "best.distance", "best.token")
-    order = Window.partitionBy("group").orderBy("distance", "candidate")
+    ranked = "candidate_rank" in candidates.columns
+    if ranked:
+        best = best.join(candidates.select("group", "candidate", "candidate_rank"), ["group", "candidate"])
+    order = Window.partitionBy("group").orderBy("distance", *["candidate_rank"] * ranked, "candidate")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.functions.rows import exploded, once
-from spanloom.operators import assemble, checks, consensus, diagnostics, gate, interaction, metrics, results, retrieval, spans, termstats
+from spanloom.operators import assemble, checks, consensus, diagnostics, draws, gate, interaction, metrics, results, retrieval, spans, termstats
 from spanloom.plans import protocol
 from spanloom.sources import model, relations, shared
 from spanloom.streaming import log
@@ -211,11 +211,11 @@ counts AS (SELECT token, CAST(count(*) FILTER (WHERE pos) AS BIGINT) AS raw_pos,
   count(DISTINCT doc_id) FILTER (WHERE pos) AS df_pos, count(DISTINCT doc_id) FILTER (WHERE NOT pos) AS df_neg FROM toks GROUP BY token),
 sizes AS (SELECT count(*) FILTER (WHERE quality = 1) AS n_pos, count(*) FILTER (WHERE quality = 0) AS n_neg FROM documents JOIN labels USING (doc_id)),
 cells AS (SELECT counts.*, n_pos, n_neg, CAST(n_pos + n_neg AS DOUBLE) AS n, df_pos + df_neg AS p, n_pos + n_neg - df_pos - df_neg AS a FROM counts, sizes),
-measured AS (SELECT token, raw_pos, raw_neg, df_pos, df_neg, round(
+measured AS (SELECT token, raw_pos, raw_neg, df_pos, df_neg,
   (CASE WHEN df_pos > 0 THEN df_pos / n * ln(df_pos * n / (p * n_pos)) ELSE 0 END) + (CASE WHEN df_neg > 0 THEN df_neg / n * ln(df_neg * n / (p * n_neg)) ELSE 0 END)
   + (CASE WHEN n_pos > df_pos THEN (n_pos - df_pos) / n * ln((n_pos - df_pos) * n / (a * n_pos)) ELSE 0 END)
-  + (CASE WHEN n_neg > df_neg THEN (n_neg - df_neg) / n * ln((n_neg - df_neg) * n / (a * n_neg)) ELSE 0 END), 9) AS mi,
-  CASE WHEN raw_pos > 0 THEN round(raw_neg / raw_pos, 9) END AS ratio, raw_pos > 0 AND raw_neg / raw_pos <= 3.0 AS eligible,
+  + (CASE WHEN n_neg > df_neg THEN (n_neg - df_neg) / n * ln((n_neg - df_neg) * n / (a * n_neg)) ELSE 0 END) AS mi,
+  CASE WHEN raw_pos > 0 THEN raw_neg / raw_pos END AS ratio, raw_pos > 0 AND raw_neg / raw_pos <= 3.0 AS eligible,
   raw_pos > 0 AND raw_neg / raw_pos <= 3.0 AND df_pos / n_pos > df_neg / n_neg AS directional FROM cells)
 """
 
@@ -228,25 +228,32 @@ def token_doc_freq(spark, d):
     return termstats.exploded_counts(classed_tokens(spark, d)).select(*_METRICS)
 
 
-@query(f"WITH {_terms_sql(False)} SELECT token, mi, ratio, CAST(eligible AS INTEGER) AS eligible, CAST(directional AS INTEGER) AS directional FROM measured")
+@query(f"WITH {_terms_sql(False)} SELECT token, round(mi, 9) AS mi, round(ratio, 9) AS ratio, CAST(eligible AS INTEGER) AS eligible, CAST(directional AS INTEGER) AS directional FROM measured")
 def term_mi(spark, d):
     m = termstats.candidate_metrics(termstats.exploded_counts(classed_tokens(spark, d)), class_sizes(spark, d))
-    return m.select("token", "mi", "ratio", F.col("eligible").cast("int").alias("eligible"), F.col("directional").cast("int").alias("directional"))
+    return m.select("token", F.round("mi", 9).alias("mi"), F.round("ratio", 9).alias("ratio"), F.col("eligible").cast("int").alias("eligible"), F.col("directional").cast("int").alias("directional"))
 
 
 def _bank_sql(masked: bool) -> str:
-    return f"""WITH {_terms_sql(masked)} SELECT token, mi, df_pos, CAST(row_number() OVER (ORDER BY mi DESC, df_pos DESC, token) AS INTEGER) AS rank
+    return f"""WITH {_terms_sql(masked)} SELECT token, round(mi, 9) AS mi, df_pos, CAST(row_number() OVER (ORDER BY measured.mi DESC, df_pos DESC, token) AS INTEGER) AS rank
 FROM measured WHERE directional QUALIFY rank <= 20"""
 
 
 @query(_bank_sql(False))
 def term_bank_topn(spark, d):
-    return termstats.bank(termstats.candidate_metrics(termstats.exploded_counts(classed_tokens(spark, d)), class_sizes(spark, d))).select("token", "mi", "df_pos", "rank")
+    return termstats.bank(termstats.candidate_metrics(termstats.exploded_counts(classed_tokens(spark, d)), class_sizes(spark, d))).select("token", F.round("mi", 9).alias("mi"), "df_pos", "rank")
 
 
 @query(_bank_sql(True))
 def term_bank_masked(spark, d):
-    return termstats.bank(termstats.candidate_metrics(termstats.exploded_counts(classed_tokens(spark, d, masked=True)), class_sizes(spark, d))).select("token", "mi", "df_pos", "rank")
+    return termstats.bank(termstats.candidate_metrics(termstats.exploded_counts(classed_tokens(spark, d, masked=True)), class_sizes(spark, d))).select("token", F.round("mi", 9).alias("mi"), "df_pos", "rank")
+
+
+@query(f"""WITH {_terms_sql(False)}, paper AS (SELECT *, row_number() OVER (ORDER BY mi DESC, df_pos DESC, token) AS paper_rank FROM measured WHERE eligible)
+SELECT token, round(mi, 9) AS mi, CAST(paper_rank AS INTEGER) AS paper_rank, CAST(CASE WHEN directional THEN count(*) FILTER (WHERE directional) OVER (ORDER BY paper_rank) END AS INTEGER) AS rank FROM paper WHERE paper_rank <= 40""")
+def term_paper_ranks(spark, d):
+    m = termstats.candidate_metrics(termstats.exploded_counts(classed_tokens(spark, d)), class_sizes(spark, d))
+    return termstats.paper_bank(m, 40).select("token", F.round("mi", 9).alias("mi"), "paper_rank", "rank")
 
 
 # --- consensus
@@ -361,7 +368,7 @@ def reliability(spark, d) -> DataFrame:
 
 
 _RETRIEVAL_SQL = """
-pairs AS (SELECT a.vec_id AS target, b.vec_id AS demo, b.label AS label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 10) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+pairs AS (SELECT a.vec_id AS target, b.vec_id AS demo, b.label AS label, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 near AS (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY similarity DESC, demo) AS INTEGER) AS neighbor_rank FROM pairs QUALIFY neighbor_rank <= 50),
 ranked AS (SELECT *, (label % 5 + 1) / 5.0 AS reliability, row_number() OVER (PARTITION BY target ORDER BY (label % 5 + 1) / 5.0 DESC, similarity DESC, demo) AS r FROM near),
 judged AS (SELECT target, demo, label, similarity, CAST(r AS INTEGER) AS retrieval_rank, CAST((target + demo) % 5 + 1 AS INTEGER) AS score, CASE WHEN (target + demo) % 7 = 0 THEN 'irrelevant' WHEN label % 2 = 0 THEN 'supporting' ELSE 'contrastive' END AS role FROM ranked WHERE r <= 16),
@@ -371,7 +378,7 @@ gated AS (SELECT *, CASE WHEN score > 3 AND role <> 'irrelevant' THEN CAST(count
 
 def found(spark, d) -> DataFrame:
     v = vectors(spark, d)
-    return retrieval.neighbours(v, v)
+    return retrieval.neighbours(v, v, complete=True)
 
 
 def judged(spark, d) -> DataFrame:
@@ -380,23 +387,23 @@ def judged(spark, d) -> DataFrame:
     return rows.select("target", "demo", "label", "similarity", F.col("selected_rank").alias("retrieval_rank"), ((F.col("target") + F.col("demo")) % 5 + 1).cast("int").alias("score"), role.alias("role"))
 
 
-@query(f"WITH {_RETRIEVAL_SQL} SELECT target, demo, similarity, neighbor_rank FROM near")
+@query(f"WITH {_RETRIEVAL_SQL} SELECT target, demo, round(similarity, 10) AS similarity, neighbor_rank FROM near")
 def cosine_topk(spark, d):
-    return found(spark, d)
+    return found(spark, d).withColumn("similarity", F.round("similarity", 10))
 
 
-@query(f"WITH {_RETRIEVAL_SQL} SELECT target, demo, similarity, neighbor_rank, CAST(reliability AS DOUBLE) AS reliability, CASE WHEN r <= 16 THEN CAST(r AS INTEGER) END AS selected_rank FROM ranked")
+@query(f"WITH {_RETRIEVAL_SQL} SELECT target, demo, round(similarity, 10) AS similarity, neighbor_rank, CAST(reliability AS DOUBLE) AS reliability, CASE WHEN r <= 16 THEN CAST(r AS INTEGER) END AS selected_rank FROM ranked")
 def cosine_topk_rerank(spark, d):
-    return retrieval.reranked(found(spark, d), reliability(spark, d)).drop("label")
+    return retrieval.reranked(found(spark, d), reliability(spark, d)).drop("label").withColumn("similarity", F.round("similarity", 10))
 
 
-@query("""WITH pairs AS (SELECT c.label AS "group", c.vec_id AS candidate, o.vec_id AS token, round(list_distance(CAST(c.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])), 8) AS distance FROM embeddings c JOIN embeddings o ON c.label = o.label AND o.vec_id % 2 = 1 WHERE c.vec_id % 2 = 0),
+@query("""WITH pairs AS (SELECT c.label AS "group", c.vec_id AS candidate, o.vec_id AS token, list_distance(CAST(c.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])) AS distance FROM embeddings c JOIN embeddings o ON c.label = o.label AND o.vec_id % 2 = 1 WHERE c.vec_id % 2 = 0),
 best AS (SELECT "group", candidate, token, distance FROM pairs QUALIFY row_number() OVER (PARTITION BY "group", candidate ORDER BY distance, token) = 1)
-SELECT "group", candidate, distance, token, CAST(row_number() OVER (PARTITION BY "group" ORDER BY distance, candidate) AS INTEGER) AS rank FROM best QUALIFY rank <= 5""")
+SELECT "group", candidate, round(distance, 8) AS distance, token, CAST(row_number() OVER (PARTITION BY "group" ORDER BY best.distance, candidate) AS INTEGER) AS rank FROM best QUALIFY rank <= 5""")
 def nearest_token_min(spark, d):
     e = t(spark, d, "embeddings").select(F.col("label").alias("group"), "vec_id", F.col("embedding").alias("v"))
     even = F.col("vec_id") % 2 == 0
-    return retrieval.nearest_in_group(e.where(even).withColumnRenamed("vec_id", "candidate"), e.where(~even).withColumnRenamed("vec_id", "token"))
+    return retrieval.nearest_in_group(e.where(even).withColumnRenamed("vec_id", "candidate"), e.where(~even).withColumnRenamed("vec_id", "token")).withColumn("distance", F.round("distance", 8))
 
 
 @query(f"WITH {_RETRIEVAL_SQL} SELECT target, demo, score, role, retrieval_rank, gate_rank FROM gated")
@@ -574,7 +581,7 @@ def bootstrap_ci(spark, d):
     gold, _ = extractors(spark, d)
     b = metrics.per_target(gold, gold, "doc_id")
     named = lambda x, p: x.select("doc_id", *(F.col(c).alias(f"{p}_{c}") for c in ("tp", "fp", "fn", "exact")))
-    return metrics.paired_bootstrap(named(a, "a").join(named(b, "b"), "doc_id"))
+    return metrics.paired_bootstrap(named(a, "a").join(named(b, "b"), "doc_id"), "doc_id")
 
 
 @query(f"WITH {_EVAL_SQL} SELECT doc_id, CASE WHEN covered = 0 THEN 'missing' WHEN list_sort(g) = list_sort(p) THEN 'exact' WHEN (len(g) > 0) = (len(p) > 0) THEN 'presence' ELSE 'none' END AS agreement FROM both_")
@@ -618,6 +625,13 @@ def hash_sample(spark, d):
     return metrics.priority_sample(t(spark, d, "labels"), "doc_id", F.col("quality") == 0, 20).select("doc_id")
 
 
+@query()
+def seeded_sample(spark, d):
+    """Twenty documents for review: those of bad quality first, each class shuffled by the seeded generator."""
+    rows = t(spark, d, "labels").select("doc_id", "quality")
+    return draws.shuffled_first(rows, "doc_id", F.col("quality") == 0, 20).select("doc_id", "quality", "drawn")
+
+
 # --- interaction
 
 

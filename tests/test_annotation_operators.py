@@ -218,7 +218,7 @@ def test_metrics(spark):
     assert metrics.presence(part).first()["negative_fp_rate"] == 0.0
     named = lambda x, p: x.select("k", *(F.col(c).alias(f"{p}_{c}") for c in ("tp", "fp", "fn", "exact")))
     pairs = named(part, "a").join(named(metrics.per_target(gold, gold, "k"), "b"), "k")
-    low, high, _, _ = metrics.paired_bootstrap(pairs, replicates=200).first()
+    low, high, _, _ = metrics.paired_bootstrap(pairs, "k", replicates=200).first()
     assert 0 <= low <= high <= 1
 
 
