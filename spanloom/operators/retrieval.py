@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from . import spans
+
 BLOCK = 2048
 #: By how much a product of matrices can miss the cosine of two unit vectors; what lies that near is computed one by one.
 SLACK = 1e-12
@@ -130,9 +132,9 @@ def nearest_in_group(candidates: DataFrame, tokens: DataFrame, k: int = 5) -> Da
 def pooled(words: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
     """key, start, end, v: each word's mean of the vectors of the pieces that overlap it; words without a piece are left out.
 
-    words (key, start, end) and pieces (key, p_start, p_end, v) meet within a sentence. A word's sums are made from
-    elements, so no array of arrays is gathered.
+    words (key, start, end) and pieces (key, p_start, p_end, v) meet within the same stretch of a sentence. A word's sums
+    are made from elements, so no array of arrays is gathered.
     """
-    met = words.join(pieces, key).where(F.greatest("start", "p_start") < F.least("end", "p_end"))
+    met = spans.interval_join(words, pieces, key, ("start", "end"), ("p_start", "p_end"))
     each = met.select(key, "start", "end", F.posexplode("v").alias("__at", "__x")).groupBy(key, "start", "end", "__at").agg(F.avg("__x").alias("__x"))
     return each.groupBy(key, "start", "end").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__x"))), lambda s: F.round(s["__x"], 9)).alias("v"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,24 +72,67 @@ def _named(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def families(labels: DataFrame, key: str) -> DataFrame:
-    """labels (key, start, end, …) with family, numbered from 0 by the first span: components of the overlap graph.
+def families(labels: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """labels (key or keys, start, end, …) with family, numbered from 0 by the first span: components of the overlap graph.
 
     Sorted by start, a span that begins at or behind all ends so far begins a new component.
     """
-    order = Window.partitionBy(key).orderBy("start", "end")
+    order = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy("start", "end")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     begins = F.when(F.col("start") < F.coalesce(F.max("end").over(before), F.lit(-1)), 0).otherwise(1)
     return labels.withColumn("__begins", begins).withColumn("family", (F.sum("__begins").over(order) - 1).cast("int")).drop("__begins")
 
 
+def family_coverage(labels: DataFrame, by: Sequence[str]) -> DataFrame:
+    """labels (by, start, end, distinct) with members, min_coverage and avg_coverage over the other members of their family; both null for one alone.
+
+    No two members meet. The sum of what they cover of [a, b) is G(b) - G(a), where G(x) adds up what all members have
+    before x: by their starts and ends up to x, one running sum over sorted ends. The least is that of a member's own
+    length, of its reach from the last other start and to the first other end, and of the shortest other.
+    """
+    family = Window.partitionBy(*by)
+    length = F.col("end") - F.col("start")
+    rows = labels.withColumns({"members": F.count("*").over(family), "__length": length})
+    for name, column, best in (("__last", "start", F.max), ("__first", "end", F.min), ("__short", "__length", F.min)):
+        # the best of the others is the second best where the best is this row's alone
+        rows = rows.withColumn("__best", best(column).over(family))
+        rows = rows.withColumn("__alone", F.count_if(F.col(column) == F.col("__best")).over(family) == 1).withColumn("__next", best(F.when(F.col(column) != F.col("__best"), F.col(column))).over(family))
+        rows = rows.withColumn(name, F.when(F.col("__alone") & (F.col(column) == F.col("__best")), F.col("__next")).otherwise(F.col("__best"))).drop("__best", "__alone", "__next")
+    least = F.greatest(F.lit(0), F.least("__length", F.col("end") - F.col("__last"), F.col("__first") - F.col("start"), "__short"))
+    alone = F.col("members") < 2
+    rows = rows.withColumn("min_coverage", F.when(~alone, least / F.col("__length"))).drop("__last", "__first", "__short")
+    kept = [c for c in rows.columns if c not in (*by, "start", "end")]
+    ends = rows.withColumn("__x", F.explode(F.array("start", "end"))).withColumn("__is_end", F.col("__x") == F.col("end"))
+    upto = family.orderBy("__x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    x, is_end = F.col("__x").cast("long"), F.col("__is_end")
+    # each start before x adds what lies between, each end before x takes off what lies behind it
+    ends = ends.withColumn("__sum", F.sum(F.when(is_end, x).otherwise(-x)).over(upto) + x * F.sum(F.when(is_end, -1).otherwise(1)).over(upto))
+    both = ends.groupBy(*by, "start", "end").agg(*(F.first(c).alias(c) for c in kept), F.sum(F.when(is_end, F.col("__sum")).otherwise(-F.col("__sum"))).alias("__all"))
+    mean = (F.col("__all") - F.col("__length")) / (F.col("__length") * (F.col("members") - 1))
+    return both.withColumn("avg_coverage", F.when(~alone, mean)).drop("__all", "__length")
+
+
 def family_members(labels: DataFrame, key: str) -> DataFrame:
-    """Each member of a family of two or more with its least and mean coverage over the others (min_coverage, avg_coverage)."""
-    mine = labels.select(key, "family", "start", "end", "votes")
-    other = mine.select(key, "family", F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    pairs = mine.join(other, [key, "family"]).where((F.col("start") != F.col("o_start")) | (F.col("end") != F.col("o_end")))
-    covered = coverage(F.col("start"), F.col("end"), F.col("o_start"), F.col("o_end"))
-    return pairs.groupBy(key, "family", "start", "end", "votes").agg(F.round(F.min(covered), 9).alias("min_coverage"), F.round(F.avg(covered), 9).alias("avg_coverage"), (F.count("*") + 1).alias("members"))
+    """Each member of a family of two or more with its least and mean coverage over the others (min_coverage, avg_coverage), not rounded."""
+    found = family_coverage(labels.select(key, "family", "start", "end", "votes"), [key, "family"])
+    return found.where("members > 1").select(key, "family", "start", "end", "votes", "min_coverage", "avg_coverage", "members")
+
+
+def interval_join(left: DataFrame, right: DataFrame, key: str, ends: Sequence[str], other: Sequence[str], width: int = 64) -> DataFrame:
+    """Rows of both with the same key whose intervals, [start, end) by the column names given, share a character.
+
+    Intervals are dealt to the stretches of width characters that they touch, and meet there; a pair that meets in more
+    than one counts in the first that both touch. So the work follows the pairs that overlap and the length of
+    intervals, not the product of a key's rows. Empty intervals meet nothing.
+    """
+
+    def dealt(df: DataFrame, start: str, end: str) -> DataFrame:
+        stretch = lambda x: F.floor(x / width).cast("long")
+        return df.where(F.col(start) < F.col(end)).withColumn("__at", F.explode(F.sequence(stretch(F.col(start)), stretch(F.col(end) - 1))))
+
+    met = dealt(left, *ends).join(dealt(right, *other), [key, "__at"])
+    begin = F.greatest(ends[0], other[0])
+    return met.where((begin < F.least(ends[1], other[1])) & (F.floor(begin / width) == F.col("__at"))).drop("__at")
 
 
 def threshold(units: Column, base: float = 0.45, step: float = 0.05, cap: float = 0.85) -> Column:
@@ -97,16 +140,35 @@ def threshold(units: Column, base: float = 0.45, step: float = 0.05, cap: float
     return F.least(F.lit(cap), F.lit(base) + F.lit(step) * (units - 1))
 
 
-def anchors(members: DataFrame, key: str, units: Column, epsilon: float = 1e-12) -> DataFrame:
-    """One winner a family, by stages: most votes, then within epsilon of the best least coverage, then of the best mean, then fewest words, shortest, first.
+def anchor_places(members: DataFrame, by: Sequence[str], units: Column, epsilon: float = 1e-12) -> DataFrame:
+    """members with units, stage and place within their family.
 
-    accepted: every other member's coverage reaches the threshold.
+    The winner, of place 1, is found by stages: most votes, then within epsilon of the best least coverage, then of the
+    best mean, then fewest words, shortest, first. stage is the number of stages that a member passed.
     """
+    family = Window.partitionBy(*by)
+    rows = members.withColumn("units", units).withColumn("stage", F.when(F.col("votes") == F.max("votes").over(family), 1).otherwise(0))
+    for n, column in enumerate(("min_coverage", "avg_coverage"), 1):
+        best = F.max(F.when(F.col("stage") == n, F.col(column))).over(family)
+        rows = rows.withColumn("stage", F.when((F.col("stage") == n) & (F.col(column) + epsilon >= best), n + 1).otherwise(F.col("stage")))
+    order = family.orderBy(F.col("stage").desc(), "units", F.col("end") - F.col("start"), "start", "end")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def reaches(epsilon: float = 1e-12) -> Column:
+    """Whether every other member's coverage reaches the threshold of a winner's units."""
+    return F.col("min_coverage") + epsilon >= threshold(F.col("units"))
+
+
+def anchors(members: DataFrame, key: str, units: Column, epsilon: float = 1e-12) -> DataFrame:
+    """The winner of each family, see anchor_places(). accepted: every other member's coverage reaches the threshold."""
+    won = anchor_places(members, [key, "family"], units, epsilon).where("place = 1").drop("place", "stage")
+    return won.withColumn("accepted", reaches(epsilon))
+
+
+def anchor_rankings(members: DataFrame, key: str, units: Column) -> DataFrame:
+    """All members of families with candidate_rank, by votes, least and mean coverage, words, length and place, and eligible: they have the winner's votes."""
     family = Window.partitionBy(key, "family")
-    stage = members.withColumn("units", units)
-    stage = stage.withColumn("best", F.max("votes").over(family)).where("votes = best")
-    for column in ("min_coverage", "avg_coverage"):
-        stage = stage.withColumn("best", F.max(column).over(family)).where(F.col(column) + epsilon >= F.col("best"))
-    order = family.orderBy("units", F.col("end") - F.col("start"), "start", "end")
-    winner = stage.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place", "best")
-    return winner.withColumn("accepted", F.col("min_coverage") + epsilon >= threshold(F.col("units")))
+    order = family.orderBy(F.col("votes").desc(), F.col("min_coverage").desc(), F.col("avg_coverage").desc(), "units", F.col("end") - F.col("start"), "start", "end")
+    rows = members.withColumn("units", units).withColumn("candidate_rank", F.row_number().over(order))
+    return rows.withColumn("eligible", F.col("votes") == F.max("votes").over(family))

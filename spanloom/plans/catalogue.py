@@ -259,12 +259,19 @@ def term_paper_ranks(spark, d):
 # --- consensus
 
 
+def annotated(spark, d) -> DataFrame:
+    """idx, sample, valid, has, spans: a part's lines of one number are a sample, those returned its spans."""
+    of = lambda column, unit: F.floor(F.round(F.col(column) * 100) / unit).cast("int")
+    start = of("l_discount", 2) * 2
+    span = F.struct(start.alias("start"), (start + of("l_tax", 3) + 2).alias("end"))
+    lines = t(spark, d, "lineitem").select(F.col("l_partkey").alias("idx"), F.col("l_linenumber").alias("sample"), "l_quantity", (F.col("l_returnflag") == "R").alias("r"), span.alias("span")).repartition("idx")
+    return lines.groupBy("idx", "sample").agg((F.sum("l_quantity") > 40).alias("valid"), F.max("r").alias("has"), F.collect_set(F.when(F.col("r"), F.col("span"))).alias("spans"))
+
+
 def annotations(spark, d) -> tuple[DataFrame, DataFrame]:
-    """samples (idx, sample, valid, has) and marks (idx, sample, start, end): a part's lines are its samples, with a span each at most."""
-    lines = t(spark, d, "lineitem").select(F.col("l_partkey").alias("idx"), F.col("l_linenumber").alias("sample"), "l_quantity", (F.col("l_returnflag") == "R").alias("r"), F.round(F.col("l_discount") * 100).cast("int").alias("a"), F.round(F.col("l_tax") * 100).cast("int").alias("b"))
-    first = F.min(F.when(F.col("r"), F.struct(F.col("a").alias("start"), (F.col("a") + F.col("b") + 2).alias("end")))).alias("span")
-    grouped = lines.groupBy("idx", "sample").agg((F.sum("l_quantity") > 40).alias("valid"), F.max("r").alias("has"), first)
-    return grouped.select("idx", "sample", "valid", "has"), grouped.where("has").select("idx", "sample", "span.start", "span.end")
+    """samples (idx, sample, valid, has) and marks (idx, sample, start, end)."""
+    grouped = annotated(spark, d)
+    return grouped.select("idx", "sample", "valid", "has"), grouped.select("idx", "sample", F.explode("spans").alias("span")).select("idx", "sample", "span.start", "span.end")
 
 
 def units() -> Column:
@@ -273,9 +280,9 @@ def units() -> Column:
 
 
 _VOTES_SQL = """
-lines AS (SELECT l_partkey AS idx, l_linenumber AS sample, l_quantity, l_returnflag = 'R' AS r, CAST(round(l_discount * 100) AS INTEGER) AS a, CAST(round(l_tax * 100) AS INTEGER) AS b FROM lineitem),
-grouped AS (SELECT idx, sample, sum(l_quantity) > 40 AS valid, bool_or(r) AS has, min(CASE WHEN r THEN a * 1000 + a + b + 2 END) AS code FROM lines GROUP BY ALL),
-marks AS (SELECT idx, sample, valid, CAST(code // 1000 AS INTEGER) AS s, CAST(code % 1000 AS INTEGER) AS e FROM grouped WHERE has),
+lines AS (SELECT l_partkey AS idx, l_linenumber AS sample, l_quantity, l_returnflag = 'R' AS r, CAST(round(l_discount * 100) AS INTEGER) // 2 * 2 AS a, CAST(round(l_tax * 100) AS INTEGER) // 3 AS b FROM lineitem),
+grouped AS (SELECT idx, sample, sum(l_quantity) > 40 AS valid, bool_or(r) AS has, coalesce(list_sort(list(DISTINCT a * 1000 + a + b + 2) FILTER (WHERE r)), []) AS codes FROM lines GROUP BY ALL),
+marks AS (SELECT idx, sample, valid, CAST(code // 1000 AS INTEGER) AS s, CAST(code % 1000 AS INTEGER) AS e FROM (SELECT idx, sample, valid, unnest(codes) AS code FROM grouped)),
 votes AS (SELECT idx, count(*) FILTER (WHERE valid) AS valid, count(*) FILTER (WHERE valid AND has) AS has, count(*) FILTER (WHERE valid AND NOT has) AS no FROM grouped GROUP BY idx),
 labels_ AS (SELECT idx, s, e, count(DISTINCT sample) AS votes, list_sort(list(DISTINCT sample)) AS samples FROM marks WHERE valid GROUP BY idx, s, e),
 kinds AS (SELECT l.*, CASE WHEN votes >= 3 THEN 'exact' WHEN EXISTS (SELECT 1 FROM labels_ x WHERE x.idx = l.idx AND x.votes >= 3 AND greatest(x.s, l.s) < least(x.e, l.e)) THEN 'explained' ELSE 'open' END AS kind FROM labels_ l),
@@ -284,19 +291,21 @@ fam AS (SELECT idx, s, e, votes, samples, CAST(sum(b) OVER (PARTITION BY idx ORD
 support AS (SELECT idx, family, count(DISTINCT x) AS support FROM (SELECT idx, family, unnest(samples) AS x FROM fam) GROUP BY ALL),
 sizes_ AS (SELECT idx, family, count(*) AS size FROM fam GROUP BY ALL),
 pairs AS (SELECT m.idx, m.family, m.s, m.e, m.votes, greatest(0, least(m.e, o.e) - greatest(m.s, o.s)) / (m.e - m.s) AS c FROM fam m JOIN fam o ON m.idx = o.idx AND m.family = o.family AND (m.s <> o.s OR m.e <> o.e)),
-members AS (SELECT idx, family, s, e, votes, round(min(c), 9) AS min_coverage, round(avg(c), 9) AS avg_coverage, count(*) + 1 AS members, (e - s) // 4 + 1 AS units FROM pairs GROUP BY ALL),
+members AS (SELECT idx, family, s, e, votes, min(c) AS min_coverage, avg(c) AS avg_coverage, count(*) + 1 AS members, (e - s) // 4 + 1 AS units FROM pairs GROUP BY ALL),
 st1 AS (SELECT * FROM members QUALIFY votes = max(votes) OVER (PARTITION BY idx, family)),
 st2 AS (SELECT * FROM st1 QUALIFY min_coverage + 1e-12 >= max(min_coverage) OVER (PARTITION BY idx, family)),
 st3 AS (SELECT * FROM st2 QUALIFY avg_coverage + 1e-12 >= max(avg_coverage) OVER (PARTITION BY idx, family)),
 won AS (SELECT *, min_coverage + 1e-12 >= least(0.85, 0.45 + 0.05 * (units - 1)) AS accepted FROM st3 QUALIFY row_number() OVER (PARTITION BY idx, family ORDER BY units, e - s, s, e) = 1),
 outcomes AS (SELECT z.idx, z.family, CASE WHEN support < 3 THEN 'audit_noise' WHEN size < 2 THEN 'hard_match_validation_failed' WHEN accepted THEN 'accepted' ELSE 'family_anchor_overlap_failed' END AS reason, w.s, w.e
   FROM sizes_ z JOIN support p ON z.idx = p.idx AND z.family = p.family LEFT JOIN won w ON z.idx = w.idx AND z.family = w.family),
-ladder AS (SELECT v.*, coalesce(x.n, 0) AS exact, coalesce(m.n, 0) AS matched, m.trouble FROM votes v LEFT JOIN (SELECT idx, count(*) AS n FROM kinds WHERE kind = 'exact' GROUP BY idx) x USING (idx)
-  LEFT JOIN (SELECT idx, count(*) FILTER (WHERE reason = 'accepted') AS n, min(reason) FILTER (WHERE reason NOT IN ('accepted', 'audit_noise')) AS trouble FROM outcomes GROUP BY idx) m USING (idx)),
-reasoned AS (SELECT *, CASE WHEN valid < 3 THEN 'insufficient_valid_samples' WHEN no >= 4 THEN 'high_confidence_no_skill' WHEN has < 3 THEN 'has_skill_no_consensus' WHEN trouble IS NOT NULL THEN trouble
-  WHEN exact + matched = 0 THEN 'positive_without_stable_span' ELSE 'all_span_families_resolved' END AS reason FROM ladder),
-status_ AS (SELECT idx, valid, has, no, CASE reason WHEN 'insufficient_valid_samples' THEN 'abstained' WHEN 'high_confidence_no_skill' THEN 'negative' WHEN 'all_span_families_resolved' THEN 'accepted' ELSE 'unsolved' END AS status, reason,
-  CASE WHEN reason = 'all_span_families_resolved' THEN exact + matched ELSE 0 END AS n_spans FROM reasoned)
+won_all AS (SELECT idx, s, e FROM kinds WHERE kind = 'exact' UNION ALL SELECT idx, s, e FROM outcomes WHERE reason = 'accepted'),
+clash AS (SELECT DISTINCT x.idx FROM won_all x JOIN won_all y ON x.idx = y.idx AND (x.s, x.e) < (y.s, y.e) AND greatest(x.s, y.s) < least(x.e, y.e)),
+ladder AS (SELECT v.*, coalesce(x.n, 0) AS n, coalesce(m.trouble, []) AS trouble, c.idx IS NOT NULL AS clash FROM votes v LEFT JOIN (SELECT idx, count(*) AS n FROM won_all GROUP BY idx) x USING (idx)
+  LEFT JOIN (SELECT idx, list_sort(list(DISTINCT reason)) AS trouble FROM outcomes WHERE reason NOT IN ('accepted', 'audit_noise') GROUP BY idx) m USING (idx) LEFT JOIN clash c USING (idx)),
+reasoned AS (SELECT *, CASE WHEN valid < 3 THEN ['insufficient_valid_samples'] WHEN no >= 4 THEN ['high_confidence_no_skill'] WHEN has < 3 THEN ['has_skill_no_consensus'] WHEN len(trouble) > 0 OR clash OR n = 0
+  THEN trouble || CASE WHEN clash THEN ['accepted_span_conflict'] ELSE [] END || CASE WHEN n = 0 THEN ['positive_without_stable_span'] ELSE [] END ELSE ['all_span_families_resolved'] END AS reasons FROM ladder),
+status_ AS (SELECT idx, valid, has, no, CASE reasons[1] WHEN 'insufficient_valid_samples' THEN 'abstained' WHEN 'high_confidence_no_skill' THEN 'negative' WHEN 'all_span_families_resolved' THEN 'accepted' ELSE 'unsolved' END AS status, reasons[1] AS reason,
+  array_to_string(reasons, ',') AS reasons, CASE WHEN reasons[1] = 'all_span_families_resolved' THEN n ELSE 0 END AS n_spans FROM reasoned)
 """
 
 
@@ -326,34 +335,59 @@ def span_families(spark, d):
     return consensus.open_families(consensus.explained(consensus.label_votes(valid_marks(spark, d)))).select("idx", "start", "end", "family", "support")
 
 
-@query(f"""WITH {_VOTES_SQL} SELECT idx, family, s AS start, e AS "end", min_coverage, avg_coverage, CAST(units AS INTEGER) AS units, CAST(accepted AS INTEGER) AS accepted FROM won""")
+@query(f"""WITH {_VOTES_SQL} SELECT idx, family, s AS start, e AS "end", round(min_coverage, 9) AS min_coverage, round(avg_coverage, 9) AS avg_coverage, CAST(units AS INTEGER) AS units, CAST(accepted AS INTEGER) AS accepted FROM won""")
 def family_anchor(spark, d):
     members = consensus.open_families(consensus.explained(consensus.label_votes(valid_marks(spark, d))))
     won = spans.anchors(spans.family_members(members, "idx"), "idx", units())
-    return won.select("idx", "family", "start", "end", "min_coverage", "avg_coverage", "units", F.col("accepted").cast("int").alias("accepted"))
+    rounded = (F.round(c, 9).alias(c) for c in ("min_coverage", "avg_coverage"))
+    return won.select("idx", "family", "start", "end", *rounded, "units", F.col("accepted").cast("int").alias("accepted"))
+
+
+@query(f"""WITH {_VOTES_SQL} SELECT idx, family, s AS start, e AS "end", CAST(row_number() OVER (PARTITION BY idx, family ORDER BY votes DESC, min_coverage DESC, round(avg_coverage, 12) DESC, units, e - s, s, e) AS INTEGER) AS candidate_rank,
+CAST(votes = max(votes) OVER (PARTITION BY idx, family) AS INTEGER) AS eligible, round(avg_coverage, 9) AS avg_coverage FROM members""")
+def anchor_rankings(spark, d):
+    members = consensus.open_families(consensus.explained(consensus.label_votes(valid_marks(spark, d))))
+    # sums in another order differ in the last bits, in SQL too
+    near = spans.family_members(members, "idx").withColumn("avg_coverage", F.round("avg_coverage", 12))
+    ranked = spans.anchor_rankings(near, "idx", units())
+    return ranked.select("idx", "family", "start", "end", "candidate_rank", F.col("eligible").cast("int").alias("eligible"), F.round("avg_coverage", 9).alias("avg_coverage"))
 
 
-@query(f"WITH {_VOTES_SQL} SELECT idx, valid, has, no, status, reason, CAST(n_spans AS BIGINT) AS n_spans FROM status_")
+def decided(spark, d) -> DataFrame:
+    return consensus.decisions(annotated(spark, d), units())
+
+
+@query(f"WITH {_VOTES_SQL} SELECT idx, valid, has, no, status, reasons, CAST(n_spans AS BIGINT) AS n_spans FROM status_")
 def consensus_status(spark, d):
-    return consensus.statuses(*annotations(spark, d), units()).withColumn("n_spans", F.col("n_spans").cast("long"))
+    return decided(spark, d).select("idx", "valid", "has", "no", "status", F.array_join("reasons", ",").alias("reasons"), F.col("n_spans").cast("long").alias("n_spans"))
+
+
+@query(f"""WITH {_VOTES_SQL}, positive AS (SELECT idx FROM reasoned WHERE valid >= 3 AND no < 4 AND has >= 3)
+SELECT idx, s AS start, e AS "end", 'accepted' AS list FROM won_all JOIN status_ USING (idx) WHERE status = 'accepted' UNION ALL SELECT idx, s, e, 'candidate' FROM labels_ JOIN positive USING (idx) WHERE votes >= 3""")
+def consensus_spans(spark, d):
+    """The accepted spans and the candidate spans of each sentence."""
+    rows = decided(spark, d)
+    lists = [rows.select("idx", F.explode(column).alias("x")).select("idx", "x.start", "x.end", F.lit(name).alias("list")) for name, column in (("accepted", "spans"), ("candidate", "candidates"))]
+    return lists[0].unionByName(lists[1])
 
 
-@query(f"WITH {_VOTES_SQL} SELECT status, reason, count(*) AS n, CAST(sum(n_spans) AS BIGINT) AS n_spans FROM status_ GROUP BY ALL")
+@query(f"WITH {_VOTES_SQL} SELECT status, reasons, count(*) AS n, CAST(sum(n_spans) AS BIGINT) AS n_spans FROM status_ GROUP BY ALL")
 def consensus_summary(spark, d):
-    return consensus.statuses(*annotations(spark, d), units()).groupBy("status", "reason").agg(F.count("*").alias("n"), F.sum("n_spans").cast("long").alias("n_spans"))
+    rows = decided(spark, d).withColumn("reasons", F.array_join("reasons", ","))
+    return rows.groupBy("status", "reasons").agg(F.count("*").alias("n"), F.sum("n_spans").cast("long").alias("n_spans"))
 
 
 @query(f"WITH {_VOTES_SQL} SELECT idx, round(CASE status WHEN 'accepted' THEN has / valid WHEN 'negative' THEN no / valid END, 9) AS existence_score FROM status_")
 def existence_score(spark, d):
-    return consensus.statuses(*annotations(spark, d), units()).select("idx", F.round(consensus.existence_score("status", "valid", "has", "no"), 9).alias("existence_score"))
+    return decided(spark, d).select("idx", F.round(consensus.existence_score("status", "valid", "has", "no"), 9).alias("existence_score"))
 
 
-@query(f"""WITH {_VOTES_SQL}, sets AS (SELECT g.idx, g.sample, CASE WHEN m.s IS NULL THEN [] ELSE [m.s * 1000 + m.e] END AS spans FROM grouped g LEFT JOIN marks m ON g.idx = m.idx AND g.sample = m.sample WHERE g.valid),
+@query(f"""WITH {_VOTES_SQL}, sets AS (SELECT idx, sample, codes AS spans FROM grouped WHERE valid),
 jac AS (SELECT a.idx, round(avg(CASE WHEN len(list_distinct(a.spans || b.spans)) = 0 THEN 1.0 ELSE len(list_intersect(a.spans, b.spans)) / len(list_distinct(a.spans || b.spans)) END), 6) AS j FROM sets a JOIN sets b ON a.idx = b.idx AND a.sample < b.sample GROUP BY a.idx),
 ent AS (SELECT l.idx, round(avg(CASE WHEN l.votes >= v.valid THEN 0.0 ELSE -(l.votes / v.valid * log2(l.votes / v.valid) + (1 - l.votes / v.valid) * log2(1 - l.votes / v.valid)) END), 6) AS h FROM labels_ l JOIN votes v USING (idx) GROUP BY l.idx)
-SELECT s.idx, any_value(j) AS mean_jaccard, coalesce(any_value(h), 0.0) AS mean_entropy, round(avg(len(spans)), 6) AS mean_count FROM sets s LEFT JOIN jac USING (idx) LEFT JOIN ent USING (idx) GROUP BY s.idx""")
+SELECT s.idx, any_value(j) AS mean_jaccard, coalesce(any_value(h), 0.0) AS mean_entropy, round(avg(len(spans)), 6) AS mean_count, CAST(min(len(spans)) AS INTEGER) AS min_count, CAST(max(len(spans)) AS INTEGER) AS max_count FROM sets s LEFT JOIN jac USING (idx) LEFT JOIN ent USING (idx) GROUP BY s.idx""")
 def uncertainty(spark, d):
-    return consensus.uncertainty(*annotations(spark, d))
+    return consensus.disagreement(annotated(spark, d))
 
 
 # --- retrieval and gates

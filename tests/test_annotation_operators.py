@@ -79,7 +79,7 @@ def test_uncertainty_conventions(spark):
     s = spark.createDataFrame([(1, 0, True, False), (1, 1, True, False), (2, 0, True, True)], "idx int, sample int, valid boolean, has boolean")
     m = spark.createDataFrame([(2, 0, 0, 3)], "idx int, sample int, start int, end int")
     got = {r["idx"]: tuple(r)[1:] for r in consensus.uncertainty(s, m).collect()}
-    assert got == {1: (1.0, 0.0, 0.0), 2: (None, 0.0, 1.0)}
+    assert got == {1: (1.0, 0.0, 0.0, 0, 0), 2: (None, 0.0, 1.0, 1, 1)}
 
 
 @pytest.mark.parametrize("tagged,sentence,found,error", [
