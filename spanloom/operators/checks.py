@@ -46,13 +46,17 @@ def finite_vector_ok(column: str, dimensions: int) -> Column:
     return F.coalesce((F.size(v) == dimensions) & finite & (norm > 0), F.lit(False))
 
 
-def exact_keys(column: str, keys: Sequence[str]) -> Column:
-    """A JSON object with just these keys, none twice, and nothing around it; false for a null.
+def one_value(text: Column) -> Column:
+    """The text is one JSON value, its objects without repeated keys, and nothing around it; false for a null.
 
     Spark's parser stops behind the first value. So the text must be a value inside brackets and inside an object too:
     what follows it can't close both.
     """
-    text = F.col(column)
-    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
-    found = F.array_sort(F.json_object_keys(text))
-    return F.coalesce(alone & (found == F.array(*(F.lit(k) for k in sorted(keys)))), F.lit(False))
+    inside = (F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"a":'), text, F.lit("}")))
+    return F.try_parse_json(inside[0]).isNotNull() & F.try_parse_json(inside[1]).isNotNull()
+
+
+def exact_keys(column: str, keys: Sequence[str]) -> Column:
+    """A JSON object with just these keys, see one_value(); false for a null."""
+    found = F.array_sort(F.json_object_keys(F.col(column)))
+    return F.coalesce(one_value(F.col(column)) & (found == F.array(*(F.lit(k) for k in sorted(keys)))), F.lit(False))

@@ -108,8 +108,8 @@ def decisions(annotated: DataFrame, units: Column, rules: Rules = Rules()) -> Da
     rows = S.families(rows, ["idx", "kind"])
     family = ["idx", "kind", "family"]
     rows = rows.withColumn("support", F.size(F.array_distinct(F.flatten(F.collect_set("samples").over(Window.partitionBy(*family))))).cast("long")).drop("samples")
-    placed = S.anchor_places(S.family_coverage(rows, family), family, units)
-    won = (F.col("kind") == "open") & (F.col("place") == 1)
+    placed = S.with_winners(S.family_coverage(rows, family), family, units)
+    won = (F.col("kind") == "open") & F.col("won")
     outcome = F.when(won, _outcome(F.col("support"), F.col("members"), S.reaches(), rules))
     placed = placed.withColumn("outcome", outcome)
     keep = (F.col("kind") == "exact") | (F.col("outcome") == "accepted")

@@ -49,10 +49,16 @@ def irrelevant_evidence(evidence: DataFrame, judged: DataFrame, target: str, dem
     return evidence.join(judged.where("role = 'irrelevant'").select(target, demo).distinct(), [target, demo], "left_semi")
 
 
+def folded(text: Column) -> Column:
+    """Without difference of case: by way of capitals, so that ß is ss."""
+    return F.lower(F.upper(text))
+
+
 def contains_phrase(text: Column, phrase: Column) -> Column:
-    """Whole phrase, whatever the case, with any white space between its words."""
-    quoted = F.regexp_replace(phrase, r"([^\w\s])", r"\\$1")
-    return F.rlike(text, F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(quoted, r"\s+", r"\\s+"), F.lit(r"(?!\w)")))
+    """Whole phrase, whatever the case, with any white space between its words; null for a phrase without a character."""
+    quoted = F.regexp_replace(F.trim(folded(phrase)), r"([^\w\s])", r"\\$1")
+    pattern = F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(quoted, r"\s+", r"\\s+"), F.lit(r"(?!\w)"))
+    return F.when(F.trim(phrase) != "", F.rlike(folded(text), pattern))
 
 
 def calibrated_feature(feature: Column, text: Column, decision: Column, cues: Sequence[str]) -> Column:

@@ -92,12 +92,13 @@ def family_coverage(labels: DataFrame, by: Sequence[str]) -> DataFrame:
     """
     family = Window.partitionBy(*by)
     length = F.col("end") - F.col("start")
-    rows = labels.withColumns({"members": F.count("*").over(family), "__length": length})
-    for name, column, best in (("__last", "start", F.max), ("__first", "end", F.min), ("__short", "__length", F.min)):
-        # the best of the others is the second best where the best is this row's alone
-        rows = rows.withColumn("__best", best(column).over(family))
-        rows = rows.withColumn("__alone", F.count_if(F.col(column) == F.col("__best")).over(family) == 1).withColumn("__next", best(F.when(F.col(column) != F.col("__best"), F.col(column))).over(family))
-        rows = rows.withColumn(name, F.when(F.col("__alone") & (F.col(column) == F.col("__best")), F.col("__next")).otherwise(F.col("__best"))).drop("__best", "__alone", "__next")
+    of = {"__last": (F.col("start"), F.max), "__first": (F.col("end"), F.min), "__short": (length, F.min)}
+    # the best of the others is the second best where the best is this row's alone
+    rows = labels.withColumn("members", F.count("*").over(family)).withColumns({f"{name}_1": best(x).over(family) for name, (x, best) in of.items()})
+    second = {f"{name}_2": best(F.when(x != F.col(f"{name}_1"), x)).over(family) for name, (x, best) in of.items()}
+    rows = rows.withColumns(second | {f"{name}_n": F.count_if(x == F.col(f"{name}_1")).over(family) for name, (x, _) in of.items()})
+    rows = rows.withColumns({name: F.when((F.col(f"{name}_n") == 1) & (x == F.col(f"{name}_1")), F.col(f"{name}_2")).otherwise(F.col(f"{name}_1")) for name, (x, _) in of.items()})
+    rows = rows.withColumn("__length", length).drop(*(f"{name}_{k}" for name in of for k in "12n"))
     least = F.greatest(F.lit(0), F.least("__length", F.col("end") - F.col("__last"), F.col("__first") - F.col("start"), "__short"))
     alone = F.col("members") < 2
     rows = rows.withColumn("min_coverage", F.when(~alone, least / F.col("__length"))).drop("__last", "__first", "__short")
@@ -140,19 +141,20 @@ def threshold(units: Column, base: float = 0.45, step: float = 0.05, cap: float
     return F.least(F.lit(cap), F.lit(base) + F.lit(step) * (units - 1))
 
 
-def anchor_places(members: DataFrame, by: Sequence[str], units: Column, epsilon: float = 1e-12) -> DataFrame:
-    """members with units, stage and place within their family.
+def with_winners(members: DataFrame, by: Sequence[str], units: Column, epsilon: float = 1e-12) -> DataFrame:
+    """members with units, stage and won, true for one member of each family.
 
-    The winner, of place 1, is found by stages: most votes, then within epsilon of the best least coverage, then of the
-    best mean, then fewest words, shortest, first. stage is the number of stages that a member passed.
+    The winner is found by stages: most votes, then within epsilon of the best least coverage, then of the best mean,
+    then fewest words, shortest, first. stage is the number of the first three that a member passed.
     """
     family = Window.partitionBy(*by)
-    rows = members.withColumn("units", units).withColumn("stage", F.when(F.col("votes") == F.max("votes").over(family), 1).otherwise(0))
-    for n, column in enumerate(("min_coverage", "avg_coverage"), 1):
-        best = F.max(F.when(F.col("stage") == n, F.col(column))).over(family)
-        rows = rows.withColumn("stage", F.when((F.col("stage") == n) & (F.col(column) + epsilon >= best), n + 1).otherwise(F.col("stage")))
-    order = family.orderBy(F.col("stage").desc(), "units", F.col("end") - F.col("start"), "start", "end")
-    return rows.withColumn("place", F.row_number().over(order))
+    rows = members.withColumn("units", units).withColumn("__top", F.max(F.struct("votes", "min_coverage")).over(family))
+    first = F.when(F.col("votes") < F.col("__top.votes"), 0).when(F.col("min_coverage") + epsilon < F.col("__top.min_coverage"), 1).otherwise(2)
+    rows = rows.withColumn("stage", first)
+    rows = rows.withColumn("__top", F.max(F.when(F.col("stage") == 2, F.col("avg_coverage"))).over(family))
+    rows = rows.withColumn("stage", F.when((F.col("stage") == 2) & ~(F.col("avg_coverage") + epsilon < F.col("__top")), 3).otherwise(F.col("stage")))
+    order = F.struct(-F.col("stage"), "units", F.col("end") - F.col("start"), "start", "end")
+    return rows.withColumn("won", order == F.min(order).over(family)).drop("__top")
 
 
 def reaches(epsilon: float = 1e-12) -> Column:
@@ -161,8 +163,8 @@ def reaches(epsilon: float = 1e-12) -> Column:
 
 
 def anchors(members: DataFrame, key: str, units: Column, epsilon: float = 1e-12) -> DataFrame:
-    """The winner of each family, see anchor_places(). accepted: every other member's coverage reaches the threshold."""
-    won = anchor_places(members, [key, "family"], units, epsilon).where("place = 1").drop("place", "stage")
+    """The winner of each family, see with_winners(). accepted: every other member's coverage reaches the threshold."""
+    won = with_winners(members, [key, "family"], units, epsilon).where("won").drop("won", "stage")
     return won.withColumn("accepted", reaches(epsilon))
 
 

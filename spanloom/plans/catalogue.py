@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.functions.rows import exploded, once
-from spanloom.operators import assemble, checks, consensus, diagnostics, draws, gate, interaction, metrics, results, retrieval, spans, termstats
+from spanloom.operators import answers, assemble, checks, consensus, diagnostics, draws, gate, interaction, metrics, results, retrieval, spans, termstats
 from spanloom.plans import protocol
 from spanloom.sources import model, relations, shared
 from spanloom.streaming import log
@@ -151,6 +151,46 @@ def phrase_contains(spark, d):
     return t(spark, d, "documents").select("doc_id", interaction.contains_phrase(F.col("text"), F.lit("the and")).cast("int").alias("has_phrase"))
 
 
+#: Ways to spoil an answer on features, by the rule that each breaks: where, and what stands there. The first is none.
+FEATURE_FAULTS = [
+    (None, None, None), ("json", "$", None), ("value", "$.revised_entity_types[0]", ("revised_entity_types", ["Job"])), ("missing", "$.overall_reason", None), ("unknown", "$.more", ("more", 1)),
+    ("type", "$.original_trf_decisions[0].confidence", ("confidence", True)), ("range", "$.original_trf_decisions[0].confidence", ("confidence", 6)), ("value", "$.original_trf_decisions[0].action", ("action", "stay")),
+    ("repeated", "$.original_trf_decisions[0].reason_codes", ("reason_codes", ["TOO_GENERIC", "TOO_GENERIC"])), ("size", "$.original_trf_decisions[0].evidence_sources", ("evidence_sources", [])),
+    ("length", "$.original_trf_decisions[0].reason", ("reason", "x" * 241)), ("blank", "$.original_trf_decisions[0].reason", ("reason", " ")), ("unknown_demo", "$.original_trf_decisions[0]", ("evidence_demo_ids", [77])),
+    ("ids_without_source", "$.original_trf_decisions[0]", ("evidence_sources", ["TARGET_TEXT"])), ("source_without_ids", "$.original_trf_decisions[0]", ("evidence_demo_ids", [])), ("order", "$.original_trf_decisions", ("normalized_text", "another")),
+    ("must_be_dropped", "$.original_trf_decisions[1]", None), ("excluded", "$.added_trfs[0]", ("text", "Slowly")), ("labelled_class", "$.added_trfs[0]", ("text", "python")), ("repeated_feature", "$.added_trfs[0]", ("text", "FIRST one")),
+]
+
+
+def _feature_answer(fault: tuple) -> str:
+    """An answer with just this fault."""
+    import json
+
+    rule, at, change = fault
+    cite = {"confidence": 3, "evidence_sources": ["EXEMPLARS"], "evidence_demo_ids": [1], "reason_codes": ["EXEMPLAR_SUPPORT"], "reason": "why"}
+    decisions = [{"normalized_text": "first one", "action": "keep", **cite}, {"normalized_text": "quickly", "action": "keep" if rule == "must_be_dropped" else "drop", **cite}]
+    answer = {"revised_entity_types": ["Skill"], "original_trf_decisions": decisions, "added_trfs": [{"text": "new one", "semantic_class": "skill_type_cue", **cite}], "overall_reason": "all", "unresolved_issues": []}
+    if change:
+        into = decisions[0] if at.startswith("$.original") else answer["added_trfs"][0] if at.startswith("$.added") else answer
+        into[change[0]] = change[1]
+    if rule == "missing":
+        del answer["overall_reason"]
+    return json.dumps(answer) + " {}" * (rule == "json")
+
+
+_FAULT_ROWS = ", ".join(f"({k}, '{at}', '{rule}')" for k, (rule, at, _) in enumerate(FEATURE_FAULTS) if rule)
+
+
+@query(f"""SELECT event_id, f.place AS "at", f.rule AS rule FROM events JOIN (VALUES {_FAULT_ROWS}) f(k, place, rule) ON event_id % {len(FEATURE_FAULTS)} = k""")
+def feature_answer_errors(spark, d):
+    """Answers in turn without a fault and with one of each kind: each fault is a row, and there are no others."""
+    rows = t(spark, d, "events").select("event_id")
+    content = F.element_at(F.array(*(F.lit(_feature_answer(f)) for f in FEATURE_FAULTS)), (F.col("event_id") % len(FEATURE_FAULTS) + 1).cast("int"))
+    labelled = {"quickly": (False, "descriptive_modifier"), "slowly": (False, "descriptive_modifier"), "python": (True, "domain_feature")}
+    found = answers.feature_errors(content, F.lit("a sentence"), F.array(F.lit(1).cast("long"), F.lit(2).cast("long")), F.array(F.lit("First one"), F.lit("quickly")), labelled)
+    return answers.violations(rows.withColumn("errors", found), "event_id")
+
+
 @query("SELECT doc_id, sha256(replace('Annotate: <sentence_json>', '<sentence_json>', CAST(to_json(text) AS VARCHAR))) AS prompt_sha256 FROM documents")
 def prompts(spark, d):
     filled = F.replace(F.lit("Annotate: <sentence_json>"), F.lit("<sentence_json>"), T.json_quoted(F.col("text")))
