@@ -50,8 +50,11 @@ def irrelevant_evidence(evidence: DataFrame, judged: DataFrame, target: str, dem
 
 
 def folded(text: Column) -> Column:
-    """Without difference of case: by way of capitals, so that ß is ss."""
-    return F.lower(F.upper(text))
+    """Without difference of case: by way of capitals, so that ß is ss, and so is its capital.
+
+    The replacement also keeps the optimizer from taking lower(upper(x)) for lower(x).
+    """
+    return F.lower(F.replace(F.upper(text), F.lit("\u1e9e"), F.lit("SS")))
 
 
 def contains_phrase(text: Column, phrase: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.functions.rows import exploded, once
-from spanloom.operators import answers, assemble, checks, consensus, diagnostics, draws, gate, interaction, metrics, results, retrieval, spans, termstats
+from spanloom.operators import answers, assemble, checks, consensus, diagnostics, draws, gate, interaction, metrics, results, retrieval, rounds, spans, termstats
 from spanloom.plans import protocol
 from spanloom.sources import model, relations, shared
 from spanloom.streaming import log
@@ -725,8 +725,79 @@ s2 AS (SELECT id, CASE WHEN r = r0 AND h = h0 THEN r WHEN h > 0 THEN greatest(r
 """
 
 
-@query(f"""WITH {_STATE_SQL} SELECT id, r, h, CASE WHEN r1 = r0 AND h1 = h0 THEN 0 WHEN r = r1 AND h = h1 THEN 1 ELSE 2 END AS round, CAST(r <> r1 OR h <> h1 AS INTEGER) AS changed FROM s2""")
+def order_states(spark, d) -> tuple[rounds.State, DataFrame]:
+    """Four kinds of supplier are an order's features, its lines the candidates; and lines (target, demo, text)."""
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("target"), F.col("l_linenumber").cast("long").alias("demo")).agg(F.min(F.struct(F.concat(F.lit("mode "), F.col("l_suppkey") % 4).alias("mode"), F.col("l_quantity").cast("int").alias("q"), "l_returnflag")).alias("x"))
+    lines = lines.select("target", "demo", F.col("x.mode").alias("text"), (F.col("x.q") % 5 + 1).alias("score"), F.when(F.col("x.l_returnflag") == "R", "irrelevant").when(F.col("x.l_returnflag") == "A", "supporting").otherwise("contrastive").alias("role"))
+    features = rounds.first_features(assemble.ordered_distinct(lines, "target", "demo", "text"))
+    types = lines.select("target").distinct().withColumn("has_type", F.lit(True))
+    return rounds.State(features, types, rounds.first_judgments(lines.withColumn("retrieval_rank", F.col("demo")))), lines.select("target", "demo", "text")
+
+
+def _proposals(lines: DataFrame) -> Callable[[rounds.State, int], rounds.Proposals]:
+    """A feature is kept if a selected line has it; orders without a selected line get one more; lines gain by an active feature, else they lose."""
+
+    def propose(state: rounds.State, n: int) -> rounds.Proposals:
+        chosen = state.judgments.where("gate_rank is not null").select("target", "demo").join(lines, ["target", "demo"])
+        cited = chosen.groupBy("target", "text").agg(F.sort_array(F.collect_list("demo")).alias("demos"))
+        decided = state.features.select("target", "text").join(cited, ["target", "text"], "left")
+        decided = decided.withColumn("action", F.when(F.col("demos").isNotNull(), "keep").otherwise("drop")).withColumn("demos", F.coalesce("demos", F.array().cast("array<long>")))
+        idle = state.types.join(chosen.select("target").distinct(), "target", "left_anti").select("target", F.lit("OTHER").alias("text"), F.lit(1).alias("position"), F.array().cast("array<long>").alias("demos"))
+        added = idle if n == 1 else idle.where("false")
+        types = state.types.select("target").join(decided.where("action = 'keep'").select("target").union(added.select("target")).distinct().withColumn("has_type", F.lit(True)), "target", "left").fillna(False, ["has_type"])
+        on = state.features.where("active").select("target", "text", F.lit(1).alias("on"))
+        near = state.judgments.join(lines, ["target", "demo"]).join(on, ["target", "text"], "left")
+        score = F.greatest(F.lit(1), F.least(F.lit(5), F.when(F.col("on") == 1, F.col("score") + 1).otherwise(F.col("score") - 1)))
+        judged = near.select("target", "demo", score.alias("score"), "role", F.array("text").alias("supports"))
+        return rounds.Proposals(decided, added, types, judged)
+
+    return propose
+
+
+_ROUNDS_SQL = """
+lines AS (SELECT l_orderkey AS target, l_linenumber AS demo, min(('mode ' || (l_suppkey % 4), CAST(l_quantity AS INTEGER), l_returnflag)) AS x FROM lineitem GROUP BY ALL),
+j0 AS (SELECT target, demo, x[1] AS text, x[2] % 5 + 1 AS score, CASE x[3] WHEN 'R' THEN 'irrelevant' WHEN 'A' THEN 'supporting' ELSE 'contrastive' END AS role FROM lines),
+f0 AS (SELECT DISTINCT target, text, true AS active FROM j0),
+idle AS (SELECT target FROM j0 GROUP BY target HAVING NOT bool_or(score > 3 AND role <> 'irrelevant')),
+j1 AS (SELECT j.target, j.demo, j.text, greatest(1, least(5, j.score + CASE WHEN f.active THEN 1 ELSE -1 END)) AS score, j.role FROM j0 j JOIN f0 f USING (target, text)),
+f1 AS (SELECT f.target, f.text, bool_or(coalesce(j.score > 3 AND j.role <> 'irrelevant', false)) AS active FROM f0 f LEFT JOIN j0 j USING (target, text) GROUP BY ALL UNION ALL SELECT target, 'OTHER', true FROM idle),
+j2 AS (SELECT j.target, j.demo, j.text, greatest(1, least(5, j.score + CASE WHEN f.active THEN 1 ELSE -1 END)) AS score, j.role FROM j1 j JOIN f1 f USING (target, text)),
+f2 AS (SELECT f.target, f.text, bool_or(coalesce(j.score > 3 AND j.role <> 'irrelevant', false)) AS active FROM f1 f LEFT JOIN j1 j USING (target, text) GROUP BY ALL),
+moves AS (SELECT a.target, a.text, CASE WHEN b.text IS NULL THEN NULL WHEN b.active THEN 'keep' ELSE 'drop' END AS "from", CASE WHEN a.active THEN 'keep' ELSE 'drop' END AS "to", 1 AS round FROM f1 a LEFT JOIN f0 b USING (target, text) WHERE b.text IS NULL OR a.active <> b.active
+  UNION ALL SELECT a.target, a.text, CASE WHEN b.active THEN 'keep' ELSE 'drop' END, CASE WHEN a.active THEN 'keep' ELSE 'drop' END, 2 FROM f2 a JOIN f1 b USING (target, text) WHERE a.active <> b.active)
+"""
+
+
+def _iterated(spark, d) -> rounds.Outcome:
+    first, lines = order_states(spark, d)
+    return rounds.iterate(first, _proposals(lines))
+
+
+@query(f"""WITH {_ROUNDS_SQL}, f AS (SELECT target, count(*) AS known, count(*) FILTER (WHERE active) AS active FROM f2 GROUP BY target),
+j AS (SELECT target, sum(score) AS score, count(*) FILTER (WHERE score > 3 AND role <> 'irrelevant') AS selected FROM j2 GROUP BY target)
+SELECT target, known, active, CAST(score AS BIGINT) AS score, selected FROM f JOIN j USING (target)""")
 def round_state(spark, d):
+    """Two rounds in which features and judged candidates read each other."""
+    s = _iterated(spark, d).state
+    f = s.features.groupBy("target").agg(F.count("*").alias("known"), F.count_if("active").alias("active"))
+    return f.join(s.judgments.groupBy("target").agg(F.sum("score").alias("score"), F.count("gate_rank").alias("selected")), "target")
+
+
+@query(f"""WITH {_ROUNDS_SQL} SELECT target, text, "from", "to", round FROM moves""")
+def round_transitions(spark, d):
+    return _iterated(spark, d).transitions
+
+
+@query(f"""WITH {_ROUNDS_SQL}, chosen AS (SELECT target, demo, text FROM j2 WHERE score > 3 AND role <> 'irrelevant')
+SELECT c.target, 'selected_demo_supports_dropped_trf' AS type, c.text, CAST(c.demo AS BIGINT) AS demo FROM chosen c JOIN f2 USING (target, text) WHERE NOT active
+UNION ALL SELECT e.target, 'trf_evidence_demo_not_retained', e.text, CAST(e.demo AS BIGINT) FROM j1 e JOIN f2 f ON e.target = f.target AND e.text = f.text AND f.active AND e.score > 3 AND e.role <> 'irrelevant'
+  LEFT JOIN chosen c ON c.target = e.target AND c.demo = e.demo WHERE c.demo IS NULL""")
+def round_conflicts(spark, d):
+    return rounds.conflicts(_iterated(spark, d).state)
+
+
+@query(f"""WITH {_STATE_SQL} SELECT id, r, h, CASE WHEN r1 = r0 AND h1 = h0 THEN 0 WHEN r = r1 AND h = h1 THEN 1 ELSE 2 END AS round, CAST(r <> r1 OR h <> h1 AS INTEGER) AS changed FROM s2""")
+def state_fold(spark, d):
     out = interaction.fold(states(spark, d), _step, ["r", "h"], ["id"])
     return out.select("id", "r", "h", "round", F.col("changed").cast("int").alias("changed"))
 

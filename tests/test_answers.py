@@ -103,6 +103,6 @@ def test_the_schema_for_a_client():
     assert one["items"]["properties"]["reason"] == {"type": "string", "minLength": 1, "maxLength": 240} and one["items"]["properties"]["role"]["enum"] == list(answers.ROLES)
 
 
-@pytest.mark.parametrize("text,phrase,found", [("Die STRASSE hier", "straße", True), ("x", "", None), ("x", "  ", None), ("a  c++\nb", "C++ B", True), ("ac++", "c++", False)])
+@pytest.mark.parametrize("text,phrase,found", [("große Straße", "STRASSE", True), ("Die STRASSE hier", "straße", True), ("x", "", None), ("x", "  ", None), ("a  c++\nb", "C++ B", True), ("ac++", "c++", False)])
 def test_phrases_fold_case_and_empty_ones_have_no_answer(spark, text, phrase, found):
     assert spark.range(1).select(interaction.contains_phrase(F.lit(text), F.lit(phrase))).first()[0] is found
