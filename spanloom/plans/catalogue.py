@@ -16,7 +16,7 @@ from spanloom.functions.rows import exploded, once
 from spanloom.operators import answers, assemble, checks, consensus, diagnostics, draws, gate, interaction, metrics, results, retrieval, rounds, spans, termstats
 from spanloom.plans import protocol
 from spanloom.sources import model, relations, shared
-from spanloom.streaming import log
+from spanloom.streaming import log, machine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -537,6 +537,16 @@ def append_only_violations(spark, d):
     return results.retried_after_complete(log_rows(spark, d), KEYS, "event_id", F.col("status") == "complete").select("event_id")
 
 
+@query(f"""WITH {_LOG_SQL}, f AS (SELECT user_id, event_type, min(event_id) FILTER (WHERE status = 'complete') AS f FROM log GROUP BY ALL)
+SELECT event_id, CASE WHEN event_id > f THEN 'after_complete' WHEN event_id = f THEN 'complete' ELSE 'attempt' END AS event,
+CAST(count(*) FILTER (WHERE f IS NULL OR event_id <= f) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS BIGINT) AS attempt FROM log JOIN f USING (user_id, event_type)""")
+def stream_log_events(spark, d):
+    """The log as keyed state: what each record does to its key."""
+    base = shared.fresh_path(spark, "machine")
+    found = machine.follow(spark, d, t(spark, d, "events").schema, f"{base}/out", f"{base}/checkpoint", KEYS, "event_id", F.col("value") > 50, F.lit(None), pattern="events.parquet")
+    return found.select(F.col("sequence").alias("event_id"), "event", "attempt")
+
+
 @query(f"WITH {_LOG_SQL} SELECT DISTINCT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM log WHERE status = 'complete' AND event_type = 'purchase' AND user_id IS NOT NULL)")
 def pending_work(spark, d):
     work = t(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).distinct()
