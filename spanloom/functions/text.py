@@ -158,10 +158,35 @@ def substitutions(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, C1_FROM, ""))
 
 
-def redacted(text: Column, secrets: list[str]) -> Column:
-    for s in secrets:
-        text = F.replace(text, F.lit(s), F.lit("[REDACTED]"))
-    return text
+#: Pairs of a source's character and the one that a model may write for it. Fixed values.
+SAFE_PAIRS = dict(zip(C1_FROM, C1_TO, strict=True))
+
+
+def projected(sentence: str | None, tagged: str | None, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int, str]] | None, list[tuple[int, str, str]], str | None]:
+    """Spans of a model's copy carried over to the sentence: (spans, substitutions, reason), spans or a reason.
+
+    Copy and sentence are walked side by side. They must differ, have one length, and each difference must be one of
+    SAFE_PAIRS: a source's control mark for which the copy has the punctuation meant, not the other way round.
+    """
+    sentence, tagged = sentence or "", tagged or ""
+    if sentence == tagged:
+        return None, [], "unchanged"
+    if len(sentence) != len(tagged):
+        return None, [], "length_changed"
+    changed = [(k, a, b) for k, (a, b) in enumerate(zip(sentence, tagged, strict=True)) if a != b]
+    if any(SAFE_PAIRS.get(a) != b for _, a, b in changed):
+        return None, changed, "character_changed"
+    return [(a, b, sentence[a:b]) for a, b in spans], changed, None
+
+
+def redacted(text: Column, secrets: list[str], mark: str = "<redacted>") -> Column:
+    """The text with each secret replaced: the leftmost first, of those the longest, whatever their order. For many see phrases."""
+    longest = sorted({s for s in secrets if s}, key=lambda s: (-len(s), s))
+    return F.regexp_replace(text, "|".join(map(_quoted, longest)), mark) if longest else text
+
+
+def _quoted(text: str) -> str:
+    return "".join(c if c.isalnum() or ord(c) > 127 else f"\\x{{{ord(c):x}}}" for c in text)
 
 
 def json_quoted(text: Column) -> Column:
@@ -235,3 +260,19 @@ def placed_payloads(sentence: Column, payloads: Column) -> Column:
         return None if found is None else [{"text": t, "start": a, "end": b} for t, (a, b) in zip(p, found, strict=True)]
 
     return _of_two(place, "array<struct<text:string,start:int,end:int>>", _SPAN_ROWS, sentence, payloads)
+
+
+def projection(sentence: Column, copy: Column, spans: Column) -> Column:
+    """struct<spans, substitutions, reason> of projected(); spans is an array of structs with start and end."""
+    kind = pa.struct([("spans", _SPAN_ROWS), ("substitutions", pa.list_(pa.struct([("position", pa.int32()), ("source", pa.string()), ("model", pa.string())]))), ("reason", pa.string())])
+
+    @F.arrow_udf("struct<spans:array<struct<text:string,start:int,end:int>>,substitutions:array<struct<position:int,source:string,model:string>>,reason:string>")
+    def run(s: pa.Array, c: pa.Array, x: pa.Array) -> pa.Array:
+        out = []
+        for sentence, copy, ends in zip(s.to_pylist(), c.to_pylist(), x.to_pylist(), strict=True):
+            found, changed, reason = projected(sentence, copy, [(e["start"], e["end"]) for e in ends or []])
+            rows = None if found is None else [{"text": t, "start": a, "end": b} for a, b, t in found]
+            out.append({"spans": rows, "substitutions": [{"position": k, "source": a, "model": b} for k, a, b in changed], "reason": reason})
+        return pa.array(out, kind)
+
+    return run(sentence, copy, F.transform(spans, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))))

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions import phrases
 from spanloom.functions import text as T
 from spanloom.functions.rows import exploded, once
-from spanloom.operators import answers, assemble, checks, consensus, diagnostics, draws, gate, interaction, metrics, results, retrieval, rounds, spans, termstats
+from spanloom.operators import answers, assemble, checks, consensus, diagnostics, draws, gate, hashtree, interaction, metrics, results, retrieval, rounds, spans, termstats
 from spanloom.plans import protocol
 from spanloom.sources import model, relations, shared
 from spanloom.streaming import log, machine
@@ -146,6 +147,48 @@ def recover_char_projection(spark, d):
 _SQL_WORD = r"\p{L}\p{M}\p{N}\p{Pc}"
 
 
+@query("""WITH damaged AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, 'e', chr(150)) WHEN 2 THEN text || '!' ELSE replace(text, 'a', chr(150)) END AS text,
+CASE doc_id % 4 WHEN 1 THEN replace(text, 'e', '–') ELSE text END AS copy FROM documents)
+SELECT doc_id, CASE WHEN text = copy THEN 'unchanged' WHEN length(text) <> length(copy) THEN 'length_changed' WHEN doc_id % 4 = 3 THEN 'character_changed' END AS reason,
+CAST(CASE WHEN length(text) = length(copy) THEN length(text) - length(replace(text, chr(150), '')) ELSE 0 END AS INTEGER) AS substituted,
+CASE WHEN text <> copy AND doc_id % 4 = 1 THEN substr(text, 1, 9) END AS span FROM damaged""")
+def projected_spans(spark, d):
+    """A span of nine characters carried over to sentences with control marks; copies that are equal, longer, or differ otherwise have a reason."""
+    kind = F.col("doc_id") % 4
+    dash, mark = F.lit("–"), F.lit("\u0096")
+    swap = lambda c, x: F.replace("text", F.lit(c), x)
+    sentence = F.when(kind == 0, F.col("text")).when(kind == 1, swap("e", mark)).when(kind == 2, F.concat("text", F.lit("!"))).otherwise(swap("a", mark))
+    copy = F.when(kind == 1, swap("e", dash)).otherwise(F.col("text"))
+    span = F.array(F.struct(F.lit(0).alias("start"), F.lit(9).alias("end")))
+    p = once(t(spark, d, "documents"), T.projection(sentence, copy, span), "p", "doc_id")
+    return p.select("doc_id", "p.reason", F.size("p.substitutions").alias("substituted"), F.get("p.spans", F.lit(0))["text"].alias("span"))
+
+
+@query(rf"""WITH bank AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{{7,}}')) AS w FROM benchmark),
+words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[{_SQL_WORD}]+')) AS w FROM documents),
+n AS (SELECT doc_id, count(*) AS n, count(DISTINCT w) AS d FROM words SEMI JOIN bank USING (w) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_matches, CAST(coalesce(d, 0) AS INTEGER) AS n_phrases FROM documents LEFT JOIN n USING (doc_id)""")
+def phrase_matches(spark, d):
+    """All long words of the benchmark, found in all documents in one pass."""
+    words = exploded(t(spark, d, "benchmark"), F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0)), "w")
+    bank = phrases.Sent(words, "w", words=True)
+    found = once(t(spark, d, "documents"), phrases.matches(F.col("text"), bank), "m", "doc_id")
+    return found.select("doc_id", F.size("m").alias("n_matches"), F.size(F.array_distinct(F.transform("m", lambda x: x["phrase"]))).alias("n_phrases"))
+
+
+@query("""SELECT doc_id, x.text AS text, CAST(x.place AS INTEGER) AS place, CAST(x.text IN ('the', 'And') AS INTEGER) AS in_bank, CAST(lower(x.text) IN ('the', 'and') AS INTEGER) AS in_bank_folded,
+CAST(contains(text, x.text) AS INTEGER) AS in_text, CAST(contains(lower(text), lower(x.text)) AS INTEGER) AS in_text_folded
+FROM (SELECT doc_id, text, unnest([{'text': 'the', 'place': 1}, {'text': 'AND', 'place': 2}, {'text': 'qu', 'place': 3}, {'text': 'zzzz', 'place': 4}]) AS x FROM documents WHERE doc_id % 3 > 0)
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 3 = 0""")
+def feature_flags(spark, d):
+    """A list of features told against a bank and each document; every third list is invalid."""
+    docs, bank = t(spark, d, "documents"), phrases.Sent(spark.createDataFrame([("the",), ("And",)], "w string"), "w")
+    content = F.when(F.col("doc_id") % 3 == 0, '{"trfs": ["the", " "]}').otherwise('{"trfs": [" the ", "AND", "the", "qu", "\uff5a\uff5a\uff5a\uff5a"]}')
+    found = once(docs, phrases.features(content, F.col("text"), bank), "p", "doc_id")
+    rows = found.select("doc_id", F.explode_outer("p.features").alias("x"))
+    return rows.select("doc_id", "x.text", "x.place", *(F.col(f"x.{c}").cast("int").alias(c) for c in ("in_bank", "in_bank_folded", "in_text", "in_text_folded")))
+
+
 @query(rf"SELECT doc_id, CAST(regexp_matches(text, '(?i)(^|[^{_SQL_WORD}])the[\s\p{{Z}}]+and($|[^{_SQL_WORD}])') AS INTEGER) AS has_phrase FROM documents")
 def phrase_contains(spark, d):
     return t(spark, d, "documents").select("doc_id", interaction.contains_phrase(F.col("text"), F.lit("the and")).cast("int").alias("has_phrase"))
@@ -961,11 +1004,23 @@ def class_lookup(spark, d):
     return assemble.labelled(docs.select("doc_id", F.concat(F.lit(" "), F.upper("source")).alias("text")), "text", classes).select("doc_id", "class_id")
 
 
-@query("SELECT doc_id, sha256(replace(replace(text, 'the', '[REDACTED]'), 'qu', '[REDACTED]')) AS redacted_sha256 FROM documents")
+@query("SELECT doc_id, sha256(replace(replace(text, 'the', '<redacted>'), 'qu', '<redacted>')) AS redacted_sha256 FROM documents")
 def redacted_text(spark, d):
     return t(spark, d, "documents").select("doc_id", F.sha2(T.redacted(F.col("text"), ["the", "qu"]), 256).alias("redacted_sha256"))
 
 
+@query("""SELECT o_orderkey, 'changed' AS kind, 'o_totalprice' AS "column", CAST(1 AS BIGINT) AS n FROM orders WHERE o_orderkey % 997 = 1
+UNION ALL SELECT o_orderkey, 'changed', 'o_orderstatus', 1 FROM orders WHERE o_orderkey % 997 = 1 AND o_orderstatus <> 'X'
+UNION ALL SELECT o_orderkey, 'missing', NULL, 1 FROM orders WHERE o_orderkey % 997 = 2 UNION ALL SELECT o_orderkey, 'extra', NULL, 1 FROM orders WHERE o_orderkey % 997 = 3""")
+def forged_cells(spark, d):
+    """Orders against a copy with changed, missing and repeated rows: each is located."""
+    orders = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    place = F.col("o_orderkey") % 997
+    copy = orders.where(place != 2).withColumns({"o_totalprice": F.when(place == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")), "o_orderstatus": F.when(place == 1, "X").otherwise(F.col("o_orderstatus"))})
+    copy = copy.unionByName(copy.where(place == 3))
+    return hashtree.located(orders, copy, ["o_orderkey"]).select("o_orderkey", "kind", "column", "n")
+
+
 @query("""SELECT event_id, array_to_string([CASE i - event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE '-' END FOR i IN [4, 2, 6]], ',') AS names FROM events""")
 def reordered_items(spark, d):
     at = lambda k, name: F.struct((F.col("event_id") % 5 + k).alias("id"), name.alias("name"))

@@ -7,11 +7,13 @@ import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.operators.checks import difference
-from spanloom.sources.jsonio import _exists, read_manifest
+from spanloom.operators.hashtree import located
+from spanloom.sources.jsonio import _exists, publish_text, read_manifest
 
 RUN_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 
@@ -25,6 +27,7 @@ class Run:
     contract: dict
     stages: dict[str, str] = field(default_factory=dict)
     status: str = "running"
+    lock: Lock = field(default_factory=Lock, repr=False, compare=False)
 
     @classmethod
     def start(cls, spark: SparkSession, base: str, run_id: str, contract: dict, resume: bool = False) -> Run:
@@ -42,10 +45,10 @@ class Run:
         return run
 
     def _save(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest.json")
-        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
-        out.write(json.dumps({"contract": self.contract, "stages": self.stages, "status": self.status}, sort_keys=True).encode())
-        out.close()
+        """Written aside and renamed over the old one, by one thread at a time: a crash leaves a whole manifest."""
+        with self.lock:
+            body = json.dumps({"contract": self.contract, "stages": self.stages, "status": self.status}, sort_keys=True)
+            publish_text(self.spark, f"{self.root}/manifest.json", body)
 
     def stage(self, name: str, make: Callable[[], DataFrame], after: tuple[str, ...] = ()) -> DataFrame:
         """The stage's table: read if the manifest has it, else made and written. Prerequisites must be there."""
@@ -75,3 +78,7 @@ class Run:
     def replay(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The rows in which a stage, made again, differs from what was written."""
         return difference(make(), self.spark.read.parquet(self.stages[name]))
+
+    def located(self, name: str, make: Callable[[], DataFrame], keys: tuple[str, ...]) -> DataFrame:
+        """As replay(), by trees of hashes: which cells of a stage differ from what it gives when made again."""
+        return located(self.spark.read.parquet(self.stages[name]), make(), keys)

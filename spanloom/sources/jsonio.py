@@ -74,3 +74,19 @@ def withdraw(spark: SparkSession, final: str) -> bool:
     """Removes a published snapshot, as a failed parent run does."""
     path = spark._jvm.org.apache.hadoop.fs.Path(final)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is whole or not there: written aside, then renamed over what was there."""
+    import uuid
+
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    target, aside = fs_path(path), fs_path(f"{path}.{uuid.uuid4().hex}")
+    conf = spark._jsc.hadoopConfiguration()
+    out = aside.getFileSystem(conf).create(aside, True)
+    out.write(text.encode())
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    overwrite = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(aside, target, overwrite)

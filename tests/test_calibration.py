@@ -154,12 +154,14 @@ def test_edit_histogram():
 
 
 def test_configuration():
-    assert config.expanded({"a": ["${X}", "x ${X}", 1], "b": "${Y}"}, {"X": "1", "Y": "2"}) == {"a": ["1", "x ${X}", 1], "b": "2"}
-    for names in ({}, {"X": ""}):
-        with pytest.raises(KeyError):
-            config.expanded("${X}", names)
-    at = datetime(2024, 1, 2, 3, 4, 5, 6, tzinfo=timezone.utc)
-    assert config.utc_now(at) == "2024-01-02T03:04:05+00:00" and config.default_run_id("r", at) == "r-20240102-030405"
+    names = {"X": "1", "Y": "2", "EMPTY": ""}
+    assert config.resolve({"a": ["${X}", "x ${X}", 1, {"deep": "${Y}"}], "b": "${Y}", "c": "${1}"}, names) == {"a": ["1", "x ${X}", 1, {"deep": "2"}], "b": "2", "c": "${1}"}
+    broken = {"a": "${X}", "b": ["${EMPTY}", {"c": "${NONE}"}]}
+    with pytest.raises(config.Missing) as error:
+        config.resolve(broken, names)
+    assert error.value.places == [("$.b[0]", "EMPTY"), ("$.b[1].c", "NONE")] and broken["a"] == "${X}"
+    clock = config.Clock(lambda: datetime(2024, 1, 2, 3, 4, 5, 6, tzinfo=timezone.utc))
+    assert clock.stamp() == "2024-01-02T03:04:05+00:00" and clock.run_id("r-%Y%m%d-%H%M%S") == "r-20240102-030405"
     assert config.mode("EvidenceOnly") == config.mode("evidence_only") == "evidence_only"
     with pytest.raises(ValueError, match="unknown mode"):
         config.mode("other")
