@@ -143,7 +143,7 @@ def checked(content: Column, spec: object, rules: Callable[[Column], list[tuple[
 
     def held(v: Column) -> Column:
         # rules are only asked of what has its form
-        ruled = lambda shape: F.when(F.size(shape) > 0, shape).otherwise(F.concat(*(_named(where, rule) for where, rule in rules(v))))
+        ruled = lambda shape: F.when(F.size(shape) > 0, shape).otherwise(F.concat(_problem(F.lit(False), F.lit("$"), ""), *(_named(where, rule) for where, rule in rules(v))))
         return let(problems(spec, v, F.lit("$")), ruled)
 
     return F.when(~F.coalesce(one_value(content), F.lit(False)), _problem(F.lit(True), F.lit("$"), "json")).otherwise(let(F.try_parse_json(content), held))
@@ -173,6 +173,11 @@ def key(text: Column) -> Column:
     return folded(F.trim(text))
 
 
+def type_errors(content: Column) -> Column:
+    """Problems of an answer that names the types alone: none, or just the one there is."""
+    return checked(content, Fields({"entity_types": Items(Text(among=("Skill",)), most=1)}), lambda v: [])
+
+
 # --- features
 
 

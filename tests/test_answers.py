@@ -88,6 +88,12 @@ def test_reviews_of_candidates(spark):
         assert got[k] == want, content
 
 
+def test_types_alone(spark):
+    cases = [('{"entity_types": []}', set()), ('{"entity_types": ["Skill"]}', set()), ('{"entity_types": ["Skill", "Skill"]}', {("$.entity_types", "size")}), ('{"entity_types": ["skill"]}', {("$.entity_types[0]", "value")}), ('{"entity_types": null}', {("$.entity_types", "type")}), ("{}", {("$.entity_types", "missing")})]
+    got = errors_of(spark, cases, answers.type_errors(F.col("content")))
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
+
+
 def test_decisions_are_read(spark):
     df = spark.createDataFrame([(json.dumps(PROPOSAL), json.dumps(REVIEW))], "p string, r string")
     r = df.select(answers.feature_decisions(F.col("p"), D).alias("f"), answers.judgment_decisions(F.col("r")).alias("j")).first()
