@@ -9,8 +9,9 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: Words with inner marks, as technical terms have them: C++, C#, CI/CD, Node.js, .NET.
 TECHNICAL = r"[^\W_][\w+#./&'-]*|\.[^\W_][\w+#-]*"
@@ -58,7 +59,8 @@ def tokens_with_offsets(text: str | None, placeholder: str = PLACEHOLDER) -> lis
 
 
 def _edit_operations(source: str | None, other: str | None) -> list[tuple]:
-    return [o for o in difflib.SequenceMatcher(None, source or "", other or "", autojunk=False).get_opcodes() if o[0] != "equal"]
+    """The contract's operations: from 200 characters on, those that make up over a hundredth of the other text begin no match."""
+    return [o for o in difflib.SequenceMatcher(None, source or "", other or "").get_opcodes() if o[0] != "equal"]
 
 
 def edit_histogram(source: str | None, other: str | None) -> dict:
@@ -143,9 +145,26 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def canonical_sha256(value: Column) -> Column:
-    """sha256 of a struct's JSON; its fields are to be in sorted order."""
-    return F.sha2(F.to_json(value), 256)
+def canonical(value: Column, kind: DataType) -> Column:
+    """The value with the fields of all its structs, and the keys of its maps, in sorted order."""
+    if isinstance(kind, StructType):
+        fields = [canonical(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], kind.valueType).alias("value")))))
+    return value
+
+
+def canonical_json(df: DataFrame, column: str) -> Column:
+    """A column of df as JSON without blanks: sorted keys, nulls kept, and characters as they are. It must be a struct, array or map."""
+    return F.to_json(canonical(F.col(column), df.schema[column].dataType), {"ignoreNullFields": "false"})
+
+
+def canonical_sha256(df: DataFrame, column: str) -> Column:
+    """sha256 of canonical_json(): the same for structs that differ only by the order of fields, another for a null than for a field that isn't there."""
+    return F.sha2(canonical_json(df, column), 256)
 
 
 def recovered(text: Column) -> Column:

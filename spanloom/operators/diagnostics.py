@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -43,6 +43,48 @@ def operational_rates(results: DataFrame) -> DataFrame:
     )
 
 
+# The outcomes of a target.
+OUTCOMES = ("exact", "recovered", "provisional", "validation_failed", "runtime_failed", "missing")
+
+
+def run_figures() -> dict[str, Column]:
+    """The figures of a finished run, as aggregates over a row a target.
+
+    Columns: status, has_skill, n_spans (of its prediction, null without one), outcome, raw_status, repaired, recovered (of its
+    last call), n_features, n_examples, and for each expert, trf and exemplar, a struct of available, has_skill, spans,
+    space and outcome, null where the run has no experts. Nulls count for nothing.
+    """
+    c = F.col
+    both = c("trf.available") & c("exemplar.available")
+    in_target = (c("trf.space") == "target_sentence") & (c("exemplar.space") == "target_sentence")
+    conditions = {
+        "targets": F.lit(True), "predictions": c("status").isNotNull(), "complete": c("status") == "complete", "needs_review": c("status") == "needs_review", "positive": c("has_skill") == 1,
+        "failed": c("outcome").isin("validation_failed", "runtime_failed"), "results": c("outcome") != "missing", **{f"outcome_{o}": c("outcome") == o for o in OUTCOMES},
+        "validation_issues": c("outcome").isin("recovered", "provisional", "validation_failed"),
+        "repair_attempted": c("repaired"), "repaired": c("repaired") & (c("raw_status") == "complete"), "recovered": c("recovered") & (c("raw_status") == "complete"),
+        "no_features": c("n_features") == 0, "no_examples": c("n_examples") == 0, "one_example": c("n_examples") == 1,
+        "with_experts": c("trf").isNotNull() & c("exemplar").isNotNull(), "both_experts": both, "trf_missing": ~c("trf.available"), "exemplar_missing": ~c("exemplar.available"),
+        "presence_agrees": both & (c("trf.has_skill") == c("exemplar.has_skill")), "spans_agree": both & in_target & (c("trf.spans") == c("exemplar.spans")),
+        "trf_provisional": c("trf.outcome") == "provisional", "exemplar_provisional": c("exemplar.outcome") == "provisional",
+    }
+    sums = {"spans": "n_spans", "examples": "n_examples"}
+    return {k: F.count_if(v) for k, v in conditions.items()} | {k: F.coalesce(F.sum(v), F.lit(0)).cast("long") for k, v in sums.items()}
+
+
+def run_summary(targets: DataFrame) -> DataFrame:
+    """figure, n: run_figures() over the rows, one pass; all figures are there for an empty run too."""
+    figures = run_figures()
+    one = targets.agg(*(v.alias(k) for k, v in figures.items()))
+    return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, figures)), F.array(*(F.col(k) for k in figures)))).alias("figure", "n"))
+
+
+def written_with_figures(targets: DataFrame, path: str) -> dict[str, int]:
+    """Writes the rows and gives run_figures() of what was written, counted while it was: the rows are made once."""
+    seen = Observation()
+    targets.observe(seen, *(v.alias(k) for k, v in run_figures().items())).write.parquet(path)
+    return seen.get
+
+
 def review_sample(rows: DataFrame, key: str, categories: list[tuple[str, Column]], quota: int, total: int) -> DataFrame:
     """key, category: up to quota rows of each category in order, each row under its first category only, then others until total.
 

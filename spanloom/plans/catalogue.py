@@ -240,6 +240,25 @@ def prompts(spark, d):
     return t(spark, d, "documents").select("doc_id", F.sha2(filled, 256).alias("prompt_sha256"))
 
 
+_CANDIDATES_SQL = """
+lines AS (SELECT l_orderkey AS target, l_linenumber AS demo, min(('mode ' || (l_suppkey % 4), CAST(l_quantity AS INTEGER), l_returnflag)) AS x FROM lineitem GROUP BY ALL),
+c AS (SELECT target, list({'demo': CAST(demo AS BIGINT), 'sentence': x[1], 'status': CASE x[3] WHEN 'A' THEN 'accepted' ELSE 'negative' END, 'spans': [x[1]]} ORDER BY demo) AS candidates, list_distinct(list(x[1] ORDER BY demo)) AS f FROM lines GROUP BY target)
+"""
+
+
+@query(f"""WITH {_CANDIDATES_SQL}, p AS (SELECT target, 'Judge each candidate.' || chr(10) || CAST(to_json({{'candidates': candidates, 'target': target}}) AS VARCHAR) AS body FROM c)
+SELECT target, sha256(body) AS prompt_sha256, CAST(length(body) <= 500 AS INTEGER) AS fits FROM p""")
+def judging_prompts(spark, d):
+    """A prompt for each target with what may be shown of its candidates: their scores, ranks and roles aren't."""
+    state, lines = order_states(spark, d)
+    judged = state.judgments.join(lines, ["target", "demo"])
+    status = F.when(F.col("role") == "supporting", "accepted").otherwise("negative")
+    row = F.struct("retrieval_rank", "demo", F.col("text").alias("sentence"), status.alias("status"), F.array("text").alias("spans"), "score")
+    rows = judged.groupBy("target").agg(F.sort_array(F.collect_list(row)).alias("candidates"))
+    p = protocol.prompt("Judge each candidate.", 500, target=F.col("target"), candidates=protocol.public_examples(F.col("candidates")))
+    return once(rows, p, "p", "target").select("target", F.col("p.sha256").alias("prompt_sha256"), F.col("p.fits").cast("int").alias("fits"))
+
+
 @query()
 def nfkc_terms(spark, d):
     return t(spark, d, "documents").select("doc_id", F.sha2(T.nfkc_text(F.col("text")), 256).alias("normalized_sha256"), T.units(F.col("text")).alias("units"))
@@ -1127,6 +1146,39 @@ def operational_rates(spark, d):
     return diagnostics.operational_rates(rows)
 
 
+def run_targets(spark, d) -> DataFrame:
+    """Orders as targets of a run: with a prediction, a last call and two experts each, the lines their examples."""
+    k = F.col("o_orderkey")
+    rows = outcome_rows(spark, d).join(order_lines(spark, d).select("o_orderkey", (F.col("n_lines") - 1).alias("n_examples")), "o_orderkey", "left").fillna(0, ["n_examples"])
+    good = F.col("outcome").isin("exact", "recovered")
+
+    def expert(m: int) -> Column:
+        there = k % m > 0
+        has = (k % 5 > 1).cast("int")
+        spans = F.array((k % 3).cast("int"))
+        return F.when(k % 2 == 0, F.struct(there.alias("available"), F.when(there, has + F.lit(0)).alias("has_skill"), F.when(k % m == 1, F.array(F.lit(9))).otherwise(spans).alias("spans"), F.when(k % m == 2, "model_sentence").otherwise("target_sentence").alias("space"), F.when(k % m == 2, "provisional").otherwise("exact").alias("outcome")))
+
+    return rows.select(
+        "o_orderkey", "outcome", F.when(good, F.when(k % 4 == 0, "needs_review").otherwise("complete")).alias("status"), F.when(good, (k % 3 > 0).cast("int")).alias("has_skill"), F.when(good, k % 3).alias("n_spans"),
+        F.when(good, "complete").otherwise("failed").alias("raw_status"), (k % 7 == 0).alias("repaired"), (F.col("outcome") == "recovered").alias("recovered"), (k % 3).alias("n_features"), "n_examples",
+        expert(6).alias("trf"), expert(8).alias("exemplar"),
+    )
+
+
+@query(f"""WITH {_OUTCOME_SQL}, rows_ AS (SELECT o_orderkey AS k, outcome, outcome IN ('exact', 'recovered') AS good, coalesce(n, 1) - 1 AS ex, k % 2 = 0 AS e FROM outcomes_ LEFT JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) USING (o_orderkey))
+SELECT figure, CAST(n AS BIGINT) AS n FROM (SELECT count(*) AS targets, count(*) FILTER (WHERE good) AS predictions, count(*) FILTER (WHERE good AND k % 4 > 0) AS complete, count(*) FILTER (WHERE good AND k % 4 = 0) AS needs_review,
+  count(*) FILTER (WHERE good AND k % 3 > 0) AS positive, count(*) FILTER (WHERE outcome IN ('validation_failed', 'runtime_failed')) AS failed, count(*) FILTER (WHERE outcome <> 'missing') AS results,
+  {", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS outcome_{o}" for o in diagnostics.OUTCOMES)}, count(*) FILTER (WHERE outcome IN ('recovered', 'provisional', 'validation_failed')) AS validation_issues,
+  count(*) FILTER (WHERE k % 7 = 0) AS repair_attempted, count(*) FILTER (WHERE k % 7 = 0 AND good) AS repaired, count(*) FILTER (WHERE outcome = 'recovered') AS recovered, count(*) FILTER (WHERE k % 3 = 0) AS no_features,
+  count(*) FILTER (WHERE ex = 0) AS no_examples, count(*) FILTER (WHERE ex = 1) AS one_example, count(*) FILTER (WHERE e) AS with_experts, count(*) FILTER (WHERE e AND k % 6 > 0 AND k % 8 > 0) AS both_experts,
+  count(*) FILTER (WHERE e AND k % 6 = 0) AS trf_missing, count(*) FILTER (WHERE e AND k % 8 = 0) AS exemplar_missing, count(*) FILTER (WHERE e AND k % 6 > 0 AND k % 8 > 0) AS presence_agrees,
+  count(*) FILTER (WHERE e AND k % 6 > 0 AND k % 8 > 0 AND k % 6 <> 2 AND k % 8 <> 2 AND (k % 6 = 1) = (k % 8 = 1)) AS spans_agree, count(*) FILTER (WHERE e AND k % 6 = 2) AS trf_provisional, count(*) FILTER (WHERE e AND k % 8 = 2) AS exemplar_provisional,
+  CAST(sum(CASE WHEN good THEN k % 3 END) AS BIGINT) AS spans, CAST(sum(ex) AS BIGINT) AS examples FROM rows_) UNPIVOT (n FOR figure IN (COLUMNS(*)))""")
+def run_summary(spark, d):
+    """All figures of a run in one pass."""
+    return diagnostics.run_summary(run_targets(spark, d))
+
+
 @query("""WITH c AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END AS c FROM labels), p AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id) AS n FROM c),
 k AS (SELECT doc_id, CASE WHEN c < 2 AND n <= 5 THEN ['toxic', 'bad'][c + 1] ELSE 'fill' END AS category FROM p)
 SELECT doc_id, category FROM k ORDER BY category = 'fill', doc_id LIMIT 20""")
