@@ -2,7 +2,8 @@
 
 A segment holds the concatenated ids of consecutive documents, at two bytes an id where the vocabulary allows, and the
 running ends of the documents as an Elias-Fano sequence: low bits packed, high bits in unary, with a directory of
-every SAMPLE-th one for select. So an offset costs about 2 + log2(ids / documents) bits instead of 64.
+every SAMPLE-th one for select. So an offset costs about 2 + log2(ids / documents) bits instead of 64. The ids of
+the documents, which ascend, are such a sequence too.
 
 Segments are the binary values of a Parquet table in the shared folder, ordered by partition and segment; the table is
 the container because its writer commits whole tasks, and because any store that Spark reads will do.
@@ -27,6 +28,10 @@ MAGIC = b"EFSEG1\0\0"
 #: magic, documents, ids, bytes an id, low bits, bytes of: low bits, high bits, directory
 HEADER = struct.Struct("<8sQQHHQQQ")
 SAMPLE = 64
+#: A sequence: values, low bits, bytes of: low bits, high bits, directory. Document ids: nulls, the first id.
+SEQUENCE, NAMES = struct.Struct("<QHQQQ"), struct.Struct("<Qq")
+#: Values whose low bits are packed at a time.
+PART = 1 << 15
 #: Ids from which a segment is closed.
 SEGMENT_IDS = 1 << 19
 
@@ -46,12 +51,13 @@ class EliasFano:
         values = np.asarray(values, dtype=np.uint64)
         n = len(values)
         low_bits = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
-        bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
-        low = np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little")
+        shifts = np.arange(low_bits, dtype=np.uint64)
+        # in parts of whole bytes, so that wide low bits of many values aren't spread out at once
+        low = b"".join(np.packbits((values[a : a + PART, None] >> shifts & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little").tobytes() for a in range(0, n, PART))
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(ones[-1]) + 1 if n else 0, dtype=np.uint8)
         unary[ones] = 1
-        return cls(n, low_bits, low.tobytes(), np.packbits(unary, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4").tobytes())
+        return cls(n, low_bits, low, np.packbits(unary, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4").tobytes())
 
     def _low(self, i: int) -> int:
         a = i * self.low_bits
@@ -77,9 +83,25 @@ class EliasFano:
     def values(self) -> np.ndarray:
         """All values, in order."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
-        bits = np.unpackbits(self.low, bitorder="little", count=self.count * self.low_bits).reshape(self.count, self.low_bits)
-        low = (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
-        return ((ones - np.arange(self.count)) << self.low_bits) + low
+        out = (ones - np.arange(self.count)) << self.low_bits
+        for a in range(0, self.count, PART):
+            n = min(PART, self.count - a)
+            bits = np.unpackbits(self.low[a * self.low_bits // 8 :], bitorder="little", count=n * self.low_bits).reshape(n, self.low_bits)
+            out[a : a + n] += (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
+        return out
+
+    def packed(self) -> bytes:
+        parts = [self.low.tobytes(), self.high.tobytes(), self.directory.tobytes()]
+        return SEQUENCE.pack(self.count, self.low_bits, *map(len, parts)) + b"".join(parts)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> EliasFano:
+        count, low_bits, *sizes = SEQUENCE.unpack_from(data)
+        at, parts = SEQUENCE.size, []
+        for size in sizes:
+            parts.append(data[at : at + size])
+            at += size
+        return cls(count, low_bits, *parts)
 
 
 def write_segment(documents: list[np.ndarray], wide: bool) -> bytes:
@@ -90,6 +112,29 @@ def write_segment(documents: list[np.ndarray], wide: bool) -> bytes:
     return HEADER.pack(MAGIC, len(documents), len(ids), 4 if wide else 2, ends.low_bits, *map(len, parts)) + b"".join(parts) + ids.tobytes()
 
 
+class DocumentIds:
+    """The ids of a segment's documents, nulls first and then ascending: an Elias-Fano sequence of their distances from the first."""
+
+    def __init__(self, data: bytes):
+        self.nulls, self.first = NAMES.unpack_from(data)
+        self.distances = EliasFano.unpacked(data[NAMES.size :])
+
+    @staticmethod
+    def pack(names: list[int | None]) -> bytes:
+        known = [n for n in names if n is not None]
+        first = known[0] if known else 0
+        return NAMES.pack(len(names) - len(known), first) + EliasFano.of(np.array([n - first for n in known], dtype=np.uint64)).packed()
+
+    def select(self, i: int) -> int | None:
+        """The id of the i-th document."""
+        return None if i < self.nulls else self.first + self.distances.select(i - self.nulls)
+
+    def all(self) -> pa.Array:
+        with np.errstate(over="ignore"):  # distances of 2^63 and more wrap, and so does the sum
+            ids = self.distances.values() + np.int64(self.first)
+        return pa.concat_arrays([pa.nulls(self.nulls, pa.int64()), pa.array(ids, pa.int64())])
+
+
 class Segment:
     """Random access to a segment's documents."""
 
@@ -112,14 +157,15 @@ class Segment:
         return self.array[a:b].astype("<u4")
 
 
-_SEGMENTS = "partition int, segment int, first long, n_ids long, doc_ids array<long>, data binary"
+_SEGMENTS = "partition int, segment int, first long, n_ids long, doc_ids binary, data binary"
 
 
 def write_store(docs: DataFrame, path: str, vocabulary: str, ranks: str | None, end_id: int) -> None:
     """Tokenizes docs in ascending doc_id order, end_id behind each, and writes the segments to path.
 
     Null texts are empty. Null doc_ids come first; rows of one doc_id follow a hash of their text, so equal rows are
-    interchangeable and a doc_id with very many rows still splits.
+    interchangeable and a doc_id with very many rows still splits. A text of any length is one document of one segment.
+    An empty table makes an empty store. Other columns aren't read.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -137,8 +183,8 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, ranks: str | None,
         segment = first = size = 0
 
         def close() -> pa.RecordBatch:
-            columns = [[partition], [segment], [first], [size], [names], [write_segment(ids, wide)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            columns = [[partition], [segment], [first], [size], [DocumentIds.pack(names)], [write_segment(ids, wide)]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["partition", "segment", "first", "n_ids", "doc_ids", "data"])
 
         for batch in batches:
@@ -156,7 +202,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, ranks: str | None,
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, read from the segments."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, read from the segments; no rows from an empty store."""
     segments = spark.read.schema(_SEGMENTS).parquet(path)
     # a row for each partition of the writer: their number is spark.sql.shuffle.partitions
     totals = sorted(map(tuple, segments.groupBy("partition").agg(F.sum("n_ids").alias("n")).collect()))
@@ -173,7 +219,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 bounds = [segment.bounds(i) for i in range(segment.documents)]
                 crc = [zlib.crc32(segment.array[a:b].astype("<u4").tobytes()) for a, b in bounds]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names.as_py(), pa.int64()), pa.array([start + a for a, _ in bounds], pa.int64()), pa.array([b - a for a, b in bounds], pa.int64()), pa.array(crc, pa.int64())],
+                    [DocumentIds(names.as_py()).all(), pa.array([start + a for a, _ in bounds], pa.int64()), pa.array([b - a for a, b in bounds], pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

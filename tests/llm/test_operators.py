@@ -306,6 +306,20 @@ def test_segment():
         token_store.Segment(b"x" * 100)
 
 
+@pytest.mark.parametrize("names", [
+    [], [None], [None, None, 5], [7], [-9, -9, 0, 3], list(range(1000)), [-(2**63), 2**63 - 1], [None, -(2**63), -1, 0, 2**63 - 1, 2**63 - 1], sorted(random.Random(1).randrange(-(2**62), 2**62) for _ in range(700)),
+])
+def test_document_ids_are_select_structures(monkeypatch, names):
+    monkeypatch.setattr(token_store, "PART", 64)
+    data = token_store.DocumentIds.pack(names)
+    ids = token_store.DocumentIds(data)
+    assert ids.all().to_pylist() == names and [ids.select(i) for i in range(len(names))] == names
+
+
+def test_consecutive_ids_take_a_few_bits():
+    assert len(token_store.DocumentIds.pack(list(range(10**12, 10**12 + 10_000)))) < 10_000 * 3 // 8 + 800
+
+
 def test_token_store(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(token_store, "SEGMENT_IDS", 5000)
     library = tokens.Library(BYTE).tokenizer
