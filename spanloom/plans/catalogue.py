@@ -120,11 +120,11 @@ def tag_errors(spark, d):
 
 
 @query(f"""WITH {_TAGGED_SQL}, words AS (SELECT doc_id, list(struct_pack(s := upto - size, w := word) ORDER BY k) AS ws FROM placed WHERE k > 1 GROUP BY doc_id)
-SELECT doc_id, sha256(list_reduce(list_prepend(text, list_transform(ws, lambda w: CAST(w.s AS VARCHAR) || ':' || length(w.w))),
-  lambda acc, x: left(acc, CAST(str_split(x, ':')[1] AS BIGINT)) || repeat(' ', CAST(str_split(x, ':')[2] AS BIGINT)) || substr(acc, CAST(str_split(x, ':')[1] AS BIGINT) + CAST(str_split(x, ':')[2] AS BIGINT) + 1))) AS masked_sha256
-FROM documents JOIN words USING (doc_id)""")
+SELECT doc_id, CASE WHEN ws IS NULL THEN sha256(text) ELSE sha256(list_reduce(list_prepend(text, list_transform(ws, lambda w: CAST(w.s AS VARCHAR) || ':' || length(w.w))),
+  lambda acc, x: left(acc, CAST(str_split(x, ':')[1] AS BIGINT)) || repeat(' ', CAST(str_split(x, ':')[2] AS BIGINT)) || substr(acc, CAST(str_split(x, ':')[1] AS BIGINT) + CAST(str_split(x, ':')[2] AS BIGINT) + 1))) END AS masked_sha256
+FROM documents LEFT JOIN words USING (doc_id)""")
 def masked_text(spark, d):
-    scanned = once(tagged(t(spark, d, "documents")), spans.scan_tags(F.col("tagged"), "skill")["spans"], "s", "doc_id", "text").where(F.size("s") > 0)
+    scanned = once(tagged(t(spark, d, "documents")), spans.scan_tags(F.col("tagged"), "skill")["spans"], "s", "doc_id", "text")
     return scanned.select("doc_id", F.sha2(spans.mask(F.col("text"), F.col("s")), 256).alias("masked_sha256"))
 
 
