@@ -6,6 +6,10 @@ proposals say, each read from the state before. Features that are dropped stay k
 signature changed go on: the frontier of a semi-naive iteration. What a round changes is a relation too, the transitions.
 
 Each round's relations are written to the shared folder, so a plan never holds more than one round.
+
+All relations of a state grow with the targets, and their columns compress to a small part of what they take in memory.
+Where they are joined, it is by a shuffle: a broadcast chosen by the size of their files would pass them whole through
+the driver.
 """
 
 from __future__ import annotations
@@ -33,6 +37,11 @@ def branches(mode: str) -> tuple[str, ...]:
     return BRANCHES[mode]
 
 
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """The join of two relations that both grow with the targets, never by a broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 @dataclass(frozen=True)
 class State:
     features: DataFrame
@@ -40,7 +49,7 @@ class State:
     judgments: DataFrame
 
     def of(self, targets: DataFrame) -> State:
-        return State(*(x.join(targets, "target", "left_semi") for x in (self.features, self.types, self.judgments)))
+        return State(*(joined(x, targets, "target", "left_semi") for x in (self.features, self.types, self.judgments)))
 
 
 @dataclass(frozen=True)
@@ -87,7 +96,7 @@ def selection_violations(judgments: DataFrame, stored: DataFrame) -> DataFrame:
     """target, demo, rebuilt, stored: where the gate that was applied again and the stored selection (target, demo, gate_rank) differ."""
     mine = judgments.where("gate_rank is not null").select("target", "demo", F.col("gate_rank").cast("long").alias("rebuilt"))
     theirs = stored.where("gate_rank is not null").select("target", "demo", F.col("gate_rank").cast("long").alias("stored"))
-    return mine.join(theirs, ["target", "demo"], "full").where("not (rebuilt <=> stored)")
+    return joined(mine, theirs, ["target", "demo"], "full").where("not (rebuilt <=> stored)")
 
 
 # --- a round
@@ -97,20 +106,20 @@ def apply_features(state: State, proposed: Proposals, n: int) -> tuple[DataFrame
     """features and types after round n. Features without a decision, and targets without types, stay as they are."""
     old = state.features
     decided = proposed.decided.select("target", "text", F.col("action").alias("__action"), F.col("demos").alias("__demos"))
-    moved = old.join(decided, ["target", "text"], "left")
+    moved = joined(old, decided, ["target", "text"], "left")
     moved = moved.withColumns({"active": F.coalesce(F.col("__action") == "keep", F.col("active")), "last": F.coalesce("__action", "last"), "demos": F.coalesce("__demos", "demos")})
     known = old.groupBy("target").agg(F.max("place").alias("__known"))
     order = F.row_number().over(Window.partitionBy("target").orderBy("position"))
-    new = proposed.added.withColumn("__at", order).join(known, "target", "left")
+    new = joined(proposed.added.withColumn("__at", order), known, "target", "left")
     place = (F.coalesce("__known", F.lit(0)) + F.col("__at")).cast("int").alias("place")
     new = new.select("target", F.trim("text").alias("text"), place, F.lit("added").alias("origin"), F.lit(n).alias("first_round"), F.lit(True).alias("active"), F.lit("keep").alias("last"), F.col("demos").cast("array<long>").alias("demos"))
-    types = state.types.join(proposed.types.select("target", F.col("has_type").alias("__new")), "target", "left").select("target", F.coalesce("__new", "has_type").alias("has_type"))
+    types = joined(state.types, proposed.types.select("target", F.col("has_type").alias("__new")), "target", "left").select("target", F.coalesce("__new", "has_type").alias("has_type"))
     return moved.select(*old.columns).unionByName(new), types
 
 
 def moves(before: DataFrame, after: DataFrame, n: int) -> DataFrame:
     """The transitions of a round: features whose activity differs, and new ones, which come from nothing."""
-    both = after.select("target", "text", "active").join(before.select("target", "text", F.col("active").alias("__before")), ["target", "text"], "left")
+    both = joined(after.select("target", "text", "active"), before.select("target", "text", F.col("active").alias("__before")), ["target", "text"], "left")
     word = lambda c: F.when(c, "keep").when(~c, "drop")
     return both.where("not (active <=> __before)").select("target", "text", word(F.col("__before")).alias("from"), word(F.col("active")).alias("to"), F.lit(n).alias("round"))
 
@@ -118,7 +127,7 @@ def moves(before: DataFrame, after: DataFrame, n: int) -> DataFrame:
 def apply_judgments(state: State, proposed: Proposals, minimum: int = 3) -> DataFrame:
     """judgments with what is proposed, and the gate applied again. Candidates that aren't judged anew stay as they are."""
     new = proposed.judged.select("target", F.col("demo").cast("long").alias("demo"), *(F.col(c).alias(f"__{c}") for c in ("score", "role", "supports")))
-    rows = state.judgments.drop("gate_rank").join(new, ["target", "demo"], "left")
+    rows = joined(state.judgments.drop("gate_rank"), new, ["target", "demo"], "left")
     rows = rows.withColumns({c: F.coalesce(f"__{c}", c) for c in ("score", "role", "supports")}).withColumn("score", F.col("score").cast("int"))
     return gate.select(rows.drop("__score", "__role", "__supports"), "target", minimum)
 
@@ -130,7 +139,7 @@ def signatures(state: State) -> DataFrame:
     """
     f = state.features.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("place", "text", "active"))).alias("f"))
     j = state.judgments.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("retrieval_rank", "demo", "score", "role", "gate_rank"))).alias("j"))
-    both = state.types.join(f, "target", "left").join(j, "target", "left")
+    both = joined(joined(state.types, f, "target", "left"), j, "target", "left")
     return both.select("target", F.sha2(F.to_json(F.struct("has_type", "f", "j"), {"ignoreNullFields": "false"}), 256).alias("signature"))
 
 
@@ -161,11 +170,11 @@ def iterate(first: State, propose: Callable[[State, int], Proposals], mode: str
         features, types = apply_features(seen, proposed, n) if "features" in active else (seen.features, seen.types)
         judgments = apply_judgments(seen, proposed, minimum) if "judgments" in active else seen.judgments
         after = State(*_written(features=features, types=types, judgments=judgments))
-        signed = signatures(after).join(history[-1].select("target", F.col("signature").alias("__old")), "target")
+        signed = joined(signatures(after), history[-1].select("target", F.col("signature").alias("__old")), "target")
         history += _written(history=signed.select("target", "signature", F.lit(n).alias("round"), (F.col("signature") != F.col("__old")).alias("changed")))
         if "features" in active:
             transitions.append(moves(seen.features, after.features, n))
-        rest = lambda x: x.join(frontier, "target", "left_anti")
+        rest = lambda x: joined(x, frontier, "target", "left_anti")
         if n > 1:
             after = State(*(rest(old).unionByName(new) for old, new in zip((state.features, state.types, state.judgments), (after.features, after.types, after.judgments), strict=True)))
         state = after
@@ -191,7 +200,7 @@ def conflicts(state: State) -> DataFrame:
     """target, type, text, demo: evidence of an active feature that isn't selected, and selected candidates that support a feature which isn't active."""
     chosen = state.judgments.where("gate_rank is not null")
     cited = state.features.where("active").select("target", "text", F.explode("demos").alias("demo"))
-    lost = cited.join(chosen.select("target", "demo"), ["target", "demo"], "left_anti").select("target", F.lit("trf_evidence_demo_not_retained").alias("type"), "text", "demo")
+    lost = joined(cited, chosen.select("target", "demo"), ["target", "demo"], "left_anti").select("target", F.lit("trf_evidence_demo_not_retained").alias("type"), "text", "demo")
     support = chosen.select("target", "demo", F.explode("supports").alias("text"))
-    dropped = support.join(state.features.where("active").select("target", "text"), ["target", "text"], "left_anti")
+    dropped = joined(support, state.features.where("active").select("target", "text"), ["target", "text"], "left_anti")
     return lost.unionByName(dropped.select("target", F.lit("selected_demo_supports_dropped_trf").alias("type"), "text", "demo"))

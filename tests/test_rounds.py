@@ -108,3 +108,26 @@ def test_the_first_states(spark):
     assert rounds.selection_violations(built, stored).count() == 0
     forged = spark.createDataFrame([(1, 5, 2), (1, 6, 1), (2, 5, None)], "target long, demo long, gate_rank int")
     assert sorted(map(tuple, rounds.selection_violations(built, forged).collect())) == [(1, 5, 1, 2), (1, 6, None, 1), (1, 7, 2, None)]
+
+
+@pytest.mark.parametrize("what", ["state", "transitions"])
+def test_no_relation_of_a_state_is_broadcast(spark, monkeypatch, what):
+    """The files of a state are small for what they hold, so a plan that goes by their size passes them through the driver."""
+    targets = {i: ([f"mode {k}" for k in range(3)], [(d, 3 + d % 3, "supporting") for d in range(4)]) for i in range(40)}
+    plans, write = [], rounds._written
+
+    def spied(**tables):
+        plans.extend(df._jdf.queryExecution().executedPlan().toString() for df in tables.values())
+        return write(**tables)
+
+    def propose(state, n):
+        decided = state.features.select("target", "text", F.lit("keep" if n % 2 else "drop").alias("action"), F.array(F.lit(1).cast("long")).alias("demos"))
+        added = state.types.select("target", F.lit(f"new {n}").alias("text"), F.lit(1).alias("position"), F.array().cast("array<long>").alias("demos"))
+        return rounds.Proposals(decided, added, state.types, state.judgments.select("target", "demo", F.lit(n).alias("score"), "role", "supports"))
+
+    monkeypatch.setattr(rounds, "_written", spied)
+    out = rounds.iterate(first_state(spark, targets), propose)
+    last = {"state": rounds.conflicts(out.state), "transitions": out.transitions}[what]
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastExchange" in p]
+    assert any("SortMergeJoin" in p for p in plans)
