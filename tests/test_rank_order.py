@@ -78,6 +78,30 @@ def test_near_ties_rank_unrounded_and_equal_vectors_by_id(spark, monkeypatch, bl
         retrieval.neighbours(df, df, k=200, complete=True).collect()
 
 
+def test_neighbours_in_small_pieces_with_many_copies(spark, monkeypatch):
+    """Blocks, slices and pairs are cut anywhere; copies of a vector fill them alone."""
+    for name, n in (("BLOCK", 5), ("HELD", 11), ("ROWS", 3), ("SLICE", 7), ("PAIRS", 10)):
+        monkeypatch.setattr(retrieval, name, n)
+    rng = np.random.default_rng(5)
+    many = rng.normal(size=16).astype(np.float32).astype(float).tolist()
+    rows = [(k, many if k % 2 else (rng.normal(size=16) * 10 ** (k % 5)).tolist()) for k in range(90)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    got = retrieval.neighbours(df, df, k=12)
+    assert sorted(map(tuple, got.collect())) == sorted(plain_neighbours(rows, 12))
+    apart = retrieval.neighbours(df.where("id < 20"), df, k=3, leave_one_out=False).where("target = 4").first()
+    assert apart["demo"] == 4 and math.isclose(apart["similarity"], 1)
+
+
+def test_neighbours_shuffle_demos_once_a_block_and_no_results(spark, monkeypatch):
+    """Cells of a block of targets and a block of demos shuffled each of both as often as the other has blocks, and K results a cell."""
+    monkeypatch.setattr(retrieval, "BLOCK", 64)
+    monkeypatch.setattr(retrieval, "HELD", 128)
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(512)], "id long, v array<double>")
+    plan = retrieval.neighbours(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Generate") == 1 and "Window" not in plan
+
+
 def test_candidate_rank_breaks_equal_distances(spark):
     c = spark.createDataFrame([("g", 1, [0.0, 1.0], 9), ("g", 2, [1.0, 0.0], 3), ("g", 3, [3.0, 3.0], 1), ("g", 4, [0.0, 0.0], 4)], "group string, candidate long, v array<double>, candidate_rank int")
     tokens = spark.createDataFrame([("g", 7, [0.0, 0.0]), ("g", 8, [0.0, 0.0])], "group string, token long, v array<double>")
