@@ -218,35 +218,44 @@ def shuffled_first(rows: DataFrame, key: str, first: Column, size: int, seed: in
     return all_of.join(F.broadcast(chosen.drop("list")), "place").drop("place", "__list")
 
 
-def replicate_sums(rows: DataFrame, key: str, columns: list[str], replicates: int, seed: int, resident: int = 1 << 18) -> tuple[DataFrame, int]:
+def replicate_sums(rows: DataFrame, key: str, columns: list[str], replicates: int, seed: int, resident: int = 1 << 20) -> tuple[DataFrame, int]:
     """replicate and the sums of columns over as many rows as there are, drawn with replacement, and the number of rows.
 
-    Rows are in the order of key. Up to resident rows their numbers go to all tasks (8 bytes each), which add up what
-    they draw; more are joined by their place.
+    Rows are in the order of key. A task holds a block of up to resident rows' numbers (8 bytes each), which it gets by a
+    shuffle, makes its share of the stretches and adds up what they draw of its block. So with more blocks each stretch is
+    made as often; the driver holds two numbers a stretch and no row.
     """
     spark = rows.sparkSession
     all_of = placed(rows.select(key, *columns), key)
     n = all_of.count()
     if not n:
         return spark.createDataFrame([], "replicate long, " + ", ".join(f"{c} long" for c in columns)), 0
-    runs = choices(n, n * replicates)
-    if n > resident:
-        draws = drawn(spark, seed, runs).select((F.col("draw") / n).cast("long").alias("replicate"), F.col("value").alias("place"))
-        return draws.join(all_of, "place").groupBy("replicate").agg(*(F.sum(c).alias(c) for c in columns)), n
-    table = np.array([tuple(r) for r in all_of.orderBy("place").select(*columns).collect()], dtype=np.int64)  # resident rows at most
-    found = stream(spark, seed, runs)
+    found = stream(spark, seed, choices(n, n * replicates))
+    resident = max(64, resident)
+    blocks, shares = -(-n // resident), min(len(found.begins), 2 * spark.sparkContext.defaultParallelism)
+    task = (F.col("share") * blocks + F.floor(F.col("place") / resident)).cast("int")
+    shared = all_of.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    dealt = shared.select(task.alias("task"), "place", *(F.col(c).cast("long").alias(c) for c in columns)).repartitionById(shares * blocks, "task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                for draws, values in found.slices(k):
-                    kept = draws < found.bounds.total
-                    if kept.any():
-                        of, begins = np.unique(draws[kept] // n, return_index=True)
-                        sums = np.add.reduceat(table[values[kept]], begins, axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(of), *(pa.array(c) for c in sums.T)], ["replicate", *columns])
-
-    parts = found.rows(spark).mapInArrow(run, "replicate long, " + ", ".join(f"{c} long" for c in columns))
+        held = [[x.to_numpy() for x in batch.columns] for batch in batches if batch.num_rows]
+        if not held:
+            return
+        share, block = divmod(int(held[0][0][0]), blocks)
+        first, count = block * resident, sum(len(x[0]) for x in held)
+        table = np.empty((count, len(columns)), dtype=np.int64)
+        while held:
+            _, place, *figures = held.pop()
+            table[place - first] = np.column_stack(figures)
+        for k in range(share, len(found.begins), shares):
+            for draws, values in found.slices(k):
+                kept = (draws < found.bounds.total) & (values >= first) & (values < first + count)
+                if kept.any():
+                    of, begins = np.unique(draws[kept] // n, return_index=True)
+                    sums = np.add.reduceat(table[values[kept] - first], begins, axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(of), *(pa.array(c) for c in sums.T)], ["replicate", *columns])
+
+    parts = dealt.mapInArrow(run, "replicate long, " + ", ".join(f"{c} long" for c in columns))
     return parts.groupBy("replicate").agg(*(F.sum(c).alias(c) for c in columns)), n
 
 

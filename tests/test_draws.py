@@ -122,3 +122,25 @@ def test_bootstrap_is_the_librarys(spark, monkeypatch, resident):
     in_order = [r for _, r in sorted((100 - k, r) for k, r in enumerate(reversed(rows)))]
     assert tuple(got.collect()[0]) == plain_bootstrap(in_order, 60, 11)
     assert tuple(metrics.paired_bootstrap(df.where("false"), "key", 10).collect()[0]) == (None,) * 4
+
+
+def test_bootstrap_brings_no_row_to_the_driver(spark, monkeypatch):
+    """The figures go from task to task, in two blocks here; they were collected, or joined by a broadcast."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(draws, "STRETCH", 700)
+    df = spark.createDataFrame([(k, k, 1) for k in range(100)], "key long, a int, b int").repartition(3)
+    most, collect = [0], DataFrame.collect
+
+    def counted(self):
+        out = collect(self)
+        most[0] = max(most[0], len(out) if "a" in self.columns else 0)
+        return out
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    for resident in (1 << 18, 64):
+        sums, n = draws.replicate_sums(df, "key", ["a", "b"], 30, 5, resident)
+        plan = sums._jdf.queryExecution().executedPlan().toString()
+        assert n == 100 and most[0] == 0 and "Broadcast" not in plan
+        rng = random.Random(5)
+        assert {r["replicate"]: (r["a"], r["b"]) for r in sums.toLocalIterator()} == {k: (sum(rng.choice(range(100)) for _ in range(100)), 100) for k in range(30)}
