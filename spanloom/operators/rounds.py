@@ -5,10 +5,12 @@ and judgments (target, demo, retrieval_rank, score, role, supports, gate_rank).
 proposals say, each read from the state before. Features that are dropped stay known and may return. Only targets whose
 signature changed go on: the frontier of a semi-naive iteration. What a round changes is a relation too, the transitions.
 
-Each round's relations are written to the shared folder, so a plan never holds more than one round.
+Each round's relations are written to the shared folder in buckets of the target, so a plan never holds more than one
+round, and what joins or groups them by target doesn't shuffle them again. Signatures take more room than all that they
+are made of; they are not written, only the targets of a frontier are.
 
 All relations of a state grow with the targets, and their columns compress to a small part of what they take in memory.
-Where they are joined, it is by a shuffle: a broadcast chosen by the size of their files would pass them whole through
+Where they are joined, it is by a merge: a broadcast chosen by the size of their files would pass them whole through
 the driver.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from spanloom.sources.shared import fresh_path
+from spanloom.sources.shared import in_buckets
 
 from . import gate
 from .interaction import folded
@@ -144,25 +146,19 @@ def signatures(state: State) -> DataFrame:
 
 
 def _written(**tables: DataFrame) -> list[DataFrame]:
-    """The tables, written side by side to the shared folder and read back."""
-
-    def one(name: str, df: DataFrame) -> DataFrame:
-        path = fresh_path(df.sparkSession, f"round-{name}")
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    """The tables, written side by side to the shared folder in buckets of the target and read back."""
     with ThreadPoolExecutor(len(tables)) as pool:
-        return list(pool.map(one, tables, tables.values()))
+        return list(pool.map(lambda name, df: in_buckets(df, f"round-{name}", "target"), tables, tables.values()))
 
 
 def iterate(first: State, propose: Callable[[State, int], Proposals], mode: str = "bidirectional", rounds: int = 2, minimum: int = 3) -> Outcome:
     """Up to so many rounds. propose sees the state of the targets that changed in the round before, and that round's number."""
     spark, active = first.types.sparkSession, branches(mode)
     state = State(*_written(features=first.features, types=first.types, judgments=first.judgments))
-    history = _written(history=signatures(state).withColumn("round", F.lit(0)).withColumn("changed", F.lit(True)))
+    history = [signatures(state).withColumn("round", F.lit(0)).withColumn("changed", F.lit(True))]
     transitions: list[DataFrame] = []
     for n in range(1, rounds + 1 if active else 1):
-        frontier = history[-1].where("changed").select("target")
+        frontier = _written(frontier=history[-1].where("changed").select("target"))[0] if n > 1 else state.types.select("target")
         if frontier.isEmpty():
             break
         seen = state.of(frontier) if n > 1 else state
@@ -170,8 +166,8 @@ def iterate(first: State, propose: Callable[[State, int], Proposals], mode: str
         features, types = apply_features(seen, proposed, n) if "features" in active else (seen.features, seen.types)
         judgments = apply_judgments(seen, proposed, minimum) if "judgments" in active else seen.judgments
         after = State(*_written(features=features, types=types, judgments=judgments))
-        signed = joined(signatures(after), history[-1].select("target", F.col("signature").alias("__old")), "target")
-        history += _written(history=signed.select("target", "signature", F.lit(n).alias("round"), (F.col("signature") != F.col("__old")).alias("changed")))
+        signed = joined(signatures(after), signatures(seen).select("target", F.col("signature").alias("__old")), "target")
+        history.append(signed.select("target", "signature", F.lit(n).alias("round"), (F.col("signature") != F.col("__old")).alias("changed")))
         if "features" in active:
             transitions.append(moves(seen.features, after.features, n))
         rest = lambda x: joined(x, frontier, "target", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -23,3 +23,18 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df, written to the shared folder in buckets of key and read back: joins, groups and windows by key need no shuffle then.
+
+    It is an external table of the session's catalog, with a name of its own.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # joins by the key and more shuffle otherwise
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    path = fresh_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).options(path=path, compression="zstd").saveAsTable(table, format="parquet")
+    return spark.table(table)

@@ -131,3 +131,19 @@ def test_no_relation_of_a_state_is_broadcast(spark, monkeypatch, what):
     plans.append(last._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 8 and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastExchange" in p]
     assert any("SortMergeJoin" in p for p in plans)
+
+
+def test_written_relations_are_not_shuffled_again(spark):
+    """A state's relations lie in buckets of the target: what comes of them by target needs no shuffle, so no disk besides themselves."""
+    targets = {i: ([f"mode {k}" for k in range(3)], [(d, 3 + d % 3, "supporting") for d in range(4)]) for i in range(40)}
+
+    def propose(state, n):
+        decided = state.features.select("target", "text", F.lit("keep" if n % 2 else "drop").alias("action"), F.array(F.lit(1).cast("long")).alias("demos"))
+        added = state.types.select("target", F.lit(f"new {n}").alias("text"), F.lit(1).alias("position"), F.array().cast("array<long>").alias("demos"))
+        return rounds.Proposals(decided, added, state.types, state.judgments.select("target", "demo", F.lit(n).alias("score"), "role", "supports"))
+
+    out = rounds.iterate(first_state(spark, targets), propose)
+    for df in (rounds.conflicts(out.state), out.transitions, out.history):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+    assert out.history.where("changed").groupBy("round").count().count() == 3
