@@ -28,6 +28,8 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 CELL, SPLIT_BITS = 4096, 12
 #: Node pairs that are traversed at a time, and pairs of rows up to which two nodes are compared row by row.
 FRONT, LEAF = 50_000, 32
+#: Node pairs of LEAF or fewer whose rows are compared at a time, and pairs that are found before they are given out.
+LEAVES, HELD = 1 << 12, 1 << 12
 #: Pairs that are joined to trees at a time.
 JOINED = 1 << 16
 #: Rows whose bits are added up at a time, as counts of a byte.
@@ -77,18 +79,48 @@ def fingerprinter():
     return text_udf(lambda: lambda texts: [_signed(fingerprint(t)) for t in texts], "long", pa.int64())
 
 
-def trie_links(keys: np.ndarray, first_bit: int, budget: int | np.ndarray = MOST_BITS, left: int | None = None, spent: int = 0, more: np.ndarray | None = None, most: int = 0) -> np.ndarray:
-    """Pairs of positions in keys, sorted, that differ in budget bits or fewer; with an array, in budget[d] at most among the first d bits.
+class Forest:
+    """Trees of n rows that pairs join one by one: the joins so far, and each row's tree."""
 
-    All keys share the bits above first_bit; or, if left is given, the first left keys share theirs, the others theirs,
-    both differ in spent bits there, and only pairs across are wanted. If keys have more words behind them (rows, words),
-    most bits may differ in all.
-    """
+    def __init__(self, n: int):
+        self.root, self.tree, self.joins = list(range(n)), np.arange(n), []
+        self.changes = np.arange(n)
+
+    def top(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def add(self, pairs: np.ndarray) -> None:
+        before = len(self.joins)
+        for x, y in pairs[self.tree[pairs[:, 0]] != self.tree[pairs[:, 1]]].tolist():
+            i, j = self.top(x), self.top(y)
+            if i != j:
+                self.root[max(i, j)] = min(i, j)
+                self.joins.append((x, y))
+        if len(self.joins) > before:
+            self.tree = np.array([self.top(i) for i in range(len(self.root))])
+            self.changes = np.append(0, np.cumsum(self.tree[1:] != self.tree[:-1]))
+
+    def apart(self, nodes: np.ndarray) -> np.ndarray:
+        """The pairs of nodes (a, b, c, d, _), whose rows are a to b and c to d, that one tree doesn't hold yet."""
+        a, b, c, d = nodes.T[:4]
+        return nodes[(self.changes[a] != self.changes[b - 1]) | (self.changes[c] != self.changes[d - 1]) | (self.tree[a] != self.tree[c])]
+
+
+def _traverse(keys: np.ndarray, first_bit: int, budget: int | np.ndarray, left: int | None, spent: int, more: np.ndarray | None, most: int, take: Callable[[np.ndarray], None], forest: Forest | None = None) -> None:
+    """Gives take() the pairs of trie_links(), some at a time; with a forest only those that it doesn't hold in one tree by then."""
     n = len(keys)
     allowed = np.broadcast_to(budget, 65)
-    found = [np.zeros((0, 2), dtype=np.int64)]
+    found, held = [], 0
 
     def compare(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal found, held
+        if forest:
+            open_ = forest.tree[x] != forest.tree[y]
+            x, y = x[open_], y[open_]
         differ = np.bitwise_count(keys[x] ^ keys[y])
         near = (x < y) & (differ <= allowed[64])
         x, y = x[near], y[near]
@@ -96,6 +128,10 @@ def trie_links(keys: np.ndarray, first_bit: int, budget: int | np.ndarray = MOST
             near = differ[near] + np.bitwise_count(more[x] ^ more[y]).sum(1, dtype=np.int64) <= most
             x, y = x[near], y[near]
         found.append(np.column_stack([x, y]))
+        held += len(x)
+        if held >= HELD:
+            take(np.concatenate(found))
+            found, held = [], 0
 
     start = np.array([[0, n, 0, n, spent]] if left is None else [[0, left, left, n, spent]], dtype=np.int64)
     stack = [(first_bit, start)]
@@ -105,20 +141,28 @@ def trie_links(keys: np.ndarray, first_bit: int, budget: int | np.ndarray = MOST
         if len(pairs) > FRONT:
             stack += [(depth, pairs[FRONT:]), (depth, pairs[:FRONT])]
             continue
-        a, b, c, d, e = pairs.T
-        size = (b - a) * (d - c)
-        small = size <= LEAF
-        if small.any():
-            many = size[small]
+        if forest:
+            pairs = forest.apart(pairs)
+        small = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= LEAF
+        leaves = pairs[small]
+        for i in range(0, len(leaves), LEAVES):
+            some = leaves[i : i + LEAVES]
+            a, b, c, d, _ = (forest.apart(some) if forest else some).T
+            many = (b - a) * (d - c)
             at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            wide = np.repeat((d - c)[small], many)
-            compare(np.repeat(a[small], many) + at // wide, np.repeat(c[small], many) + at % wide)
-            a, b, c, d, e = pairs[~small].T
+            wide = np.repeat(d - c, many)
+            compare(np.repeat(a, many) + at // wide, np.repeat(c, many) + at % wide)
         if depth == 64:  # equal keys
-            for i, j, k, m in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True):
-                for x in range(i, j):
-                    compare(np.full(m - k, x), np.arange(k, m))
+            for node in pairs[~small]:
+                if forest and not len(forest.apart(node[None])):
+                    continue
+                i, j, k, m, _ = node.tolist()
+                step = max(1, LEAVES * LEAF // (m - k))
+                for x in range(i, j, step):
+                    rows = np.arange(x, min(x + step, j))
+                    compare(np.repeat(rows, m - k), np.tile(np.arange(k, m), len(rows)))
             continue
+        a, b, c, d, e = pairs[~small].T
         if not len(a):
             continue
         if depth not in zeros:
@@ -134,28 +178,35 @@ def trie_links(keys: np.ndarray, first_bit: int, budget: int | np.ndarray = MOST
         below = below[(below[:, 4] <= allowed[depth + 1]) & (below[:, 0] < below[:, 1]) & (below[:, 2] < below[:, 3])]
         if len(below):
             stack.append((depth + 1, below))
+    if held:
+        take(np.concatenate(found))
+
+
+def trie_links(keys: np.ndarray, first_bit: int, budget: int | np.ndarray = MOST_BITS, left: int | None = None, spent: int = 0, more: np.ndarray | None = None, most: int = 0) -> np.ndarray:
+    """Pairs of positions in keys, sorted, that differ in budget bits or fewer; with an array, in budget[d] at most among the first d bits.
+
+    All keys share the bits above first_bit; or, if left is given, the first left keys share theirs, the others theirs,
+    both differ in spent bits there, and only pairs across are wanted. If keys have more words behind them (rows, words),
+    most bits may differ in all.
+    """
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    _traverse(keys, first_bit, budget, left, spent, more, most, found.append)
     return np.concatenate(found)
 
 
-def spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """The pairs that join two trees when they are added one by one."""
-    root, out = list(range(n)), []
+def trie_forest(keys: np.ndarray, first_bit: int, budget: int | np.ndarray = MOST_BITS, left: int | None = None, spent: int = 0, more: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
+    """Some of the pairs of trie_links() that join the same rows to trees, without holding them all: what a tree holds isn't met again."""
+    forest = Forest(len(keys))
+    _traverse(keys, first_bit, budget, left, spent, more, most, forest.add, forest)
+    return forest.joins
 
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
+def spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """The pairs that join two trees when they are added one by one."""
+    forest = Forest(n)
     for at in range(0, len(pairs), JOINED):
-        some = pairs[at : at + JOINED]
-        tops = np.array([top(i) for i in range(n)])
-        for x, y in some[tops[some[:, 0]] != tops[some[:, 1]]].tolist():
-            i, j = top(x), top(y)
-            if i != j:
-                root[max(i, j)] = min(i, j)
-                out.append((x, y))
-    return out
+        forest.add(pairs[at : at + JOINED])
+    return forest.joins
 
 
 def _turned(bits: int):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import materialize, text_udf, tune
-from .simhash import SEED, Majority, components, runs, shingle_hashes, spanning, stars, trie_links
+from .simhash import SEED, Majority, components, runs, shingle_hashes, stars, trie_forest
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Probability that a pair at SIMILARITY shares no subtree, at most, and that it differs in more bits than are allowed.
@@ -185,8 +185,7 @@ def _subtree(plan: Plan):
         """A spanning forest of the pairs within the budget."""
         key = key.view(np.uint64)
         order = np.lexsort((key[:, 0], ~left))
-        at = trie_links(key[order, 0], 0, budget, left=None if own else int(left.sum()), more=key[order, 1:], most=most)
-        if joins := spanning(at, len(order)):
+        if joins := trie_forest(key[order, 0], 0, budget, left=None if own else int(left.sum()), more=key[order, 1:], most=most):
             yield order[np.array(joins)]
 
     return pairs

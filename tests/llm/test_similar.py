@@ -1,6 +1,7 @@
 """Near copies at a similarity of 0.8 against brute force."""
 
 import random
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
@@ -99,3 +100,42 @@ def test_bits_differ_as_often_as_stated():
         a, b = (similar.signature(" ".join(t), 5, 4)[2:] for t in (words, other))
         differ.append(int(np.bitwise_count(np.array(a).view(np.uint64) ^ np.array(b).view(np.uint64)).sum()) / 256)
     assert abs(np.mean(differ) - similar.Plan.bit_differs(0.8)) < 0.01
+
+
+def near_keys(rng, groups, n, flips):
+    """n keys of four words, near copies of so many others."""
+    keys = rng.integers(0, 1 << 63, (groups, 4), dtype=np.int64)[rng.integers(0, groups, n)].view(np.uint64)
+    for _ in range(flips):
+        at = rng.integers(0, 256, n)
+        keys[np.arange(n), at // 64] ^= np.uint64(1) << (at % 64).astype(np.uint64)
+    return keys
+
+
+@pytest.mark.parametrize("own", [True, False])
+@pytest.mark.parametrize("groups,flips", [(1, 2), (6, 40), (150, 12), (150, 90)])
+def test_forest_joins_what_all_links_join(own, groups, flips):
+    plan, n = similar.Plan.of(100_000), 600
+    keys = near_keys(np.random.default_rng(groups + flips), groups, n, flips)
+    side = np.arange(n) >= (0 if own else 250)
+    keys = keys[np.lexsort((keys[:, 0], side))]
+    held = {"left": None if own else 250, "more": keys[:, 1:], "most": plan.most(similar.KEY)}
+    links = simhash.trie_links(keys[:, 0], 0, plan.budget(), **held)
+    forest = simhash.trie_forest(keys[:, 0], 0, plan.budget(), **held)
+    assert set(forest) <= set(map(tuple, links.tolist()))
+    want, got = simhash.Forest(n), simhash.Forest(n)
+    want.add(links)
+    got.add(np.array(forest, dtype=np.int64).reshape(-1, 2))
+    assert len(forest) == len(want.joins) and want.tree.tolist() == got.tree.tolist()
+
+
+def test_a_subtree_of_near_copies_stays_small():
+    plan, n = similar.Plan.of(100_000), 2048
+    keys, fp, all_left = near_keys(np.random.default_rng(3), 1, n, 3).view(np.int64), np.arange(n), np.ones(n, dtype=bool)
+    tracemalloc.start()
+    try:
+        joins = sum(len(x) for x in similar._subtree(plan)(True, all_left, fp, fp, keys))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert joins == n - 1
+    assert peak < 40e6, f"{peak / 1e6:.0f} MB"
